@@ -2,8 +2,9 @@
 
 Normalised lines are exploded and hashed to 128 bits, documents are counted per
 hash with map-side partial aggregation, and lines of frequent hashes lose their
-place in every document but the one with the largest id.  Only (id, position)
-pairs travel to the counting and deciding steps; the text itself is shuffled
+place in every document but the one with the largest id.  Only the
+places of lines (id, position, hash), written once as a table, travel to the
+counting and deciding steps; the text itself is shuffled
 once, for the reassembly by position.  A line that a third of all documents
 share is one row per map task in the count; in the join it is an ordinary
 shuffled inner join, whose skewed partitions AQE splits.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import digest, text_of
+from tarmac.llm.common import digest, text_of, written
 
 #: Characters stripped from both ends of a line (fixed values).
 BLANKS = " \t\n\x0b\x0c\r"
@@ -33,23 +34,26 @@ def line_key(line: Column) -> Column:
     return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def _hashes(text: Column, min_chars: int) -> Column:
-    """One 128-bit hash per line, null for lines too short to count."""
+def _marks(text: Column, min_chars: int) -> Column:
+    """(hash, position) of each line long enough to count, in order of hash."""
 
-    def one(line: Column) -> Column:
+    def one(line: Column, pos: Column) -> Column:
         key = line_key(line)
-        return F.when(F.length(key) >= min_chars, digest(key))
+        return F.struct(F.when(F.length(key) >= min_chars, digest(key)).alias("h"), pos.alias("pos"))
 
-    return F.transform(F.split(text, "\n"), one)
+    return F.array_sort(F.filter(F.transform(F.split(text, "\n"), one), lambda x: x["h"].isNotNull()))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Per document that loses lines: ``_id``, ``_th`` (text hash), ``_drop`` (sorted positions)."""
     text = text_of(text_col)
-    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), _hashes(text, min_chars).alias("_hashes"))
-    seen = base.select("_id", F.explode(F.array_distinct("_hashes")).alias("_h")).where("_h IS NOT NULL")
-    frequent = seen.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).where(F.col("_n") >= min_docs).select(F.col("_h").alias("_fh"), "_keep")
-    places = base.select("_id", "_th", F.posexplode("_hashes").alias("_pos", "_h")).where("_h IS NOT NULL")
+    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), _marks(text, min_chars).alias("_marks"))
+    # a document counts once for a hash: at the first of its equal neighbours
+    first = lambda x, i: F.struct(x["h"].alias("h"), x["pos"].alias("pos"), ((i == 0) | (F.get(F.col("_marks"), i - 1)["h"] != x["h"])).alias("first"))
+    # the outer explode keeps Spark from deriving a filter that would compute the array twice
+    places = base.select("_id", "_th", F.explode_outer(F.transform("_marks", first)).alias("_m")).where("_m IS NOT NULL")
+    places = written(places.select("_id", "_th", F.col("_m.h").alias("_h"), F.col("_m.pos").alias("_pos"), F.col("_m.first").alias("_first")), "lines")
+    frequent = places.where("_first").groupBy(F.col("_h").alias("_fh")).agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).where(F.col("_n") >= min_docs).select("_fh", "_keep")
     lost = places.join(frequent, F.col("_h") == F.col("_fh")).where(~F.col("_id").eqNullSafe(F.col("_keep")))
     return lost.groupBy("_id", "_th").agg(F.array_sort(F.collect_set("_pos")).alias("_drop"))
 
