@@ -75,7 +75,11 @@ def matched_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     pairs = pairs.select("_id", "_th", "_item", "_items", "_diagonal", "_words", token_hashes(F.col("_text")).alias("_tokens"))
     place = F.when(F.col("_diagonal") >= 0, F.col("_diagonal")).otherwise(0)
     # agreement word by word along the diagonal; overhanging words disagree
-    same = F.transform("_words", lambda w, j: F.when((F.col("_diagonal") + j >= 0) & F.coalesce(F.get(F.col("_tokens"), F.greatest(F.col("_diagonal") + j, F.lit(0))) == w, F.lit(False)), 1).otherwise(0))
+    over = F.greatest(-F.col("_diagonal"), F.lit(0))
+    ours_there = F.slice("_tokens", F.greatest(F.col("_diagonal"), F.lit(0)) + 1, F.size("_words") - over)
+    theirs_there = F.slice("_words", over + 1, F.size("_words"))
+    agreeing = F.zip_with(ours_there, theirs_there, lambda a, b: F.when(a.eqNullSafe(b), 1).otherwise(0))
+    same = F.concat(F.array_repeat(F.lit(0), over), agreeing)
     pairs = pairs.select("_id", "_th", "_item", "_items", place.cast("long").alias("_place"), same.alias("_same"))
     size = F.least(F.size("_same"), F.lit(window))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
