@@ -1 +1 @@
-
+"""Column expressions: geometry, tags, speeds, formatting."""

@@ -1 +1 @@
-
+"""Derived road network and search kernels."""

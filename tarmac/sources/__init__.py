@@ -1 +1 @@
-
+"""Readers, writers and format guards."""
