@@ -3,19 +3,19 @@
 Texts are cut into sentences; very long ones, which punctuation doesn't part, are
 cut after words chosen by their own hash, so that equal passages are cut alike
 wherever they stand.  From every sentence the shortest run of at least
-``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words is hashed to 128 bits.  All
-occurrences of a hash meet in a grouped aggregation that keeps the first place
-(smallest document, then position) and the count; sentences covered by any other
-occurrence are removed.
+``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words is hashed to 96 bits.  All
+occurrences of a hash meet in a grouped aggregation that keeps the smallest
+document and the count; sentences covered by any other occurrence (in another
+document, or later in the same one) are removed.
 
-The spans, one narrow row per sentence, are written once; a span that a third of
-all documents share is one row per map task in the aggregation, and its skewed
-partition is split by AQE in the join.
+The spans, one narrow row per sentence of fixed-width columns, are written once; a
+span that a third of all documents share is one row per map task in the
+aggregation, and its skewed partition is split by AQE in the join.
 
 Defined cases: null and empty texts have no sentence; texts shorter than a run
-lose nothing; a null id comes after all ids; rows that repeat id and text
-occupy the same place and are left alone as one (exact dedup is another
-operator's task), and lose the same sentences as the other.
+lose nothing; a null id comes after all ids; rows that share an id, and rows
+without one, count as one document: a span's copies in them are all first (exact
+dedup is another operator's task).
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -76,23 +77,36 @@ def spans(found: list[tuple[int, int, str, int]], min_sentences: int, min_words:
             end += 1
         if end - i < min_sentences or words < min_words:
             return
-        yield i, end - i, xxhash.xxh3_128_digest(" ".join(f[2] for f in found[i:end]))
+        yield i, end - i, xxhash.xxh3_128_digest(" ".join([f[2] for f in found[i:end]]))[:12]
         words -= found[i][3]
 
 
+_SPANS = "id long, th int, at int, n int, again boolean, h1 long, h2 int"
+
+
 def _spans(min_sentences: int, min_words: int):
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("h", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("again", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int32())])
+
+    def pack(out: list[tuple], hashes: list[bytes]) -> pa.RecordBatch:
+        h = np.frombuffer(b"".join(hashes), dtype=[("h1", "<i8"), ("h2", "<i4")])
+        columns = [pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.ascontiguousarray(h["h1"])), pa.array(np.ascontiguousarray(h["h2"]))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        hashes: list[bytes] = []
         for batch in batches:
             for doc, th, text in zip(*[batch.column(n).to_pylist() for n in ("id", "th", "text")]):
-                out += [(doc, th, *s) for s in spans(sentences(text), min_sentences, min_words)]
+                seen: set[bytes] = set()
+                for at, n, h in spans(sentences(text), min_sentences, min_words):
+                    out.append((doc, th, at, n, h in seen))
+                    hashes.append(h)
+                    seen.add(h)
                 if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                    out = []
+                    yield pack(out, hashes)
+                    out, hashes = [], []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            yield pack(out, hashes)
 
     return run
 
@@ -123,13 +137,13 @@ def substring_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document that loses sentences: id, th (text hash), ids of the
     documents that keep the first copies, sentences, removed ones, and the text left."""
     text = text_of(text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    found = written(base.mapInArrow(_spans(min_sentences, min_words), "id long, th long, at int, n int, h binary"), "spans")
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("at").alias("at"))
-    first = found.groupBy(F.col("h").alias("fh")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    later = found.join(first, F.col("h") == F.col("fh")).where(~place.eqNullSafe(F.col("first")))
-    runs = later.groupBy(F.col("id").alias("rid"), F.col("th").alias("rth")).agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("places"), F.array_sort(F.collect_set("first.id")).alias("first_ids"))
-    return base.join(runs, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("id", "th", "text", "places", "first_ids").mapInArrow(_edit, "id long, th long, first_ids array<long>, n_sentences long, n_removed long, kept_text string")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("th"), text.alias("text"))
+    found = written(base.mapInArrow(_spans(min_sentences, min_words), _SPANS), "spans")
+    # fixed-width keys and buffers keep this a hash aggregation
+    first = found.groupBy(F.col("h1").alias("f1"), F.col("h2").alias("f2")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    later = found.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(F.col("again") | ~F.col("id").eqNullSafe(F.col("first")))
+    runs = later.groupBy(F.col("id").alias("rid"), F.col("th").alias("rth")).agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("places"), F.array_sort(F.collect_set("first")).alias("first_ids"))
+    return base.join(runs, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("id", "th", "text", "places", "first_ids").mapInArrow(_edit, "id long, th int, first_ids array<long>, n_sentences long, n_removed long, kept_text string")
 
 
 def repeat_report(docs: DataFrame, **how) -> DataFrame:
@@ -140,5 +154,5 @@ def repeat_report(docs: DataFrame, **how) -> DataFrame:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with its own columns; texts without their repeated spans."""
     edits = substring_edits(docs, id_col, text_col, **how).select(F.col("id").alias("_eid"), F.col("th").alias("_eth"), F.col("kept_text").alias("_kept")).dropDuplicates(["_eid", "_eth"])
-    joined = docs.join(edits, docs[id_col].eqNullSafe(edits["_eid"]) & (F.xxhash64(text_of(docs[text_col])) == edits["_eth"]), "left")
+    joined = docs.join(edits, docs[id_col].eqNullSafe(edits["_eid"]) & (F.hash(text_of(docs[text_col])) == edits["_eth"]), "left")
     return joined.select(*[F.coalesce(edits["_kept"], docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
