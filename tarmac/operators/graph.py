@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tarmac.operators.etl import dense_ids
 from tarmac.plans.kernels import Csr, bisect, dijkstra
 from tarmac.schema import PARTITION_SEED
+from tarmac.sources.shared import kept
 
 
 def undirected_pairs(edges: DataFrame) -> DataFrame:
@@ -19,16 +20,16 @@ def undirected_pairs(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
 
 
-def partition(nodes: DataFrame, edges: DataFrame, max_cell: int, seed: int = PARTITION_SEED, keep=lambda df: df) -> DataFrame:
+def partition(nodes: DataFrame, edges: DataFrame, max_cell: int, seed: int = PARTITION_SEED) -> DataFrame:
     """Recursive inertial-flow bisection until no cell has more than ``max_cell`` nodes.
 
     Level by level: all parts that are too large are split at once, one task each,
-    with a direction drawn from the part's own path, so retries agree.  ``keep``
-    may store each level (a checkpoint or a table) to cut its lineage.  Cells are
-    numbered by their smallest node.
+    with a direction drawn from the part's own path, so retries agree.  Each
+    level is kept as a table, which cuts its lineage.  Cells are numbered by their
+    smallest node.
     """
-    parts = nodes.select("id", "x", "y", F.lit("r").alias("part"))
-    pairs = undirected_pairs(edges)
+    parts = kept(nodes.select("id", "x", "y", F.lit("r").alias("part")), "parts")
+    pairs = kept(undirected_pairs(edges), "pairs")
     rounds = max(1, math.ceil(math.log(max(2.0, nodes.count() / max_cell), 4 / 3)) + 1)
 
     def split(key: tuple, ns: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
@@ -46,7 +47,7 @@ def partition(nodes: DataFrame, edges: DataFrame, max_cell: int, seed: int = PAR
         at = lambda end: parts.select(F.col("id").alias(end), F.col("part").alias(f"part_{end}"))
         inner = pairs.join(at("a"), "a").join(at("b"), "b").where("part_a = part_b").select("a", "b", F.col("part_a").alias("part"))
         done = todo.groupBy("part").cogroup(inner.groupBy("part")).applyInPandas(lambda k, n, p: split(k, n, p) if len(n) else n[["id", "x", "y", "part"]], "id long, x double, y double, part string")
-        parts = keep(rest.unionByName(done))
+        parts = kept(rest.unionByName(done), "parts")
     number = parts.groupBy("part").agg(F.min("id").alias("cell"))
     return parts.join(number, "part").select("id", "cell")
 

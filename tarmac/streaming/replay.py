@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarmac.sources.shared import shared_folder
 from tarmac.streaming.edges import ROCKSDB, Cursor, Density, Fold, Multiplier, Strikes, folded
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that all executors share; local runs without one take a temporary folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_tarmac_streams", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tarmac-streams-")
-        spark._tarmac_streams = root
-    return f"{root}/stream-{uuid.uuid4().hex}"
-
-
 def replayed(spark: SparkSession, rows: DataFrame, key: str, processor: Fold) -> DataFrame:
     """All of ``rows`` through the stream, then each key's newest output row."""
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "stream")
     rows.write.parquet(f"{folder}/in")
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
