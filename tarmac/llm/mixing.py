@@ -117,13 +117,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     s = schedule(docs, id_col, text_col, source_col, **how)
     # equal rows hold equal places in turn, so that a repeated row is neither lost nor multiplied
-    turn = W.partitionBy("_id", "_th").orderBy("_at_first", "_at_second")
-    s = s.withColumn("_turn", F.row_number().over(turn))
+    keys = lambda c, th: (F.coalesce(F.col(c), F.lit(0)), F.col(c).isNull(), F.col(th))
+    named = ("_k0", "_k1", "_k2")
+    s = s.select("*", *[k.alias(n) for k, n in zip(keys("_id", "_th"), named)]).withColumn("_turn", F.row_number().over(W.partitionBy(*named).orderBy("_at_first", "_at_second")))
     twice = F.array(F.struct(F.lit(1).alias("p"), F.col("_first").alias("w"), F.col("_at_first").alias("t")), F.struct(F.lit(2).alias("p"), F.col("_second").alias("w"), F.col("_at_second").alias("t")))
-    takes = s.select("_id", "_th", "_turn", F.explode(twice).alias("_take")).where("_take.w > 0")
+    takes = s.select(*named, "_turn", F.explode(twice).alias("_take")).where("_take.w > 0")
     inner = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_did"), F.xxhash64(F.col(text_col)).alias("_dth"), F.col(source_col).alias("_dsource"))
-    inner = inner.withColumn("_dturn", F.row_number().over(W.partitionBy("_did", "_dth").orderBy("_dsource")))
-    out = inner.join(takes, F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dth") == F.col("_th")) & (F.col("_dturn") == F.col("_turn")))
+    # the window and the join deal texts out by the same keys, so they travel once;
+    # turns are compared by their difference, lest they become a key of the join
+    inner = inner.select("_doc", "_dsource", *[k.alias(n.replace("k", "d")) for k, n in zip(keys("_did", "_dth"), named)])
+    inner = inner.withColumn("_dturn", F.row_number().over(W.partitionBy("_d0", "_d1", "_d2").orderBy("_dsource")))
+    out = inner.join(takes, (F.col("_d0") == F.col("_k0")) & (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2")) & (F.col("_dturn") - F.col("_turn") == 0))
     out = out.select(*[F.col("_doc")[c].alias(c) for c in docs.columns], F.col("_take.p").alias("mix_pass"), F.col("_take.w").alias("mix_words"), F.col("_take.t").alias("mix_position"))
     return out.sort("mix_position", *([id_col] if docs.columns.count(id_col) == 1 else []))
 
@@ -151,6 +155,6 @@ WITH sizes AS (
   SELECT *, greatest(0, least(size, demand - before)) AS first, greatest(0, least(size, demand - words - before)) AS second, before / demand AS q FROM ordered
 )
 SELECT doc_id, size, words AS source_size, target, (first + second)::BIGINT AS taken,
-       CASE WHEN first > 0 THEN round(CASE WHEN slope = 0 THEN q ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * q) - (1 - slope)) / (2 * slope) END, 6) END AS position
+       CASE WHEN first > 0 THEN round(CASE WHEN slope = 0 THEN q ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * q) - (1 - slope)) / (2 * slope) END, 6) + 0.0::DOUBLE END AS position
 FROM taken
 """
