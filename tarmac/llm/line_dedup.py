@@ -66,18 +66,18 @@ def without(lines: Column, drop: Column) -> Column:
     return F.flatten(runs)
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+def _joined(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> tuple[DataFrame, Column]:
     lost = repeated_lines(docs, id_col, text_col, min_chars, min_docs)
     same = docs[id_col].eqNullSafe(lost["_id"]) & (F.xxhash64(text_of(docs[text_col])) == lost["_th"])
-    return docs.join(lost, same, "left")
+    return docs.join(lost, same, "left"), lost["_drop"]
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with its own columns; texts without their repeated lines."""
-    joined = _joined(docs, id_col, text_col, min_chars, min_docs)
-    cut = F.when(F.col("_drop").isNotNull(), F.split(text_of(docs[text_col]), "\n"))
+    joined, drop = _joined(docs, id_col, text_col, min_chars, min_docs)
+    cut = F.when(drop.isNotNull(), F.split(text_of(docs[text_col]), "\n"))
     # a column of its own, else it would be split anew for every run of lines
-    rows = joined.select(*[docs[c].alias(f"_d{i}") for i, c in enumerate(docs.columns)], "_drop", cut.alias("_lines"))
+    rows = joined.select(*[docs[c].alias(f"_d{i}") for i, c in enumerate(docs.columns)], drop.alias("_drop"), cut.alias("_lines"))
     at = f"_d{docs.columns.index(text_col)}"
     kept = F.when(F.col("_drop").isNull(), F.col(at)).otherwise(F.array_join(without(F.col("_lines"), F.col("_drop")), "\n"))
     return rows.select(*[(kept if c == text_col else F.col(f"_d{i}")).alias(c) for i, c in enumerate(docs.columns)])
@@ -85,9 +85,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Per document: id, ``n_lines``, ``n_dropped`` and ``kept_sha256`` of the text left."""
-    joined = _joined(docs, id_col, text_col, min_chars, min_docs)
+    joined, drop = _joined(docs, id_col, text_col, min_chars, min_docs)
     text = text_of(docs[text_col])
-    left = joined.select(docs[id_col].alias("doc_id"), text.alias("_text"), F.col("_drop"), F.split(text, "\n").alias("_lines"))
+    left = joined.select(docs[id_col].alias("doc_id"), text.alias("_text"), drop.alias("_drop"), F.split(text, "\n").alias("_lines"))
     lines = F.col("_lines")
     kept = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(without(lines, F.col("_drop")), "\n"))
     return left.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"), F.sha2(kept, 256).alias("kept_sha256"))

@@ -95,7 +95,7 @@ def bag_min_hash(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int,
     step = 0
     while len(owner):
         step += 1
-        draw = mix64(seed + _U(step) * _U(0xD1342543DE82EF95))
+        draw = mix64(seed + _U(step * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
         time = time - np.log(_unit(draw)) / rate
         draw = mix64(draw + _GOLDEN)
         register = (draw >> _U(32)).astype(np.int64) % registers
