@@ -1,9 +1,9 @@
 """Batches of route requests over the graph.
 
-The adjacency is checked before it is shipped: up to ``SHIPPED_EDGES`` edges it is
-broadcast as arrays and requests are spread over all tasks; beyond that a request
-meets only its source and target cells and the overlay (``two_level``), grouped by
-pair of cells.
+The adjacency is counted before it is shipped: up to ``SHIPPED_EDGES`` edges it is
+broadcast as arrays and requests are spread over all tasks.  Beyond that
+``shortest`` relaxes frontiers by joins (``relaxed``), which needs as many rounds as
+the longest path has edges and no task that holds the graph; the other modes raise.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tarmac.plans.kernels import Csr, TwoLevel, astar, bounded_repair, dijkstra, walk_back
 from tarmac.schema import ALTERNATIVE_PENALTY
+from tarmac.sources.shared import kept
 
 #: A graph of more edges isn't collected for broadcast.
 SHIPPED_EDGES = 5_000_000
@@ -37,6 +38,8 @@ def _spread(requests: DataFrame) -> DataFrame:
 
 def shortest(requests: DataFrame, edges: DataFrame, weight: str = "wt") -> DataFrame:
     """Cost and visited nodes per request; no row where there is no route or source and target are equal."""
+    if edges.limit(SHIPPED_EDGES + 1).count() > SHIPPED_EDGES:
+        return relaxed(requests, edges, weight)
     data = shipped(edges, weight)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,6 +57,21 @@ def shortest(requests: DataFrame, edges: DataFrame, weight: str = "wt") -> DataF
     return _spread(requests).mapInPandas(run, "request_id long, src long, dst long, cost long, visited long")
 
 
+def relaxed(requests: DataFrame, edges: DataFrame, weight: str = "wt") -> DataFrame:
+    """As ``shortest``, by distributed relaxation: each round joins the improved labels with
+    the edges and keeps the cheaper label per (source, node).  Labels are kept as tables."""
+    hops = kept(edges.groupBy(F.col("src").alias("hop_src"), F.col("dst").alias("hop_dst")).agg(F.min(weight).alias("hop_w")), "hops")
+    labels = kept(requests.select(F.col("src").alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(True).alias("fresh")), "labels")
+    while not (front := labels.where("fresh")).isEmpty():
+        reached = front.join(hops, F.col("node") == F.col("hop_src")).select("root", F.col("hop_dst").alias("node"), (F.col("cost") + F.col("hop_w")).alias("cost"), F.lit(True).alias("fresh"))
+        # the cheaper label wins; of equal ones the old, which isn't fresh
+        best = F.min(F.struct("cost", "fresh")).alias("b")
+        labels = kept(labels.withColumn("fresh", F.lit(False)).unionByName(reached).groupBy("root", "node").agg(best).select("root", "node", "b.cost", "b.fresh"), "labels")
+    seen = labels.groupBy(F.col("root").alias("src")).agg(F.count(F.lit(1)).alias("visited"))
+    found = requests.where("src <> dst").join(labels, (F.col("src") == F.col("root")) & (F.col("dst") == F.col("node")))
+    return found.select("request_id", "src", "dst", "cost").join(seen, "src").select("request_id", "src", "dst", F.col("cost").cast("long").alias("cost"), "visited")
+
+
 def goal_directed(requests: DataFrame, edges: DataFrame, nodes: DataFrame, weight: str = "wt", per_metre: float = 0.0) -> DataFrame:
     """As ``shortest``, by A* with ``per_metre`` times the straight distance as bound."""
     import math

@@ -94,6 +94,15 @@ def test_snap_is_brute_force(spark, maps):
     assert got == {k: min(MAPS["grid"]["nodes"], key=lambda n: (d2(lat, lon, n), n["id"]))["id"] for k, lat, lon in points}
 
 
+def test_relaxation_beyond_the_bound(spark, maps, monkeypatch):
+    nodes, edges = maps["oneway"]
+    req = spark.createDataFrame([(k, s, t) for k, (s, t) in enumerate(itertools.product(range(1, 7), repeat=2))], "request_id long, src long, dst long")
+    whole = edges.withColumn("wt", F.round(F.col("base_weight") * 100).cast("long"))
+    want = {r.request_id: r.cost for r in routing.shortest(req, whole).collect()}
+    monkeypatch.setattr(routing, "SHIPPED_EDGES", 3)
+    assert {r.request_id: r.cost for r in routing.shortest(req, whole).collect()} == want and len(want) == 30
+
+
 def test_alternatives_differ(spark, maps):
     _, edges = maps["diamond"]
     req = spark.createDataFrame([(1, 1, 4)], "request_id long, src long, dst long")
