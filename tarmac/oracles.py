@@ -72,7 +72,7 @@ VIEWS = {
     "measured": f"SELECT e.*, s.cell AS cell_src, d.cell AS cell_dst, s.lat AS lat1, s.lon AS lon1, d.lat AS lat2, d.lon AS lon2, round({haversine('s.lat', 's.lon', 'd.lat', 'd.lon')}, 3) AS length_m FROM ends e JOIN nodes s ON s.id = src JOIN nodes d ON d.id = dst",
     "edges": "SELECT *, row_number() OVER (ORDER BY src, dst, way_id) - 1 AS edge_id, round(length_m / (speed_kmh / 3.6::DOUBLE), 6) AS base_weight, round(round(length_m / (speed_kmh / 3.6::DOUBLE), 6) * 100)::BIGINT AS wt FROM measured",
     "ev": """SELECT x.event_id, epoch_us(ts) AS us, user_id, event_type, value, e.edge_id, e.length_m, e.base_weight, e.speed_kmh,
-        CASE WHEN event_type IN ('purchase', 'signup') THEN 0.5::DOUBLE + value / 50 WHEN event_type IN ('click', 'view') THEN e.length_m / (value / 3.6::DOUBLE) / e.base_weight ELSE -1.0::DOUBLE END AS ratio,
+        CASE WHEN event_type IN ('purchase', 'signup') THEN 0.5::DOUBLE + value / 50 WHEN event_type IN ('click', 'view') AND value > 0 THEN e.length_m / (value / 3.6::DOUBLE) / e.base_weight ELSE -1.0::DOUBLE END AS ratio,
         CASE WHEN event_type IN ('purchase', 'signup') THEN 0.15::DOUBLE ELSE 0.08::DOUBLE END AS alpha,
         CASE event_type WHEN 'click' THEN 1::BIGINT WHEN 'view' THEN -1::BIGINT END AS delta
       FROM events x, n JOIN edges e ON e.edge_id = (x.user_id * 7 + x.event_id % 3) % n.n""",

@@ -75,7 +75,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = rows.join(e.select("edge_id", "length_m", "base_weight", "speed_kmh"), "edge_id")
     full = F.col("event_type").isin("purchase", "signup")
-    sample = F.col("event_type").isin("click", "view")
+    sample = F.col("event_type").isin("click", "view") & (F.col("value") > 0)  # a speed of zero is no sample
     ratio = F.when(full, 0.5 + F.col("value") / 50).when(sample, F.col("length_m") / (F.col("value") / 3.6) / F.col("base_weight")).otherwise(-1.0)
     return rows.select("*", ratio.alias("ratio"), F.when(full, F.lit(EWMA_ALPHA)).otherwise(F.lit(SAMPLE_ALPHA)).alias("alpha"), F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", -1).cast("long").alias("delta"))
 
