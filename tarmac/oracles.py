@@ -184,7 +184,7 @@ def oracles() -> dict[str, str]:
     ids_text = "coalesce(string_agg(edge_id::VARCHAR, ',' ORDER BY step_idx), '')"
     tail = "FROM (SELECT route_id, coalesce(list(edge_id ORDER BY step_idx) FILTER (edge_id IS NOT NULL), []::BIGINT[]) AS a FROM legs GROUP BY route_id)"
     out = {
-        "s01_referenced_nodes": sql(f"SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM nodes WHERE id IN (SELECT unnest(refs) FROM ({LONG_WAY}) WHERE way_id % 3 = 0)"),
+        "s01_referenced_nodes": sql(f"SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM nodes WHERE id IN (SELECT unnest(refs) FROM ({LONG_WAY}))"),
         "s07_region_tree": "WITH f AS (SELECT 'r' || r_regionkey AS id, r_name AS name, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation WHERE n_nationkey % 9 <> 8) SELECT id, name, parent, coalesce((SELECT string_agg(c.id, ',' ORDER BY c.id) FROM f c WHERE c.parent = f.id), '') AS children FROM f",
         "s08_ready_regions": f"WITH f AS (SELECT 'maps/n' || s_nationkey || CASE WHEN {k} % 4 = 0 THEN '/sub' ELSE '' END AS dir, {k} % 3 AS p FROM supplier), ready AS (SELECT dir FROM f GROUP BY dir HAVING count(DISTINCT p) = 3) SELECT dir FROM ready WHERE NOT EXISTS (SELECT 1 FROM ready o WHERE starts_with(ready.dir, o.dir || '/'))",
         "s11_parse_latlon": f"SELECT {k}, CASE WHEN ok THEN la END AS lat, CASE WHEN ok THEN lo END AS lon, CASE WHEN ok THEN printf('%.5f, %.5f', la, lo) END AS label FROM (SELECT {k}, ({k} % 120)::DOUBLE AS la, -({k} % 200) - 0.25::DOUBLE AS lo, {k} % 7 <> 0 AND {k} % 120 <= 90 AND {k} % 200 + 0.25 <= 180 AS ok FROM supplier)",
@@ -272,7 +272,7 @@ def oracles() -> dict[str, str]:
         "t01_ewma": sql(f"SELECT edge_id, round({fold(SAMPLES)}, 6) AS weight, count(*) AS samples FROM ev WHERE event_type IN ('purchase', 'signup') AND ratio > 0 GROUP BY edge_id"),
         "t02_speed_sample": sql(f"SELECT edge_id, round({fold(SAMPLES)}, 6) AS weight, count(*) AS samples FROM ev WHERE event_type IN ('click', 'view') AND ratio > 0 GROUP BY edge_id"),
         "t03_density": sql("SELECT edge_id, density FROM dens"),
-        "t05_point_reads": sql("SELECT edge_id, round(coalesce(s.weight, 1.0::DOUBLE), 6) AS weight, coalesce(s.density, 0) AS density FROM edges LEFT JOIN state s USING (edge_id) WHERE edge_id % 2 = 0"),
+        "t05_point_reads": sql("SELECT edge_id, round(coalesce(s.weight, 1.0::DOUBLE), 6) AS weight, coalesce(s.density, 0) AS density FROM edges LEFT JOIN state s USING (edge_id)"),
         "t06_congested": sql("SELECT edge_id FROM state WHERE weight > 1.5::DOUBLE"),
         "t07_recommended_speed": sql("SELECT edge_id, limit_kmh, density, round(recommended_kmh, 6) AS recommended_kmh FROM advice"),
         "t08_decay": sql(f"SELECT edge_id, round({decayed}, 6) AS weight FROM ev WHERE ratio > 0 GROUP BY edge_id"),
