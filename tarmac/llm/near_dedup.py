@@ -11,10 +11,13 @@ with probability equal to the similarity.
 Signatures are cut into bands.  Texts that share a band meet at a leader of that
 band's bucket (one row per member, never all pairs), and the pair's multiset
 overlap is verified exactly.  Verified links form connected components by
-alternating large-star and small-star steps.  Later rounds choose other leaders
-for buckets that still hold more than one component, so that a link between two
-followers isn't lost.  Equal texts are folded before, so a group of copies is one
-row here.
+alternating large-star and small-star steps.  Two later rounds choose other
+leaders for buckets that still hold more than one component.  What those leave
+open is settled exactly, so that a link between two followers isn't lost: texts
+of open buckets are joined on the rarest fifth of their shingles, of which two
+texts at similarity 0.8 must share one, and the pairs of different components
+are verified like the others.  Equal texts are folded before, so a group of
+copies is one row here.
 
 With 24 bands of 4 rows a pair at similarity 0.8 shares no band with probability
 (1 - 0.8^4)^24 = 3e-6.
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import text_of, words, written
@@ -143,6 +146,59 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per shingle occurrence; the n-th occurrence is an element of its own, so multiset overlap is set overlap."""
+    for batch in batches:
+        tokens = batch.column("tokens")
+        offsets, values = tokens.offsets.to_numpy().astype(np.int64), tokens.values.to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_TOKENS, side="right")) - 1)
+            doc, h, n = shingle_counts(values[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            which = np.repeat(np.arange(len(doc)), n)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            element = mix64(h[which] + nth.astype(np.uint64) * _GOLDEN).view(np.int64)
+            owner = doc[which]
+            sizes = np.bincount(owner, minlength=to - at)
+            rows = pa.array(owner + at)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("root").take(rows), pa.array(sizes[owner]), pa.array(element)], names=["id", "root", "size", "element"])
+            at = to
+
+
+def open_pairs(shared: DataFrame, roots: DataFrame, tokens: DataFrame, similar: float) -> DataFrame | None:
+    """(``id``, ``leader``) of every pair in different components that can be similar, of texts in buckets with several components.
+
+    Prefix filter: a text of n elements overlaps a similar one in ``similar`` * n of
+    them or more, so the pair shares one of the rarest n - ceil(similar * n) + 1.
+    Elements of one text alone only use up places of that prefix.  The first element
+    that a pair shares must also leave enough behind it in both texts.
+    """
+    held = shared.join(roots, F.col("id") == F.col("node"), "left").select("id", "bucket", F.coalesce("root", "id").alias("root"))
+    several = held.groupBy(F.col("bucket").alias("b")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("b")
+    unsettled = written(held.join(several, F.col("bucket") == F.col("b"), "left_semi").select("id", "root").distinct(), "open")
+    if unsettled.isEmpty():
+        return None
+    rest = tokens.join(unsettled, F.col("tid") == F.col("id")).select("id", "root", "tokens")
+    elements = written(rest.mapInArrow(_elements, "id long, root long, size long, element long"), "elements")
+    frequent = elements.groupBy(F.col("element").alias("common")).agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    known = elements.join(frequent, F.col("element") == F.col("common")).select("id", "root", "size", "element", "texts")
+    of_text = Window.partitionBy("id")
+    ranked = known.select("*", F.count(F.lit(1)).over(of_text).alias("shared"), F.row_number().over(of_text.orderBy("texts", "element")).alias("place"))
+    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(similar) - F.lit(1e-9)) + 1
+    placed = ranked.withColumn("at", F.col("place") + F.col("size") - F.col("shared")).where(F.col("at") <= prefix)
+    kept = written(placed.select("id", "root", "size", "element", "at"), "prefixes")
+    # of two members in different components one at least is outside the element's largest component
+    per_root = kept.groupBy(F.col("element").alias("e"), F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    largest = per_root.groupBy("e").agg(F.max(F.struct("n", "r")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1").select("e", F.col("top.r").alias("r"))
+    crossing = kept.join(largest, F.col("element") == F.col("e"))
+    outside = crossing.where("root <> r").select(F.col("id").alias("oid"), F.col("root").alias("oroot"), F.col("size").alias("osize"), F.col("element").alias("oe"), F.col("at").alias("oat"))
+    # after the first shared element no more can be shared than what follows it in either
+    needed = F.ceil((F.col("size") + F.col("osize")) * F.lit(similar / (1 + similar)) - F.lit(1e-9))
+    close = F.least(F.col("size") - F.col("at"), F.col("osize") - F.col("oat")) + 1 >= needed
+    both = crossing.select("id", "root", "size", "element", "at").join(outside, (F.col("element") == F.col("oe")) & (F.col("root") != F.col("oroot")) & close)
+    return both.select(F.greatest("id", "oid").alias("id"), F.least("id", "oid").alias("leader")).distinct()
+
+
 def _verify(similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,6 +261,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens = written(docs.select(F.col(id_col).cast("long").alias("tid"), F.transform(words(text), lambda w: F.hash(w)).alias("tokens")).join(shared.select("id").distinct(), F.col("tid") == F.col("id"), "left_semi"), "tokens")
 
     tested = links = roots = None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        if tested is not None:
+            done = tested.select(F.col("id").alias("did"), F.col("leader").alias("dleader"))
+            pairs = pairs.join(done, (F.col("id") == F.col("did")) & (F.col("leader") == F.col("dleader")), "left_anti")
+        ours = pairs.join(tokens.withColumnRenamed("tokens", "ours"), F.col("id") == F.col("tid")).drop("tid")
+        both = ours.join(tokens.withColumnRenamed("tokens", "theirs"), F.col("leader") == F.col("tid")).drop("tid")
+        return written(both.select("id", "leader", "ours", "theirs").mapInArrow(_verify(similar), "id long, leader long, linked boolean"), "verified")
+
     for turn in range(ROUNDS):
         # each round has leaders of its own
         rank = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
@@ -215,18 +280,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lead = held.groupBy(F.col("bucket").alias("b")).agg(F.min(F.struct(rank.alias("rank"), F.col("id").alias("id"), F.col("root").alias("root"))).alias("lead"))
         pairs = held.join(lead, F.col("bucket") == F.col("b")).where(F.col("root") != F.col("lead.root"))
         pairs = pairs.select(F.greatest("id", "lead.id").alias("id"), F.least("id", "lead.id").alias("leader")).distinct()
-        if tested is not None:
-            done = tested.select(F.col("id").alias("did"), F.col("leader").alias("dleader"))
-            pairs = pairs.join(done, (F.col("id") == F.col("did")) & (F.col("leader") == F.col("dleader")), "left_anti")
-        ours = pairs.join(tokens.withColumnRenamed("tokens", "ours"), F.col("id") == F.col("tid")).drop("tid")
-        both = ours.join(tokens.withColumnRenamed("tokens", "theirs"), F.col("leader") == F.col("tid")).drop("tid")
-        result = written(both.select("id", "leader", "ours", "theirs").mapInArrow(_verify(similar), "id long, leader long, linked boolean"), "verified")
+        result = verified(pairs)
         tested = result if tested is None else tested.unionByName(result)
         new = result.where("linked").select(F.col("id").alias("u"), F.col("leader").alias("v"))
         if turn and new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
         roots = written(components(links), "roots")
+    pairs = open_pairs(shared, roots, tokens, similar)
+    if pairs is not None:
+        new = verified(pairs).where("linked").select(F.col("id").alias("u"), F.col("leader").alias("v"))
+        if not new.isEmpty():
+            roots = written(components(links.unionByName(new)), "roots")
     by_text = texts.join(roots, F.col("text_id") == F.col("node"), "left").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "text_id", F.coalesce("root", "text_id").alias("class_id"))
     found = named.join(by_text, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2"))).select(F.col("id").alias("doc_id"), "class_id", "text_id")
     alone = members.where("id IS NULL").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.col("id").alias("text_id"))

@@ -319,6 +319,32 @@ def test_near_dedup(spark, docs, rows, none):
     assert near_dedup.near_classes(none).count() == 0
 
 
+def test_open_pairs_miss_no_link(spark):
+    """All texts in one open bucket, each a component of its own: the prefix join finds every similar pair."""
+    rng = random.Random(11)
+    texts = []
+    for family in range(4):
+        base = [rng.randrange(60) for _ in range(120)]
+        for _ in range(14):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(3)] = [rng.randrange(60) for _ in range(rng.randrange(3))]
+            texts.append(own + own[: rng.choice((0, 0, 10, 40))])
+    texts += [[1, 2], [1, 2], [3], [7] * 20, [7] * 23, [7] * 40]
+    shared = spark.createDataFrame([(i, 1) for i in range(len(texts))], "id long, bucket long")
+    roots = spark.createDataFrame([], "node long, root long")
+    tokens = spark.createDataFrame(list(enumerate(texts)), "tid long, tokens array<int>")
+    got = {(r.leader, r.id) for r in near_dedup.open_pairs(shared, roots, tokens, near_dedup.SIMILAR).collect()}
+    arrays = [np.array(t, dtype=np.int32) for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if near_dedup.weighted_jaccard(arrays[i], arrays[j]) >= near_dedup.SIMILAR}
+    assert len(want) > 50 and want <= got
+    assert len(got) < len(texts) * (len(texts) - 1) // 4
+    # one component only: nothing is open
+    one = spark.createDataFrame([(i, 0) for i in range(len(texts))], "node long, root long")
+    assert near_dedup.open_pairs(shared, one, tokens, near_dedup.SIMILAR) is None
+
+
 def test_bag_min_hash_is_unbiased():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 60).astype(np.uint64)
