@@ -1,8 +1,11 @@
 """Substring dedup over sliding spans of sentences.
 
-Texts are cut into sentences; very long ones, which punctuation doesn't part, are
-cut after words chosen by their own hash, so that equal passages are cut alike
-wherever they stand.  From every sentence the shortest run of at least
+Texts are cut into sentences; those of more than ``LONG_SENTENCE`` words are cut after
+the word of the least hash in every window of as many words (winnowing), so that no
+piece is longer and equal passages are cut alike wherever they stand.  Of 50 words that
+two texts share, with their sentence ends and line breaks, at most 15 at either end lie
+in pieces that differ; the 20 or more between them are whole pieces, at least two, and
+so hold a span.  From every sentence the shortest run of at least
 ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words is hashed to 96 bits.  All
 occurrences of a hash meet in a grouped aggregation that keeps the smallest
 document and the count; sentences covered by any other occurrence (in another
@@ -13,7 +16,9 @@ span that a third of all documents share is one row per map task in the
 aggregation, and its skewed partition is split by AQE in the join.
 
 Defined cases: null and empty texts have no sentence; texts shorter than a run
-lose nothing; a null id comes after all ids; rows that share an id, and rows
+lose nothing; words are what stands between blanks and holds a letter or digit; of equal
+hashes in a window the last one cuts; passages whose line breaks or sentence ends differ
+meet only between these; a null id comes after all ids; rows that share an id, and rows
 without one, count as one document: a span's copies in them are all first (exact
 dedup is another operator's task).
 """
@@ -23,6 +28,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +40,38 @@ from tarmac.llm.common import text_of, written
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
-#: Sentences of more words are cut after words whose hash ends in three zero bits.
-LONG_SENTENCE = 24
+#: Sentences of more words are cut, after the least hash of every window of as many words.
+#: Any 50 shared words hold a span while twice this and MIN_WORDS are at most 50.
+LONG_SENTENCE = 15
 
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\S+")
 _NOISE = re.compile(r"[\W_]+")
 
 
+@lru_cache(maxsize=1 << 17)
+def _rank(word: str) -> int:
+    """Hash by which a word is chosen for a cut; -1 where it holds no letter or digit."""
+    norm = _NOISE.sub("", word.lower())
+    return zlib.crc32(norm.encode()) if norm else -1
+
+
+def _least(ranks: list[int], window: int) -> list[int]:
+    """Places of the least rank in every window, in order; of equal ones the last."""
+    places, low = [], -1
+    for end in range(window - 1, len(ranks)):
+        start = end - window + 1
+        if low < start:
+            part = ranks[start : end + 1]
+            low = end - part[::-1].index(min(part))
+        elif ranks[end] <= ranks[low]:
+            low = end
+        else:
+            continue
+        places.append(low)
+    return places
+
+
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, normalised, words) of each sentence, in order."""
     found, at = [], 0
@@ -49,17 +79,19 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
     for stop, after in bounds:
         if stop > at:
             words = text[at:stop].split()
-            if len(words) <= LONG_SENTENCE:
+            ranks = [_rank(w) for w in words]
+            real = [k for k, r in enumerate(ranks) if r >= 0]
+            if len(real) <= LONG_SENTENCE:
                 pieces = [(at, stop, words)] if words else []
             else:
-                pieces, start, held = [], at, []
-                for m in _WORD.finditer(text, at, stop):
-                    held.append(m[0])
-                    if len(held) > 1 and not zlib.crc32(_NOISE.sub("", m[0].lower()).encode()) & 7:
-                        pieces.append((start, m.end(), held))
-                        start, held = m.end(), []
-                if held:
-                    pieces.append((start, stop, held))
+                ends = [m.end() for m in _WORD.finditer(text, at, stop)]
+                pieces, start, first = [], at, 0
+                for k in _least([ranks[k] for k in real], LONG_SENTENCE):
+                    last = real[k] + 1
+                    pieces.append((start, ends[last - 1], words[first:last]))
+                    start, first = ends[last - 1], last
+                if first < len(words):
+                    pieces.append((start, stop, words[first:]))
             for a, b, words in pieces:
                 norm = _NOISE.sub(" ", " ".join(words).lower()).strip()
                 if norm:

@@ -486,3 +486,38 @@ def test_substring(spark, none):
     out = substring_dedup.substring_dedup(d)
     kept_columns(out, d)
     assert out.count() == len(rows) and substring_dedup.repeat_report(none).count() == 0
+
+
+def windows(text, n):
+    words = text.lower().split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def excerpts(rng, kind):
+    """Two texts that share 50 words, each inside words of its own."""
+    dull = "the and of der".split()
+    word = lambda: rng.choice(dull) if kind == "dull" else rng.choice(WORDS) + str(rng.randrange(99))
+    stop = {"long": 0.0, "dull": 0.0, "mixed": 0.06, "short": 0.15}[kind]
+    run = lambda n: [word() + ("." if rng.random() < stop else "") for _ in range(n)]
+    passage = run(50)
+    return [" ".join(run(rng.randrange(40)) + passage + run(rng.randrange(40))) for _ in range(2)]
+
+
+def test_fifty_shared_words_hold_a_span(spark):
+    rng = random.Random(12)
+    held = lambda t: {h for _, _, h in substring_dedup.spans(substring_dedup.sentences(t), 2, 20)}
+    for kind in ("long", "dull", "mixed", "short"):
+        for _ in range(1500):
+            a, b = excerpts(rng, kind)
+            assert windows(a, 50) & windows(b, 50) and held(a) & held(b), (kind, a, b)
+    texts = [t for kind in ("long", "mixed", "short") for _ in range(15) for t in excerpts(rng, kind)] + [" ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(300)) for _ in range(20)]
+    got = {r.doc_id: r for r in substring_dedup.repeat_report(table(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])).collect()}
+    shared = [windows(t, 50) for t in texts]
+    assert set(got) == {j for j in range(len(texts)) if any(shared[i] & shared[j] for i in range(j))}
+
+
+def test_pieces_are_short_and_whole():
+    text = "der " * 40 + "-- the and of -- " * 200 + "-- " * 30 + "amber birch. -- cedar"
+    found = substring_dedup.sentences(text)
+    assert max(n for *_, n in found) <= substring_dedup.LONG_SENTENCE and all(a[1] <= b[0] for a, b in itertools.pairwise(found))
+    assert " ".join(s[2] for s in found) == " ".join(re.findall("[a-z]+", text))
