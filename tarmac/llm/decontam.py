@@ -6,14 +6,16 @@ items; each hit names a diagonal (document position minus item position).  Along
 every diagonal with a hit the tokens are compared one by one, and an item is
 found where a window of ``WINDOW`` of its words (all of them, if it has fewer)
 agrees in at least 80 % of its places.  The masks miss no pattern of two
-substitutions in 13 words, which the tests go through one by one.
+substitutions in 13 words; shorter items have masks of four words of their own, which
+miss no pattern that the threshold allows.  The tests go through them one by one.
+Documents are hashed under the shorter masks only where the benchmark has such items.
 
 Hashes are computed inside array functions and exploded as plain longs; texts of
 documents with hits alone are shuffled again for the comparison.  The benchmark
 side is broadcast up to a measured number of rows and shuffled beyond it.
 
-Defined cases: null texts, and texts or items of fewer than six words, match
-nothing; items with equal words are found together; repeated rows are found alike.
+Defined cases: null texts, and items of fewer than six words, match nothing (the SQL
+finds the latter); items with equal words are found together; repeated rows are found alike.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from tarmac.llm.common import small, text_of, words, written
 
 #: Token positions that each mask looks at.
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 5))
-SPAN = 1 + max(m[-1] for m in MASKS)
+#: Those of items with fewer words than a window.
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 3, 4))
+SHORTEST_ITEM = 6
 WINDOW = 13
 AGREE = 0.8
 
@@ -34,24 +38,27 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def seeds(tokens: Column) -> Column:
+def seeds(tokens: Column, masks: tuple = MASKS) -> Column:
     """The hash of every mask at every position, masks innermost.
 
-    ``tokens`` must be a column of its own; windows that overhang the end don't count.
+    ``tokens`` must be a column of its own; masks that overhang the end are null.
     """
+    spans = [1 + m[-1] for m in masks]
 
-    def at(i: Column) -> Column:
-        return F.array(*[F.xxhash64(F.lit(k), *[F.get(tokens, i + o) for o in mask]) for k, mask in enumerate(MASKS)])
+    def one(mask: tuple[int, ...], span: int, i: Column) -> Column:
+        h = F.xxhash64(F.lit((MASKS + SHORT_MASKS).index(mask)), *[F.get(tokens, i + o) for o in mask])
+        return h if span == min(spans) else F.when(i + span <= F.size(tokens), h)
 
-    last = F.size(tokens) - SPAN
+    last = F.size(tokens) - min(spans)
+    at = lambda i: F.array(*[one(mask, span, i) for mask, span in zip(masks, spans)])
     return F.when(last >= 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)))
 
 
-def _placed(df: DataFrame, *keep: str) -> DataFrame:
+def _placed(df: DataFrame, *keep: str, masks: tuple = MASKS) -> DataFrame:
     """One row per seed: the columns ``keep``, ``_pos`` and ``_seed``."""
     # the outer form keeps Spark from deriving a filter that would compute the array twice
-    out = df.select(*keep, F.posexplode_outer(seeds(F.col("_tokens"))).alias("_k", "_seed")).where("_seed IS NOT NULL")
-    return out.select(*keep, F.floor(F.col("_k") / F.lit(len(MASKS))).cast("int").alias("_pos"), "_seed")
+    out = df.select(*keep, F.posexplode_outer(seeds(F.col("_tokens"), masks)).alias("_k", "_seed")).where("_seed IS NOT NULL")
+    return out.select(*keep, F.floor(F.col("_k") / F.lit(len(masks))).cast("int").alias("_pos"), "_seed")
 
 
 def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -63,9 +70,14 @@ def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: s
 def matched_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, agree: float = AGREE) -> DataFrame:
     """One row per document and found item: ``_id``, ``_th``, ``_items``, best window, agreeing words, position."""
     items = written(benchmark_items(benchmark), "items")
-    theirs = written(_placed(items.withColumnRenamed("_words", "_tokens"), "_item").withColumnsRenamed({"_pos": "_at", "_seed": "_theirs"}), "seeds")
+    tokens = items.withColumnRenamed("_words", "_tokens")
+    short = tokens.where(F.size("_tokens").between(SHORTEST_ITEM, WINDOW - 1))
+    theirs, masks = _placed(tokens.where(F.size("_tokens") >= WINDOW), "_item"), MASKS
+    if not short.isEmpty():
+        theirs, masks = theirs.unionByName(_placed(short, "_item", masks=SHORT_MASKS)), MASKS + SHORT_MASKS
+    theirs = written(theirs.withColumnsRenamed({"_pos": "_at", "_seed": "_theirs"}), "seeds")
     text = text_of(text_col)
-    ours = _placed(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), token_hashes(text).alias("_tokens")), "_id", "_th")
+    ours = _placed(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), token_hashes(text).alias("_tokens")), "_id", "_th", masks=masks)
     hits = ours.join(small(theirs), F.col("_seed") == F.col("_theirs"))
     diagonals = hits.select("_id", "_th", "_item", (F.col("_pos") - F.col("_at")).alias("_diagonal")).distinct()
     named = diagonals.select(F.col("_id").alias("_hid"), F.col("_th").alias("_hth"), F.col("_item").alias("_hitem"), "_diagonal")

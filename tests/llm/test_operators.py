@@ -275,6 +275,28 @@ def test_decontamination(spark, docs, rows, none):
     assert decontam.contamination(none, bench).count() == 0 and decontam.contamination(both, bench.limit(0)).count() == 0
 
 
+def accepted_losses(n):
+    """The sets of wrong places that the threshold allows in an item of n words, the largest ones."""
+    return [set(g) for g in itertools.combinations(range(n), n - -(-4 * n // 5))]
+
+
+def test_short_masks_miss_nothing():
+    for n in range(decontam.SHORTEST_ITEM, decontam.WINDOW):
+        for gone in accepted_losses(n):
+            assert any(all(p + o not in gone for o in m) for m in decontam.SHORT_MASKS for p in range(n - m[-1])), (n, gone)
+
+
+def test_short_items_are_found(spark):
+    items = {n: [f"n{n}w{j}" for j in range(n)] for n in range(1, 14)}
+    cases = [(n, gone) for n in range(decontam.SHORTEST_ITEM, 14) for gone in accepted_losses(n)]
+    texts = [" ".join(["before"] + [("changed" if j in gone else w) for j, w in enumerate(items[n])] + ["after"]) for n, gone in cases]
+    texts += [" ".join(items[6][1:]), " ".join(items[6][:5]), " ".join(items[6][:4])]  # five words of six, at the edge of a text
+    wanted = {(k, n) for k, (n, _) in enumerate(cases)} | {(len(cases), 6), (len(cases) + 1, 6)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contamination(docs, bench).collect()} == wanted
+
+
 # ---- 2: near duplicates --------------------------------------------------------
 
 
