@@ -3,7 +3,8 @@
 List entries are dated events: from its date on, a key (a domain or a path
 prefix of a host) is blocked, allowed, or removed from the list.  Events of a
 key become validity intervals [date, next date).  Every capture looks up the
-suffixes of its host and the prefixes of its path, and an as-of condition keeps
+suffixes of its host and its beginnings (host and path) of every length that a prefix
+of the list has, so prefixes may be of any depth and end anywhere, and an as-of condition keeps
 the entries that were active at fetch time.  The longest key decides; of equally
 long ones blocking wins.
 
@@ -39,8 +40,6 @@ ENTRIES = (
     ("2024-10-01", "domain", "example.net", "block"),
     ("2024-11-01", "domain", "tiontion.example.net", "allow"),
 )
-#: Deepest path prefix that is looked up.
-MAX_SEGMENTS = 3
 
 
 def list_entries(spark: SparkSession, entries: tuple = ENTRIES) -> DataFrame:
@@ -60,23 +59,26 @@ def host_of(url: Column) -> Column:
     return F.lower(F.rtrim(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1), F.lit(".")))
 
 
-def lookup_keys(url: Column) -> Column:
-    """All (kind, key) pairs under which a list may hold the URL."""
+def lookup_keys(url: Column, lengths: list[int]) -> Column:
+    """All (kind, key) pairs under which a list may hold the URL; ``lengths``: those of its prefixes."""
     host = host_of(url)
     parts = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("key")))
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
-    steps = F.split(F.lower(path), "/")  # what follows the last slash is no folder
-    folders = F.slice(steps, F.lit(1), F.least(F.size(steps) - 1, F.lit(MAX_SEGMENTS)))
-    prefixes = F.transform(folders, lambda _, i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(folders, F.lit(1), i + 1), "/"), F.lit("/")).alias("key")))
+    if not lengths:
+        return F.when(host != "", domains)
+    whole = F.concat(host, F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)))
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(whole))
+    prefixes = F.transform(fitting, lambda n: F.struct(F.lit("prefix").alias("kind"), F.substring(whole, F.lit(1), n).alias("key")))
     return F.when(host != "", F.concat(domains, prefixes))
 
 
 def url_verdicts(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """Per capture: id, host, fetch date, ``blocked``, and the deciding rule with its start."""
     base = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(time_col).cast("date").alias("_day"))
-    rules = small(written(intervals(entries), "intervals"))
-    keys = base.select("_id", "_url", "_day", F.explode(lookup_keys(F.col("_url"))).alias("_k")).select("_id", "_url", "_day", F.col("_k.kind").alias("_lk"), F.col("_k.key").alias("_lv"))
+    rules = written(intervals(entries), "intervals")
+    lengths = sorted(r["n"] for r in rules.where("_kind = 'prefix'").select(F.length("_key").alias("n")).distinct().collect())
+    rules = small(rules)
+    keys = base.select("_id", "_url", "_day", F.explode(lookup_keys(F.col("_url"), lengths)).alias("_k")).select("_id", "_url", "_day", F.col("_k.kind").alias("_lk"), F.col("_k.key").alias("_lv"))
     active = (F.col("_from") <= F.col("_day")) & (F.col("_to").isNull() | (F.col("_day") < F.col("_to")))
     hits = keys.join(rules, (F.col("_lk") == F.col("_kind")) & (F.col("_lv") == F.col("_key")) & active)
     best = F.max(F.struct(F.length("_key").alias("len"), "_block", "_key", "_from")).alias("_best")

@@ -245,6 +245,17 @@ def test_url_filter(spark):
     assert not any(r.blocked for r in url_filter.url_verdicts(captures, entries.limit(0)).collect())
 
 
+def test_prefixes_of_any_depth(spark):
+    keys = ["a.example/1/2/3/4/", "a.example/1/2/3/4/5/6/7/allowed/", "b.example/part", "c.example/", "d.example/x/page.html"]
+    entries = url_filter.list_entries(spark, tuple(("2024-01-01", "prefix", k, "allow" if "allowed" in k else "block") for k in keys))
+    urls = ["http://a.example/1/2/3/4/x", "http://a.example/1/2/3/4", "http://a.example/1/2/3/4/5/6/7/allowed/x", "http://A.example:80/1/2/3/4/5/6/7/x?y", "http://b.example/partly/x", "http://b.example/par", "http://c.example/", "http://c.example", "http://d.example/x/Page.html#top"]
+    captures = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("fetched", F.to_date(F.lit("2024-05-05")))
+    got = {r.page_id: (r.blocked, r.rule) for r in url_filter.url_verdicts(captures, entries).collect()}
+    bare = [re.sub(r":80|[?#].*", "", u.lower().removeprefix("http://")) for u in urls]
+    best = [max((k for k in keys if u.startswith(k)), key=len, default=None) for u in bare]
+    assert got == {k: (b is not None and "allowed" not in b, b) for k, b in enumerate(best)}
+
+
 # ---- 9: benchmark --------------------------------------------------------------
 
 
