@@ -299,7 +299,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``docs`` with one document of each class: that with the smallest id, once."""
+    """``docs`` with one document of each class: that with the smallest id, once (of rows
+    that share this id, one by its text's hash); rows with a null id all stay."""
     classes = near_classes(docs, id_col, text_col, similar)
     gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    heads = classes.where(F.col("doc_id") == F.col("class_id")).groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("_times"))
+    again = written(heads.where("_times > 1").select("_again"), "again")
+    if again.isEmpty():
+        return left
+    # only rows of repeated ids are numbered, so null ids and other texts travel no further
+    rows = left.join(again, docs[id_col] == again["_again"], "left_semi")
+    rows = rows.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs[id_col].alias("_did"), text_of(docs[text_col]).alias("_dtext"))
+    turn = F.row_number().over(Window.partitionBy("_did").orderBy(F.xxhash64("_dtext"), "_dtext"))
+    one = rows.withColumn("_dturn", turn).where("_dturn = 1").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+    return left.join(again, docs[id_col] == again["_again"], "left_anti").unionByName(one)

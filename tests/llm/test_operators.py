@@ -352,6 +352,14 @@ def test_near_dedup(spark, docs, rows, none):
     assert near_dedup.near_classes(none).count() == 0
 
 
+def test_near_dedup_counts_rows(spark):
+    rng = random.Random(13)
+    t, u, v, w = (" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(4))
+    rows = [(1, t), (1, t), (1, t), (2, t), (2, t), (3, u), (3, v), (4, w), (None, w), (None, w)]
+    left = near_dedup.near_dedup(table(spark, [(i, x, "en", "s") for i, x in rows])).collect()
+    assert Counter(r.doc_id for r in left) == {1: 1, 3: 1, 4: 1, None: 2} and all((r.doc_id, r.text) in rows for r in left)
+
+
 def test_open_pairs_miss_no_link(spark):
     """All texts in one open bucket, each a component of its own: the prefix join finds every similar pair."""
     rng = random.Random(11)
