@@ -574,7 +574,7 @@ def r15_repair_overlay(spark, sf):
 @query
 def r16_repair_base(spark, sf):
     jobs, e = _repair_jobs(spark, sf, D.edges(spark, sf).select("src", "dst"))
-    return routing.repairs(jobs, e, 8).select("job", "cost")
+    return routing.repairs(jobs, e, S.BASE_REPAIR_HOPS).select("job", "cost")
 
 
 # ---- routes --------------------------------------------------------------------

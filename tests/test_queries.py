@@ -38,3 +38,17 @@ def test_entry_point(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries()) and set(QUERIES) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_base_repair_takes_twenty_hops(spark, monkeypatch):
+    from tarmac import queries
+
+    chain = [(k, k + 1, 10, k) for k in range(30)] + [(0, d, 1, 100 + d) for d in (9, 20, 21)]
+    edges = spark.createDataFrame(chain, "src long, dst long, wt long, edge_id long")
+
+    def cost(dst):
+        own = edges.where(f"src <> 0 OR dst IN (1, {dst})")
+        monkeypatch.setattr(queries, "_repair_jobs", lambda *_: (spark.createDataFrame([(1, 0, dst, 4000)], "job long, src long, dst long, budget long"), own))
+        return [r.cost for r in QUERIES["r16_repair_base"](spark, SF).collect()]
+
+    assert cost(9) == [90] and cost(20) == [200] and cost(21) in ([], [None])
