@@ -37,15 +37,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import text_of, words, written
+from tarmac.llm.common import in_batches, text_of, words, written
 
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 SHINGLE = 5
 SIMILAR = 0.8
 ROUNDS = 3
-#: Tokens that a Python worker handles at a time.
-SLICE_TOKENS = 1_000_000
+#: Tokens that a Python worker handles at a time (a longer text is a slice of its own).
+SLICE_TOKENS = 100_000
+#: What Spark hands a Python worker at a time.
+BATCH_BYTES = 4 << 20
 
 _U = np.uint64
 _MULTIPLIER, _GOLDEN = _U(0x9E3779B97F4A7C15 | 1), _U(0x9E3779B97F4A7C15)
@@ -130,39 +132,37 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float(both / (n.sum() - both)) if len(n) else 0.0
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, their tokens, offsets of these) in slices of at most SLICE_TOKENS tokens, or one text."""
     for batch in batches:
         tokens = batch.column("tokens")
         offsets, values = tokens.offsets.to_numpy().astype(np.int64), tokens.values.to_numpy(zero_copy_only=False)
         at = 0
         while at < len(batch):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_TOKENS, side="right")) - 1)
-            own = offsets[at : to + 1] - offsets[at]
-            doc, h, n = shingle_counts(values[offsets[at] : offsets[to]], own)
-            hashes = band_hashes(bag_min_hash(doc, h, n, to - at))
-            empty = np.diff(own) == 0
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(empty, 0, BANDS)))), type=pa.int32()), pa.array(hashes[~empty].ravel(), type=pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), batch.column("k1").slice(at, to - at), batch.column("k2").slice(at, to - at), lists], names=["id", "k1", "k2", "bands"])
+            yield batch.slice(at, to - at), values[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
 
 
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, tokens, own in _slices(batches):
+        hashes = band_hashes(bag_min_hash(*shingle_counts(tokens, own), len(rows)))
+        empty = np.diff(own) == 0
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(empty, 0, BANDS)))), type=pa.int32()), pa.array(hashes[~empty].ravel(), type=pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("id", "k1", "k2")), lists], names=["id", "k1", "k2", "bands"])
+
+
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per shingle occurrence; the n-th occurrence is an element of its own, so multiset overlap is set overlap."""
-    for batch in batches:
-        tokens = batch.column("tokens")
-        offsets, values = tokens.offsets.to_numpy().astype(np.int64), tokens.values.to_numpy(zero_copy_only=False)
-        at = 0
-        while at < len(batch):
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_TOKENS, side="right")) - 1)
-            doc, h, n = shingle_counts(values[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
-            which = np.repeat(np.arange(len(doc)), n)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            element = mix64(h[which] + nth.astype(np.uint64) * _GOLDEN).view(np.int64)
-            owner = doc[which]
-            sizes = np.bincount(owner, minlength=to - at)
-            rows = pa.array(owner + at)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("root").take(rows), pa.array(sizes[owner]), pa.array(element)], names=["id", "root", "size", "element"])
-            at = to
+    for rows, tokens, own in _slices(batches):
+        doc, h, n = shingle_counts(tokens, own)
+        which = np.repeat(np.arange(len(doc)), n)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        element = mix64(h[which] + nth.astype(np.uint64) * _GOLDEN).view(np.int64)
+        owner = doc[which]
+        sizes = np.bincount(owner, minlength=len(rows))
+        at = pa.array(owner)
+        yield pa.RecordBatch.from_arrays([rows.column("id").take(at), rows.column("root").take(at), pa.array(sizes[owner]), pa.array(element)], names=["id", "root", "size", "element"])
 
 
 def open_pairs(shared: DataFrame, roots: DataFrame, tokens: DataFrame, similar: float) -> DataFrame | None:
@@ -179,7 +179,8 @@ def open_pairs(shared: DataFrame, roots: DataFrame, tokens: DataFrame, similar:
     if unsettled.isEmpty():
         return None
     rest = tokens.join(unsettled, F.col("tid") == F.col("id")).select("id", "root", "tokens")
-    elements = written(rest.mapInArrow(_elements, "id long, root long, size long, element long"), "elements")
+    with in_batches(rest.sparkSession, BATCH_BYTES):
+        elements = written(rest.mapInArrow(_elements, "id long, root long, size long, element long"), "elements")
     frequent = elements.groupBy(F.col("element").alias("common")).agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     known = elements.join(frequent, F.col("element") == F.col("common")).select("id", "root", "size", "element", "texts")
     of_text = Window.partitionBy("id")
@@ -251,7 +252,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("_text"), F.transform(words(text), lambda w: F.xxhash64(w)).alias("tokens"))
     key = lambda salt: F.when(F.size("tokens") > 0, F.xxhash64(F.lit(salt), "tokens")).otherwise(F.xxhash64(F.lit(salt + 10), "_text"))
     signed = base.select("id", key(1).alias("k1"), key(2).alias("k2"), "tokens").mapInArrow(_sign, "id long, k1 long, k2 long, bands array<long>")
-    members = written(signed, "signatures")
+    with in_batches(docs.sparkSession, BATCH_BYTES):
+        members = written(signed, "signatures")
     named = members.where("id IS NOT NULL")
     texts = written(named.groupBy("k1", "k2").agg(F.min("id").alias("text_id")), "texts")
     heads = named.join(texts.select(F.col("text_id").alias("tid"), F.col("k1").alias("t1"), F.col("k2").alias("t2")), (F.col("id") == F.col("tid")) & (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")), "left_semi")
@@ -268,7 +270,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pairs = pairs.join(done, (F.col("id") == F.col("did")) & (F.col("leader") == F.col("dleader")), "left_anti")
         ours = pairs.join(tokens.withColumnRenamed("tokens", "ours"), F.col("id") == F.col("tid")).drop("tid")
         both = ours.join(tokens.withColumnRenamed("tokens", "theirs"), F.col("leader") == F.col("tid")).drop("tid")
-        return written(both.select("id", "leader", "ours", "theirs").mapInArrow(_verify(similar), "id long, leader long, linked boolean"), "verified")
+        with in_batches(docs.sparkSession, BATCH_BYTES):
+            return written(both.select("id", "leader", "ours", "theirs").mapInArrow(_verify(similar), "id long, leader long, linked boolean"), "verified")
 
     for turn in range(ROUNDS):
         # each round has leaders of its own
