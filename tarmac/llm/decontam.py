@@ -8,18 +8,22 @@ found where a window of ``WINDOW`` of its words (all of them, if it has fewer)
 agrees in at least 80 % of its places.  The masks miss no pattern of two
 substitutions in 13 words; shorter items have masks of four words of their own, which
 miss no pattern that the threshold allows.  The tests go through them one by one.
-Documents are hashed under the shorter masks only where the benchmark has such items.
+Items of fewer than ``shortest`` words are left out: a phrase of few words is in many
+clean documents.  Where ``shortest`` lets them in, items of up to four words are
+sought word for word and those of five with any four.  Documents are hashed under
+the shorter masks only where the benchmark has such items.
 
-Hashes are computed inside array functions and exploded as plain longs; texts of
-documents with hits alone are shuffled again for the comparison.  The benchmark
+Hashes are computed inside array functions and exploded as plain longs.  The benchmark
 side is broadcast up to a measured number of rows and shuffled beyond it.
 
-Defined cases: null texts, and items of fewer than six words, match nothing (the SQL
-finds the latter); items with equal words are found together; repeated rows are found alike.
+Defined cases: null texts match nothing; items with equal words are found together;
+repeated rows are found alike.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,9 @@ from tarmac.llm.common import small, text_of, words, written
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 5))
 #: Those of items with fewer words than a window.
 SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 3, 4))
+#: Those of items of up to five words.
+TINY_MASKS = {1: ((0,),), 2: ((0, 1),), 3: ((0, 1, 2),), 4: ((0, 1, 2, 3),), 5: ((0, 1, 3), (0, 2, 3))}
+ALL_MASKS = tuple(dict.fromkeys([*MASKS, *SHORT_MASKS, *(m for masks in TINY_MASKS.values() for m in masks)]))
 SHORTEST_ITEM = 6
 WINDOW = 13
 AGREE = 0.8
@@ -46,7 +53,7 @@ def seeds(tokens: Column, masks: tuple = MASKS) -> Column:
     spans = [1 + m[-1] for m in masks]
 
     def one(mask: tuple[int, ...], span: int, i: Column) -> Column:
-        h = F.xxhash64(F.lit((MASKS + SHORT_MASKS).index(mask)), *[F.get(tokens, i + o) for o in mask])
+        h = F.xxhash64(F.lit(ALL_MASKS.index(mask)), *[F.get(tokens, i + o) for o in mask])
         return h if span == min(spans) else F.when(i + span <= F.size(tokens), h)
 
     last = F.size(tokens) - min(spans)
@@ -67,20 +74,29 @@ def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: s
     return rows.groupBy("_words").agg(F.array_sort(F.collect_set("_id")).alias("_items")).withColumn("_item", F.xxhash64("_words"))
 
 
-def matched_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, agree: float = AGREE) -> DataFrame:
+def masks_for(size: int) -> tuple:
+    """The masks for items of ``size`` words (WINDOW stands for more, too)."""
+    return MASKS if size >= WINDOW else TINY_MASKS.get(size, SHORT_MASKS)
+
+
+def matched_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, agree: float = AGREE, shortest: int = SHORTEST_ITEM) -> DataFrame:
     """One row per document and found item: ``_id``, ``_th``, ``_items``, best window, agreeing words, position."""
     items = written(benchmark_items(benchmark), "items")
     tokens = items.withColumnRenamed("_words", "_tokens")
-    short = tokens.where(F.size("_tokens").between(SHORTEST_ITEM, WINDOW - 1))
-    theirs, masks = _placed(tokens.where(F.size("_tokens") >= WINDOW), "_item"), MASKS
-    if not short.isEmpty():
-        theirs, masks = theirs.unionByName(_placed(short, "_item", masks=SHORT_MASKS)), MASKS + SHORT_MASKS
+    size = F.least(F.size("_tokens"), F.lit(WINDOW))
+    sizes = [r[0] for r in tokens.where(size >= max(1, shortest)).select(size).distinct().collect()]  # at most WINDOW rows
+    by_masks: dict[tuple, list[int]] = {MASKS: [WINDOW]}
+    for n in sorted(sizes):
+        by_masks.setdefault(masks_for(n), []).append(n)
+    theirs = [_placed(tokens.where(size.isin(ns)), "_item", masks=masks) for masks, ns in by_masks.items()]
+    masks = tuple(dict.fromkeys(m for group in by_masks for m in group))
+    theirs = reduce(DataFrame.unionByName, theirs)
     theirs = written(theirs.withColumnsRenamed({"_pos": "_at", "_seed": "_theirs"}), "seeds")
     text = text_of(text_col)
     ours = _placed(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), token_hashes(text).alias("_tokens")), "_id", "_th", masks=masks)
     hits = ours.join(small(theirs), F.col("_seed") == F.col("_theirs"))
-    diagonals = hits.select("_id", "_th", "_item", (F.col("_pos") - F.col("_at")).alias("_diagonal")).distinct()
-    named = diagonals.select(F.col("_id").alias("_hid"), F.col("_th").alias("_hth"), F.col("_item").alias("_hitem"), "_diagonal")
+    diagonals = hits.select(F.col("_id").alias("_hid"), F.col("_th").alias("_hth"), F.col("_item").alias("_hitem"), (F.col("_pos") - F.col("_at")).alias("_diagonal")).distinct()
+    named = diagonals
     texts = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("_th", F.xxhash64("_text"))
     pairs = named.join(texts, F.col("_hid").eqNullSafe(F.col("_id")) & (F.col("_hth") == F.col("_th")))
     pairs = pairs.join(small(items), F.col("_hitem") == F.col("_item"))

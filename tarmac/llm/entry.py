@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarmac.llm.common import table
 from tarmac.llm.decontam import DECONTAM_SQL, contamination
 from tarmac.llm.exact_dedup import EXACT_SQL, exact_report
-from tarmac.llm.language import language_report
+from tarmac.llm.language import language_report, page_report as page_languages
 from tarmac.llm.line_dedup import LINES_SQL, line_report
 from tarmac.llm.mixing import MIX_SQL, mix_report
 from tarmac.llm.near_dedup import near_classes
@@ -26,12 +26,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": lambda spark, sf: repeat_report(docs(spark, sf)),
         "op2_near_dedup": lambda spark, sf: near_classes(docs(spark, sf)),
         "op3_language_id": lambda spark, sf: language_report(docs(spark, sf)),
+        "llm_page_languages": lambda spark, sf: page_languages(pages(spark, sf), docs(spark, sf)),
         "op4_exact_dedup": lambda spark, sf: exact_report(docs(spark, sf)),
         "op5_toxicity": lambda spark, sf: toxicity_report(docs(spark, sf), table(spark, sf, "labels")),
         "op6_mixing": lambda spark, sf: mix_report(docs(spark, sf)),
         "op7_warc": lambda spark, sf: round_trip(pages(spark, sf)),
         "op8_url_filter": lambda spark, sf: page_report(pages(spark, sf)),
-        "op9_decontamination": lambda spark, sf: contamination(docs(spark, sf), table(spark, sf, "benchmark")),
+        "op9_decontamination": lambda spark, sf: contamination(docs(spark, sf), table(spark, sf, "benchmark"), shortest=1),
         "op10_line_dedup": lambda spark, sf: line_report(docs(spark, sf)),
     }
 

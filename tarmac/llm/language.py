@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.common import small, text_of, written
 
-#: Documented bound: text models are fitted on at most this many labelled rows.
+#: Documented bounds: text models are fitted on at most this many labelled rows, of texts of at most this many bytes.
 TRAIN_DOCUMENTS = 3000
+TRAIN_BYTES = 1 << 20
 BUCKETS = 1 << 15
 #: Text evidence counts as this many independent trigrams at most.
 INDEPENDENT = 60
@@ -96,10 +97,11 @@ class TextModel:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, limit: int = TRAIN_DOCUMENTS) -> list[tuple[str, str]]:
-    """At most ``limit`` labelled rows, chosen by the hash of their id; a quarter of all ids is held out."""
-    usable = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2)
+    """At most ``limit`` labelled rows, chosen by the hash of their id, one of each id; a quarter of all ids is held out."""
+    usable = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(text_of(text_col)) <= TRAIN_BYTES)).where(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2)
     chosen = usable.select(F.col(id_col).alias("_cid")).distinct().orderBy(F.xxhash64("_cid"), "_cid").limit(limit)
-    rows = usable.join(F.broadcast(chosen), F.col(id_col) == F.col("_cid")).select("_cid", text_of(text_col).alias("_text"), F.lower(F.col(label_col).cast("string")).alias("_lang")).collect()
+    rows = usable.join(F.broadcast(chosen), F.col(id_col) == F.col("_cid")).select("_cid", text_of(text_col).alias("_text"), F.lower(F.col(label_col).cast("string")).alias("_lang"))
+    rows = rows.groupBy("_cid").agg(F.min(F.struct("_lang", "_text")).alias("_row")).select("_cid", "_row.*").collect()
     return [(r["_text"], r["_lang"]) for r in sorted(rows, key=lambda r: (r["_cid"], r["_lang"], r["_text"]))]
 
 
@@ -151,9 +153,13 @@ def identify(docs: DataFrame, model: TextModel, id_col: str, text_col: str, host
     totals = [float(every[f"n{k}"] or 0) for k in range(n)]
     overall = [(c + 1) / (sum(totals) + n) for c in totals]
     flat = F.array(*[F.lit(p) for p in overall])
-    of_domain = counted("domain").select(F.col("domain").alias("d"), vector.alias("held")).select("d", F.when(F.col("d").isNull(), flat).otherwise(smoothed(F.col("held"), flat)).alias("upper"))
     of_host = counted("host", "domain").where("host IS NOT NULL").select("host", "domain", vector.alias("held"))
-    of_host = of_host.join(of_domain, F.col("domain").eqNullSafe(F.col("d"))).select(F.col("host").alias("h"), F.col("domain").alias("hd"), F.col("held"), "upper")
+    if domain is None:  # one level less
+        of_host = of_host.withColumn("upper", flat)
+    else:
+        of_domain = counted("domain").select(F.col("domain").alias("d"), vector.alias("held")).select("d", F.when(F.col("d").isNull(), flat).otherwise(smoothed(F.col("held"), flat)).alias("upper"))
+        of_host = of_host.join(small(written(of_domain, "domains")), F.col("domain").eqNullSafe(F.col("d")))
+    of_host = of_host.select(F.col("host").alias("h"), F.col("domain").alias("hd"), F.col("held"), "upper")
     priors = written(of_host.select("h", "hd", smoothed(F.col("held"), F.col("upper")).alias("prior")), "priors")
 
     def reliability(key: str) -> DataFrame:
@@ -203,6 +209,12 @@ def language_report(docs: DataFrame, **how) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "language", "probability", "text_language", "declared", F.coalesce(accepted(), F.lit(False)).alias("kept"))
 
 
+def page_report(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """The whole table of web pages under text models fitted on the labelled documents."""
+    found = page_languages(pages, TextModel.fit(training_rows(docs, "doc_id", "text", "lang")))
+    return found.select(F.col("_id").alias("page_id"), "host", "declared", "text_language", "language", "probability", F.coalesce(accepted(), F.lit(False)).alias("kept"))
+
+
 def page_languages(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Web pages: markup, host and suffix all count."""
     host, domain, suffix = host_parts(F.col(url_col))
