@@ -2,7 +2,12 @@
 
 The reader checks every record (gzip CRC, header, length, digests).  After a
 failed check it searches for the next gzip member or version line that starts a
-record, goes on there, and reports the bytes in between as a quarantined gap.
+record, goes on there, and reports the bytes in between as a quarantined gap.  The
+same holds inside a member of many records: what a damaged member still unpacks to is
+searched for version lines, and records whose own digest holds are recovered from it.
+If a member's checksum fails and no record in it does, the damage must lie in some
+header, and the whole member is quarantined; so is a record that ends just where a
+member breaks off.
 
 Archives live in the shared folder and are opened through pyarrow's file
 systems, so any store that it reaches will do.  A writing task puts its file
@@ -11,7 +16,8 @@ task replaces the file by an equal one.
 
 Defined cases: a null payload is empty; a null id is written as such and never
 becomes the response that others refer to while the group has another id; rows
-that repeat id and payload share their record type.
+that repeat id and payload share their record type; columns of the pages beside the
+three that are named play no part, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from uuid import UUID
 
 import pyarrow as pa
@@ -37,6 +43,10 @@ ROTATE_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 GZIP = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/[01]\.\d+\r?\n")
+#: A header that doesn't end within so many bytes is damaged.
+HEADER_BYTES = 1 << 20
+#: Records of a member wait for its checksum up to so many bytes; beyond them those with a digest of their own go on.
+HELD_BYTES = 64 << 20
 
 
 def sha1_base32(data: bytes) -> str:
@@ -81,22 +91,29 @@ class Record:
 
 @dataclass
 class Gap:
+    """Bytes of the archive that are quarantined; with ``inside``, bytes of the unpacked member at ``offset``, from there on."""
+
     offset: int
     length: int
     reason: str
+    inside: int | None = None
 
 
 class Damaged(Exception):
-    pass
+    """A failed check; ``need``: bytes from the record's start that might mend it."""
+
+    def __init__(self, reason: str, need: int = 0):
+        super().__init__(reason)
+        self.need = need
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+def parse_record(data: bytes | bytearray, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """(headers, block, end) of the record at ``at``; raises Damaged."""
     if not (m := VERSION.match(data, at)):
-        raise Damaged("no version line")
+        raise Damaged("no version line", need=32 if len(data) - at < 32 else 0)
     close = re.compile(rb"\r?\n\r?\n").search(data, m.end() - 1)
     if not close:
-        raise Damaged("headers don't end")
+        raise Damaged("headers don't end", need=len(data) - at + 1 if len(data) - at < HEADER_BYTES else 0)
     headers: dict[str, str] = {}
     for line in data[m.end() : close.start()].decode("utf-8", "replace").splitlines():
         name, colon, value = line.partition(":")
@@ -108,11 +125,11 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("bad length")
     start, end = close.end(), close.end() + int(length)
     if end > len(data):
-        raise Damaged("block cut short")
+        raise Damaged("block cut short", need=end - at + 2)
     tail = re.compile(rb"(\r?\n){2}").match(data, end)
     if not tail:
-        raise Damaged("no end of record")
-    block = data[start:end]
+        raise Damaged("no end of record", need=len(data) - at + 1 if len(data) < end + 4 else 0)
+    block = bytes(data[start:end])
     stated = headers.get("warc-block-digest", "")
     if stated.startswith("sha1:") and stated[5:] != sha1_base32(block):
         raise Damaged("block digest differs")
@@ -120,36 +137,115 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
 
 
 class SalvageReader:
-    """Iterates over the Records and Gaps of one archive, gzipped by record or plain."""
+    """Iterates over the Records and Gaps of one archive, gzipped by record, by several, as a whole, or plain."""
 
     def __init__(self, source, size: int):
         """``source``: random access through read_at(n, offset)."""
         self.source, self.size = source, size
 
-    def _member(self, at: int) -> tuple[bytes, int]:
-        unpacker, parts, pos = zlib.decompressobj(31), [], at
-        try:
-            while not unpacker.eof:
-                chunk = self.source.read_at(CHUNK, pos)
-                if not chunk:
-                    raise Damaged("member cut short")
-                pos += len(chunk)
-                parts.append(unpacker.decompress(chunk))
-        except zlib.error as e:
-            raise Damaged(f"member: {e}") from None
-        return b"".join(parts), pos - len(unpacker.unused_data)
+    def _unpacked(self, at: int) -> Iterator[bytes]:
+        """What the member at ``at`` unpacks to, up to its damage if any; returns its end."""
+        unpacker, pos = zlib.decompressobj(31), at
+        while not unpacker.eof:
+            chunk = self.source.read_at(CHUNK, pos)
+            if not chunk:
+                raise Damaged("member cut short")
+            spare = unpacker.copy()
+            try:
+                part = unpacker.decompress(chunk)
+            except zlib.error as e:
+                yield from self._up_to_damage(spare, chunk)
+                raise Damaged(f"member: {e}") from None
+            pos += len(chunk)
+            yield part
+        return pos - len(unpacker.unused_data)
+
+    @staticmethod
+    def _up_to_damage(unpacker, chunk: bytes) -> Iterator[bytes]:
+        """A chunk in ever smaller steps, so that nothing in front of the damage is lost."""
+        at = 0
+        for step in (4096, 64, 1):
+            while at < len(chunk):
+                spare = unpacker.copy()
+                try:
+                    yield unpacker.decompress(chunk[at : at + step])
+                except zlib.error:
+                    unpacker = spare
+                    break
+                at += step
+
+    def _member(self, at: int) -> Iterator[Record | Gap]:
+        """Records and Gaps of the member at ``at``; returns where to go on."""
+        feed, data, base, want = self._unpacked(at), bytearray(), 0, CHUNK
+        end = failure = lost = None
+        held: list[Record | Gap] = []
+        waiting, reason, released = 0, "", False
+        gap = lambda: Gap(at, base - lost, reason, inside=lost)
+        sealed = lambda x: isinstance(x, Gap) or x.headers.get("warc-block-digest", "").startswith("sha1:")
+
+        while True:
+            while end is None and failure is None and len(data) < want:
+                try:
+                    data += next(feed)
+                except StopIteration as stop:
+                    end = stop.value
+                except Damaged as e:
+                    failure = e
+            if not data:
+                break
+            try:
+                headers, block, n = parse_record(data)
+            except Damaged as e:
+                if e.need > len(data) and end is None and failure is None:
+                    want = max(e.need, 2 * len(data))
+                    continue
+                if lost is None:
+                    lost, reason = base, str(e)
+                mark = VERSION.search(data, 1)
+                last = end is not None or failure is not None
+                cut = mark.start() if mark else len(data) if last else max(1, len(data) - 16)  # a version line may straddle two chunks
+                del data[:cut]
+                base, want = base + cut, CHUNK
+                continue
+            if lost is not None:
+                held.append(gap())
+                lost = None
+            held.append(Record(at, 0, headers, block))
+            waiting += len(block)
+            del data[:n]
+            base, want = base + n, CHUNK
+            if waiting > HELD_BYTES:
+                yield from filter(sealed, held)
+                held, waiting, released = [x for x in held if not sealed(x)], 0, True
+        if lost is not None:
+            held.append(gap())
+        resume, kept = end, held
+        checksum = bool(re.search("(data|length) check", str(failure)))
+        if failure is not None:
+            resume = self._next(at + 1)
+            touched = held[-1:] if lost is None and not checksum else []  # ends where the damage begins
+            kept = [x for x in held if sealed(x) and x not in touched]
+            if checksum and not any(isinstance(x, Gap) for x in kept):
+                kept = []
+        if not released and not any(isinstance(x, Record) for x in kept):
+            yield Gap(at, resume - at, reason or str(failure or "empty member"))
+            return resume
+        yield from (x if isinstance(x, Gap) else replace(x, length=resume - at) for x in kept)
+        if failure is not None and (not checksum or len(kept) < len(held)):
+            yield Gap(at, 0, str(failure), inside=base)
+        return resume
 
     def _plain(self, at: int) -> tuple[Record, int]:
         want = CHUNK
-        while True:  # a record longer than what was read is read again, doubled
+        while True:  # a record longer than what was read is read again
             data = self.source.read_at(min(want, self.size - at), at)
             try:
                 headers, block, end = parse_record(data)
                 return Record(at, end, headers, block), at + end
             except Damaged as e:
-                if len(data) == self.size - at or str(e) not in ("block cut short", "headers don't end", "no end of record"):
+                if not len(data) < e.need <= self.size - at:
                     raise
-                want *= 2
+                want = max(e.need, 2 * want)
 
     def _starts(self, at: int) -> bool:
         """Whether a record or the member of one starts here."""
@@ -177,19 +273,12 @@ class SalvageReader:
     def __iter__(self) -> Iterator[Record | Gap]:
         at = 0
         while at < self.size:
+            if self.source.read_at(3, at) == GZIP:
+                at = yield from self._member(at)
+                continue
             try:
-                if self.source.read_at(3, at) == GZIP:
-                    data, end = self._member(at)
-                    found, pos = [], 0
-                    while pos < len(data):
-                        headers, block, pos = parse_record(data, pos)
-                        found.append(Record(at, end - at, headers, block))
-                    if not found:
-                        raise Damaged("empty member")
-                    yield from found
-                else:
-                    record, end = self._plain(at)
-                    yield record
+                record, end = self._plain(at)
+                yield record
                 at = end
             except Damaged as e:
                 resume = self._next(at + 1)
@@ -239,18 +328,17 @@ def write_archives(pages: DataFrame, directory: str, id_col: str = "page_id", ur
     """
     body = text_of(payload_col).cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("body")).select("*", F.sha1("body").alias("sha"), F.octet_length("body").cast("long").alias("n"))
-    narrow = written(base.select("id", "sha", "n"), "payloads")
-    first = narrow.where(F.col("n") >= min_bytes).groupBy(F.col("sha").alias("fsha"), F.col("n").alias("fn")).agg(F.min("id").alias("first"))
+    # SHA-1 is what archives state; payloads that were made to collide under it differ in SHA-256
+    narrow = written(base.select("id", "sha", F.unhex(F.sha2("body", 256)).alias("key"), "n"), "payloads")
+    first = narrow.where(F.col("n") >= min_bytes).groupBy(F.col("key").alias("fkey")).agg(F.min("id").alias("first"))
     # only revisits need their response's id, one row each
-    again = narrow.join(first, (F.col("sha") == F.col("fsha")) & (F.col("n") == F.col("fn"))).where(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
+    again = narrow.join(first, F.col("key") == F.col("fkey")).where(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
     again = again.select(F.col("id").alias("rid"), F.col("sha").alias("rsha"), "first").distinct()
     rows = base.join(again, F.col("id").eqNullSafe(F.col("rid")) & (F.col("sha") == F.col("rsha")), "left")
     rows = rows.select("id", "url", F.when(F.col("first").isNull(), F.col("body")).alias("body"), "sha", "n", "first").sortWithinPartitions("id", "sha")
     return written(rows.mapInArrow(_write_part(directory, compress), "path string, records long, bytes long"), "archives")
 
 
-
-
 def _read_parts(with_payload: bool):
     fields = [("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("gap", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64())] + [("payload", pa.binary())] * with_payload
     schema = pa.schema(fields)
@@ -260,7 +348,8 @@ def _read_parts(with_payload: bool):
 
     def one(path: str, x: Record | Gap) -> tuple:
         if isinstance(x, Gap):
-            return (path, x.offset, x.length, x.reason, *[None] * (len(fields) - 4))
+            where = "" if x.inside is None else f", unpacked from byte {x.inside} on"
+            return (path, x.offset, x.length, x.reason + where, *[None] * (len(fields) - 4))
         h = x.headers
         kind, payload = h.get("warc-type"), x.payload
         whole = kind != "revisit"
@@ -290,18 +379,20 @@ def _read_parts(with_payload: bool):
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """One row per record or gap of the archives (column ``path``), read archive by archive."""
+    """One row per record or gap of the archives (column ``path``), read by one task each."""
     kinds = "path string, offset long, length long, gap string, page_id long, url string, record_type string, refers_to long, digest string, payload_bytes long" + ", payload binary" * with_payload
-    files = archives.select("path").distinct()
-    n = max(1, min(20_000, archives.count()))
-    return files.repartition(n, "path").mapInArrow(_read_parts(with_payload), kinds)
+    files = written(archives.select("path").distinct(), "paths")
+    n = max(1, min(20_000, files.count()))
+    # by range every path has a partition of its own, which hashes can't promise
+    return files.repartitionByRange(n, "path").mapInArrow(_read_parts(with_payload), kinds)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write all pages as archives and read them back: one row per page."""
+    """Write all pages as archives and read them back: one row per page.  A gap in them, which would lose pages, is an error."""
     archives = write_archives(pages, shared_path(pages.sparkSession, "warc"), min_bytes=min_bytes)
-    found = read_archives(archives, with_payload=False).where("gap IS NULL")
-    return found.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    found = read_archives(archives, with_payload=False)
+    whole = F.when(F.col("gap").isNotNull(), F.raise_error(F.concat_ws(" ", F.lit("damaged archive"), "path", "gap"))).otherwise(F.col("page_id")).cast("long")
+    return found.select(whole.alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
 WARC_SQL = """
