@@ -1,11 +1,11 @@
 """Exact dedup with an extendible-hash index kept in shared files.
 
 Build: texts are hashed to 64 bits; the directory starts with one bucket and is
-doubled until no bucket holds more than ``capacity`` distinct hashes (bounded by
-``MAX_DEPTH``; capacity grows with the data, so the directory never exceeds
-2**MAX_DEPTH entries).  Map tasks first fold their own copies into one row, so a
+doubled until no bucket holds more than ``capacity`` distinct hashes, so its depth
+follows the number of documents and an owner's share doesn't grow with them (beyond
+2**MAX_DEPTH slots, which is some 10**10 documents, the capacity grows instead).  Map tasks first fold their own copies into one row, so a
 text that a third of all rows hold leaves each task once.  Owner tasks then take
-whole buckets - ranges of hash prefixes - in hash order, compare the bytes of
+one bucket each - a range of hash prefixes - in hash order, compare the bytes of
 texts that collide, and chain different ones under the same hash.  The index
 entries are written as Parquet files by bucket in the shared folder.
 
@@ -19,6 +19,7 @@ each and are kept alike.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.common import shared_path, text_of, written
 
-MAX_DEPTH = 12
+#: The directory, which the driver builds and every task reads, has at most 2**MAX_DEPTH slots.
+MAX_DEPTH = 20
 #: A map task folds copies within this many bytes of text at a time.
 FOLD_BYTES = 32 << 20
 
@@ -35,7 +37,7 @@ FOLD_BYTES = 32 << 20
 class Directory:
     """Extendible-hash directory over the top bits of a 64-bit hash."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH):
+    def __init__(self, counts: dict[int, int], capacity: int, max_depth: int = 12):
         """``counts``: keys per prefix of ``max_depth`` bits."""
         self.max_depth = max_depth
         sums = [0]
@@ -59,9 +61,12 @@ class Directory:
             for slot in range(prefix << spare, (prefix + 1) << spare):
                 self.slots[slot] = bucket
 
-    def bucket_of(self, h: Column) -> Column:
-        top = F.shiftrightunsigned(h, 64 - self.depth) if self.depth else F.lit(0)
-        return F.element_at(F.array(*[F.lit(b) for b in self.slots]), top.cast("int") + 1)
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the ``bucket`` of their hash ``h``; each bucket is a partition of its own."""
+        slots = rows.sparkSession.createDataFrame(pa.table({"slot": pa.array(range(len(self.slots)), pa.int32()), "bucket": pa.array(self.slots, pa.int32())}))
+        top = F.shiftrightunsigned("h", 64 - self.depth).cast("int") if self.depth else F.lit(0)
+        named = rows.withColumn("top", top).join(F.broadcast(slots), F.col("top") == F.col("slot")).drop("top", "slot")
+        return named.repartitionById(len(self.buckets), "bucket")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -125,13 +130,14 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = text_of(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("_text")).select("id", hasher(F.col("_text")).alias("h"), F.sha2("_text", 256).alias("sha"), F.col("_text").cast("binary").alias("body"))
     keys = written(base.select("id", "h", "sha"), "keys")
-    prefix = F.shiftrightunsigned("h", 64 - MAX_DEPTH).cast("int")
-    counted = keys.select("h").distinct().groupBy(prefix.alias("p")).count().collect()  # at most 2**MAX_DEPTH rows
+    bits = min(MAX_DEPTH, math.ceil(math.log2(max(1.0, keys.count() / capacity))) + 3)
+    prefix = F.shiftrightunsigned("h", 64 - bits).cast("int")
+    counted = keys.select("h").distinct().groupBy(prefix.alias("p")).count().collect()  # at most 2**bits rows
     counts = {r["p"]: r["count"] for r in counted}
-    directory = Directory(counts, max(capacity, 4 * sum(counts.values()) >> MAX_DEPTH))
+    directory = Directory(counts, max(capacity, 4 * sum(counts.values()) >> MAX_DEPTH), bits)
     rows = base.select("h", "sha", "body", F.col("id").alias("last"), F.lit(1).cast("long").alias("n"))
     folded = rows.mapInArrow(_fold, "h long, sha string, body binary, last long, n long")
-    owned = folded.withColumn("bucket", directory.bucket_of(F.col("h"))).repartition(len(directory.buckets), "bucket").sortWithinPartitions("bucket", "h")
+    owned = directory.placed(folded).sortWithinPartitions("h")
     path = shared_path(spark, "index")
     owned.mapInArrow(_chain, "bucket int, h long, slot int, sha string, last long, n long").write.partitionBy("bucket").parquet(path)
     entries = spark.read.schema("h long, slot int, sha string, last long, n long, bucket int").parquet(path)
