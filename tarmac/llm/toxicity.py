@@ -4,10 +4,11 @@ A text is its units: white-space tokens without punctuation (so ``i.d.i.o.t`` is
 one unit), and runs of single letters set apart (``i d i o t``).  Units are
 compared by the gap-weighted subsequence kernel of order three, normalised, which
 tolerates inserted and left-out characters.  A bounded sample of labelled
-documents is cut into labelled sentences; the telling units of toxic ones (multiple-instance
-learning: the sentence's label is known, the unit is not) and the units of others
-are embedded by Nystroem's method on landmark units, and a squared-hinge SVM is
-fitted in that space.  The SVM, linear in the kernel with the landmarks, is
+documents is cut into labelled sentences, and a squared-hinge SVM is fitted on their units,
+embedded by Nystroem's method on landmark units.  Which unit makes a toxic document
+toxic isn't known (multiple-instance learning): the first round starts from the units that
+stand out in toxic sentences, and every further round adds, from each toxic
+document that has none of them, the unit that the last SVM places highest.  The SVM, linear in the kernel with the landmarks, is
 folded into one weight per character triple, so scoring needs no landmarks: the
 margin of a unit is a weighted sum over its triples divided by its own norm.  A
 document's score is a calibrated sigmoid of its largest margin.
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.common import text_of
 
-#: Documented bound: the model is fitted on at most this many labelled documents.
+#: Documented bounds: the model is fitted on at most this many labelled documents, of at most this many bytes each.
 TRAIN_DOCUMENTS = 3000
+TRAIN_BYTES = 1 << 20
 LANDMARKS = 120
 DECAY = 0.6
 THRESHOLD = 0.3
@@ -72,6 +74,11 @@ def _windows(unit: str) -> list[str]:
     return [unit[i : i + LONGEST] for i in range(0, len(unit) - step, step)]
 
 
+def pieces(token: str) -> list[str]:
+    """What is learned and scored of a token: its windows of three characters or more."""
+    return [w for w in _windows(clean(token)) if len(w) >= 3]
+
+
 def encode(units: list[str], length: int) -> np.ndarray:
     points = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).reshape(len(units), length).astype(np.int64)
     return np.where(points < 0x250, _TABLE[np.minimum(points, 0x24F)], 26 + points % 38)
@@ -210,13 +217,14 @@ def lower_bound(hits: int, of: int, z: float = 2.0) -> float:
 def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 3) -> Scorer:
     """A Scorer from (text, label) pairs.
 
-    Sentences carry their document's label.  Which unit makes a toxic sentence
-    toxic isn't known: its telling units are those whose share of toxic places
-    (documents, or different units before them if those are fewer, so copies count once) is surely above
-    half, or three times the rate of all documents.  They are
-    the positive examples; the negatives are the units of the other documents,
-    the common ones and, round by round, those that the last SVM places highest,
-    which also become landmarks.
+    Sentences carry their document's label.  The first positive examples are units whose
+    share of toxic places (documents, or different units before them if those are
+    fewer, so copies count once) is surely above half, or three times the rate of all
+    documents.  Later rounds choose by margin: the witness of a toxic document without
+    such a unit is that of the largest margin, if it is positive and the unit isn't
+    in more clean documents than toxic ones.  The negatives are the units of the
+    other documents, the common ones and, round by round, those that the last SVM
+    places highest, which also become landmarks.
     """
     labels = np.array([y for _, y in rows], dtype=int)
     if len(set(labels.tolist())) < 2:
@@ -225,17 +233,20 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 3
     toxic_in: Counter = Counter()
     contexts: dict[str, set[str]] = {}  # of units in toxic sentences: the units before them
     sentences: set[frozenset[str]] = set()
+    bags: list[list[str]] = []  # the units of each toxic document
     for text, label in rows:
+        found = {w for t in units_of(text) for w in pieces(t)}
         if not label:
-            clean_in.update({u[:LONGEST] for t in units_of(text) if len(u := clean(t)) >= 3})
+            clean_in.update(found)
             continue
-        toxic_in.update({u[:LONGEST] for t in units_of(text) if len(u := clean(t)) >= 3})
+        toxic_in.update(found)
+        bags.append(sorted(found))
         for part in _SENTENCE.split(text):
-            chain = [clean(t)[:LONGEST] for t in part.lower().split()] + [clean(m[0])[:LONGEST] for m in _SPELLED.finditer(part.lower())]
-            for before, u in zip(["", *chain], chain):
-                if len(u) >= 3:
-                    contexts.setdefault(u, set()).add(before)
-            sentences.add(frozenset(u for u in chain if len(u) >= 3))
+            chain = [*part.lower().split(), *(m[0] for m in _SPELLED.finditer(part.lower()))]
+            for before, token in zip(["", *map(clean, chain)], chain):
+                for w in pieces(token):
+                    contexts.setdefault(w, set()).add(before)
+            sentences.add(frozenset(w for t in chain for w in pieces(t)))
     bound = min(0.9, max(0.5, 3 * labels.mean()))
     support = {u: min(len(c), toxic_in[u]) for u, c in contexts.items()}
     rate = {u: lower_bound(c, c + clean_in[u]) for u, c in support.items()}
@@ -245,22 +256,25 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 3
     positive = Counter(u for part in sentences for u in part & telling)
     if not positive:
         return Scorer(np.zeros(CODES**3, dtype=np.float32), 0.0, 1.0, 0.0, constant=float(labels.mean()))
-    names = sorted(positive, key=lambda u: (-positive[u], u))
+    first = positive
+    bags = [bag for bag in bags if first.keys().isdisjoint(bag)]
+    suspects = sorted({u for bag in bags for u in bag if clean_in[u] < toxic_in[u]})
     common = [u for u in sorted(clean_in, key=lambda u: (-clean_in[u], u)) if u not in positive]
     everyday = sorted(common)
     negatives = dict.fromkeys(common[:2000])
     hardest: list[str] = []
     weights, bias = np.zeros(CODES**3, dtype=np.float32), -1.0
     for turn in range(rounds):
+        names = sorted(positive, key=lambda u: (-positive[u], u))
         marks = [*dict.fromkeys([*names[:landmarks], *hardest[:landmarks], *common[: landmarks // 2]])]
         features, columns = feature_rows(marks)
         values, vectors = np.linalg.eigh((features @ features.T).astype(float))
         keep = values > 1e-6
         whiten = vectors[:, keep] / np.sqrt(values[keep])
-        units = [*names, *negatives]
+        units = [*names, *(u for u in negatives if u not in positive)]
         x = np.vstack([feature_rows(units[i : i + 500], columns)[0] @ features.T for i in range(0, len(units), 500)]).astype(float) @ whiten
         y = np.where(np.arange(len(units)) < len(names), 1.0, -1.0)
-        weight = np.where(y > 0, 0.2 * max(1, len(negatives)) / len(names), 1.0)
+        weight = np.where(y > 0, 0.2 * max(1, len(units) - len(names)) / len(names), 1.0)
         w, bias = _fit_svm(x, y, weight)
         weights = np.zeros(CODES**3, dtype=np.float32)
         weights[columns] = features.T @ (whiten @ w)
@@ -269,6 +283,11 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 3
             found = [everyday[i] for i in np.argsort(-margins, kind="stable")[:1000]]
             negatives.update(dict.fromkeys(found))
             hardest = [*dict.fromkeys([*found[: landmarks // 2], *hardest])]
+        if turn < rounds - 1 and suspects:
+            placed = dict(zip(suspects, Scorer(weights, bias, 1.0, 0.0).margins(suspects).tolist()))
+            best = [max((u for u in bag if u in placed), key=lambda u: (placed[u], u), default=None) for bag in bags]
+            witnesses = Counter(u for u in best if u is not None and placed[u] > 0)
+            positive = first + witnesses
     scorer = Scorer(weights, bias, 1.0, 0.0)
     margin = np.array([max(scorer.of(t), default=bias) for t, _ in rows])
     x, base = np.column_stack((margin, np.ones(len(margin)))), np.array([1.0, 0.0])
@@ -283,7 +302,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """At most ``limit`` labelled documents that aren't held out, chosen by the hash of their id."""
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     chosen = usable.groupBy(F.col("doc_id").alias("_lid")).agg(F.max("toxic").alias("_toxic")).orderBy(F.xxhash64("_lid"), "_lid").limit(limit)
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_lid")).select("_lid", text_of(text_col).alias("_text"), "_toxic").collect()
+    rows = docs.where(F.octet_length(text_of(text_col)) <= TRAIN_BYTES).join(F.broadcast(chosen), F.col(id_col) == F.col("_lid"))
+    rows = rows.groupBy("_lid").agg(F.min(text_of(text_col)).alias("_text"), F.first("_toxic").alias("_toxic")).collect()
     return [(r["_text"], int(r["_toxic"])) for r in sorted(rows, key=lambda r: (r["_lid"], r["_text"]))]
 
 
