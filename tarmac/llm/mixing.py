@@ -113,8 +113,10 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The documents of the mix in training order, once for each pass that takes them.
 
-    Columns of ``docs`` first, then ``mix_pass``, ``mix_words`` and ``mix_position``.
+    Columns of ``docs`` first, then ``mix_pass``, ``mix_words`` and ``mix_position``,
+    which replace columns of those names.
     """
+    docs = docs.drop("mix_pass", "mix_words", "mix_position")
     s = schedule(docs, id_col, text_col, source_col, **how)
     # equal rows hold equal places in turn, so that a repeated row is neither lost nor multiplied
     keys = lambda c, th: (F.coalesce(F.col(c), F.lit(0)), F.col(c).isNull(), F.col(th))

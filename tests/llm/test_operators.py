@@ -562,3 +562,105 @@ def test_pieces_are_short_and_whole():
     found = substring_dedup.sentences(text)
     assert max(n for *_, n in found) <= substring_dedup.LONG_SENTENCE and all(a[1] <= b[0] for a, b in itertools.pairwise(found))
     assert " ".join(s[2] for s in found) == " ".join(re.findall("[a-z]+", text))
+
+
+# ---- damage and awkward rows, continued ------------------------------------------
+
+
+def four_records():
+    payloads = [f"payload {k} ".encode() * 400 for k in range(4)]
+    return payloads, [warc.make_record(k, f"http://x/{k}", p, warc.sha1_base32(p), len(p), None) for k, p in enumerate(payloads)]
+
+
+def split(found):
+    return [x for x in found if isinstance(x, warc.Record)], [x for x in found if isinstance(x, warc.Gap)]
+
+
+@pytest.mark.parametrize("checksum_holds", [True, False])
+def test_salvage_inside_a_member(checksum_holds):
+    payloads, parts = four_records()
+    bad = bytearray(parts[2])
+    bad[-50] ^= 0x55
+    data = bytearray(warc.gzip_member(b"".join([*parts[:2], bytes(bad), parts[3]])))
+    if not checksum_holds:
+        data[-8] ^= 1
+    after = warc.gzip_member(parts[0])
+    good, gaps = split(records(bytes(data) + after))
+    assert [r.payload for r in good] == [payloads[0], payloads[1], payloads[3], payloads[0]]
+    assert [(g.offset, g.length, g.inside) for g in gaps] == [(0, len(parts[2]), len(parts[0]) + len(parts[1]))]
+
+
+def test_salvage_of_a_member_cut_short():
+    payloads, parts = four_records()
+    whole = warc.gzip_member(b"".join(parts))
+    noise = random.Random(1).randbytes(9000)
+    long = zlib.compressobj(6, zlib.DEFLATED, 31)
+    big = warc.make_record(9, "http://x/9", noise, warc.sha1_base32(noise), len(noise), None)
+    packed = long.compress(b"".join(parts) + big) + long.flush()
+    after = warc.gzip_member(parts[1])
+    for data, rest in ((packed[: len(packed) - 3000], b""), (packed[: len(packed) - 3000] + after, after)):
+        good, gaps = split(records(data))
+        assert [r.payload for r in good] == payloads + [payloads[1]] * bool(rest) and gaps and all(g.inside is not None for g in gaps)
+    good, gaps = split(records(whole[:40] + after))
+    assert [r.payload for r in good] == [payloads[1]] and len(gaps) == 1
+
+
+def test_salvage_keeps_out_damaged_headers():
+    _, parts = four_records()
+    data = bytearray(warc.gzip_member(b"".join(parts).replace(b"http://x/1", b"http://x/7")))
+    data[-8] ^= 1  # the checksum of what was packed first
+    (gap,) = records(bytes(data))
+    assert (gap.offset, gap.length, gap.inside) == (0, len(data), None)
+
+
+def test_salvage_by_brute_force():
+    """Any byte of an archive of whole members: every record that is untouched comes back, none is altered."""
+    payloads, parts = four_records()
+    members = [warc.gzip_member(p) for p in parts]
+    whole = b"".join(members)
+    rng = random.Random(3)
+    for at in rng.sample(range(len(whole)), 60):
+        data = bytearray(whole)
+        data[at] ^= 1 << rng.randrange(8)
+        got = [r.payload for r in records(bytes(data)) if isinstance(r, warc.Record)]
+        hit = next(k for k in range(4) if at < sum(map(len, members[: k + 1])))
+        assert [p for p in payloads if p in got or p == payloads[hit]] == payloads and set(got) <= set(payloads)
+
+
+def test_archives_read_by_a_task_each(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://{k}/", "x" * k) for k in range(300)], "page_id long, url string, html string").repartition(7)
+    archives = warc.write_archives(pages, f"file://{tmp_path}/warc")
+    n = archives.count()
+    tasks = warc.read_archives(archives).withColumn("task", F.spark_partition_id())
+    assert n > 1 and tasks.select("task").distinct().count() == tasks.select("path").distinct().count() == n
+    assert {r.page_id for r in tasks.collect()} == set(range(300))
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(1, "http://a.example/x", "<p>a</p>"), (2, None, "<p>a</p>"), (3, "http://" + "long/" * 60_000, None)]
+    names = ["body", "sha", "n", "first", "key", "rid", "path", "gap", "id", "host", "_rule", "_key", "fetched2", "blocked", "rule"]
+    pages = spark.createDataFrame([(*r, *names) for r in rows], "page_id long, url string, html string, " + ", ".join(f"`{n}` string" for n in names))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert got == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None)}
+    entries = url_filter.list_entries(spark, (("2024-01-01", "domain", "a.example", "block"), ("2024-01-01", "prefix", "long/long/", "block")))
+    captures = pages.withColumn("fetched", F.to_date(F.lit("2024-05-05")))
+    assert {r.page_id: r.blocked for r in url_filter.url_verdicts(captures, entries).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_tiny_items_are_found_where_let_in(spark):
+    items = {n: [f"n{n}w{j}" for j in range(n)] for n in range(1, 16)}
+    cases = [(n, gone) for n in range(1, 16) for gone in accepted_losses(n)]
+    texts = [" ".join(["before"] + [("changed" if j in gone else w) for j, w in enumerate(items[n])] + ["after"]) for n, gone in cases]
+    texts += [" ".join(items[5][1:]), " ".join(items[5][:4]), items[1][0], "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + [(99, ""), (98, None)], "item_id long, text string")
+    got = {tuple(r[c] for c in ("doc_id", "item_id", "words_matched", "item_words", "best_window", "doc_position")) for r in decontam.contamination(docs, bench, shortest=1).collect()}
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(x) for x in enumerate(texts)])
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", [[r.item_id, r.text] for r in bench.collect()])
+    want = con.execute(f"SELECT doc_id, item_id, words_matched, item_words, best_window, doc_position FROM ({decontam.DECONTAM_SQL})").fetchall()
+    assert got == set(want) and {(k, n) for k, (n, _) in enumerate(cases) if n <= decontam.WINDOW} <= {w[:2] for w in want}
