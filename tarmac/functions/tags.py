@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tarmac.schema import DEFAULT_SPEED_KMH, HIGHWAY_CLASS, MAX_ROUTES, MAX_SPAWN, MIN_SPAWN
 
 
+#: Fixed text where a reroute's gain isn't known.
+UPDATED_TEXT = "Route updated for current traffic conditions."
+
+
 def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(values.items())])
 
@@ -66,11 +70,21 @@ def session_path(path: Column) -> tuple[Column, Column]:
 
 
 def routing_mode(text: Column) -> Column:
-    """Canonical mode; null for an unknown one."""
+    """Canonical mode; null for an unknown one (``routing_mode_error`` says why)."""
     mode = F.lower(F.trim(F.coalesce(text, F.lit(""))))
     return F.when(mode == "", "hierarchical").when(mode.isin("hierarchical", "base-astar", "base-dijkstra"), mode)
 
 
+def routing_mode_error(text: Column) -> Column:
+    """What is wrong with a mode; null for a known one."""
+    return F.when(routing_mode(text).isNull(), F.concat(F.lit('unknown routing mode "'), F.trim(text), F.lit('"')))
+
+
+def default_viewbox(asked: Column, viewbox: Column) -> Column:
+    """The viewbox of a place search: the one asked for, else that of the graph."""
+    return F.coalesce(F.when(F.trim(asked) != "", F.trim(asked)), viewbox)
+
+
 def lat_lon(query: Column) -> tuple[Column, Column]:
     """Coordinates of a ``lat, lon`` query; null where it is none or out of range."""
     pattern = r"^\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*$"
@@ -88,7 +102,7 @@ def duration_text(seconds: Column) -> Column:
 def gain_text(old_eta: Column, new_eta: Column) -> Column:
     gain = F.greatest(F.lit(0.0), old_eta - new_eta)
     say = lambda n, unit: F.concat(F.lit("New path saves about "), F.floor(n + 0.5).cast("long").cast("string"), F.lit(unit))
-    return F.when(old_eta.isNull() | new_eta.isNull() | (gain <= 0), "Route updated").when(gain >= 60, say(gain / 60, " min.")).otherwise(say(gain, " sec."))
+    return F.when(old_eta.isNull() | new_eta.isNull() | (gain <= 0), UPDATED_TEXT).when(gain >= 60, say(gain / 60, " min.")).otherwise(say(gain, " sec."))
 
 
 def turn_text(angle: Column, side: Column) -> Column:

@@ -20,17 +20,33 @@ def undirected_pairs(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
 
 
-def partition(nodes: DataFrame, edges: DataFrame, max_cell: int, seed: int = PARTITION_SEED) -> DataFrame:
+#: A larger part isn't cut by one task's maximum flow.
+FLOW_NODES = 100_000
+
+
+def partition(nodes: DataFrame, edges: DataFrame, max_cell: int, seed: int = PARTITION_SEED, flow_nodes: int = FLOW_NODES) -> DataFrame:
     """Recursive inertial-flow bisection until no cell has more than ``max_cell`` nodes.
 
     Level by level: all parts that are too large are split at once, one task each,
-    with a direction drawn from the part's own path, so retries agree.  Each
+    with a direction drawn from the part's own path, so retries agree.  Parts of more
+    than FLOW_NODES nodes are no one task's: they are halved along their longer
+    side first, by an approximate median and a join.  Each
     level is kept as a table, which cuts its lineage.  Cells are numbered by their
     smallest node.
     """
     parts = kept(nodes.select("id", "x", "y", F.lit("r").alias("part")), "parts")
     pairs = kept(undirected_pairs(edges), "pairs")
-    rounds = max(1, math.ceil(math.log(max(2.0, nodes.count() / max_cell), 4 / 3)) + 1)
+    total = parts.count()
+    for _ in range(max(0, math.ceil(math.log2(max(1.0, total / flow_nodes))) + 1)):
+        wide = F.max("x") - F.min("x") >= F.max("y") - F.min("y")
+        halves = parts.groupBy(F.col("part").alias("hp")).agg(F.count(F.lit(1)).alias("n"), wide.alias("wide"), F.percentile_approx("x", 0.5).alias("mx"), F.percentile_approx("y", 0.5).alias("my"))
+        halves = kept(halves.where((F.col("n") > flow_nodes) & (F.col("n") > max_cell)), "halves")
+        if halves.isEmpty():
+            break
+        low = F.when(F.col("wide"), F.col("x") <= F.col("mx")).otherwise(F.col("y") <= F.col("my"))
+        named = parts.join(F.broadcast(halves), F.col("part") == F.col("hp"), "left")  # at most one row per flow_nodes nodes
+        parts = kept(named.select("id", "x", "y", F.when(F.col("hp").isNull(), F.col("part")).otherwise(F.concat("part", F.when(low, "0").otherwise("1"))).alias("part")), "parts")
+    rounds = max(1, math.ceil(math.log(max(2.0, total / max_cell), 4 / 3)) + 1)
 
     def split(key: tuple, ns: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
         angle = random.Random(f"{seed}/{key[0]}").random() * 2 * math.pi

@@ -78,6 +78,14 @@ def step_edges(steps: DataFrame, edges: DataFrame, firsts: DataFrame) -> DataFra
     return steps.join(by_id, "stated", "left").join(by_pair, ["prev", "node_idx"], "left").withColumn("resolved", F.coalesce("_found", "_pair")).drop("_found", "_pair")
 
 
+def nearby_or_all(points: DataFrame, cars: DataFrame, mean_lat: Column, key: str = "point_id") -> DataFrame:
+    """As ``nearby``; a point without finite coordinates gets all cars."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    placed = finite("lat") & finite("lon")
+    lost = points.where(~placed).select(key)
+    return nearby(points.where(placed), cars, mean_lat, key).unionByName(lost.crossJoin(cars.select("car_id")))
+
+
 def nearby(points: DataFrame, cars: DataFrame, mean_lat: Column, key: str = "point_id") -> DataFrame:
     """Cars in the 3 x 3 grid buckets around each point."""
     row, col = geo.grid_bucket(F.col("lat"), F.col("lon"), mean_lat)

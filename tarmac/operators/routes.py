@@ -105,6 +105,16 @@ def off_route(points: DataFrame, steps: DataFrame) -> DataFrame:
     return rows.select("point_id", F.when(F.col("inside"), best).otherwise(F.col("node")).alias("off_m"))
 
 
+def off_route_by_degrees(points: DataFrame, steps: DataFrame, ref_lat: float = S.REFERENCE_LATITUDE) -> DataFrame:
+    """As ``off_route`` for points in degrees (``lat, lon``); where the latitude is out of range
+    the two may be swapped, and the nearer reading counts.  ``steps``: lat, lon."""
+    at = lambda df, lat, lon: df.select("*", *[c.alias(n) for c, n in zip(geo.project(F.col(lat), F.col(lon), F.lit(ref_lat)), ("x", "y"))])
+    placed = at(steps, "lat", "lon")
+    stated = off_route(at(points, "lat", "lon"), placed)
+    swapped = off_route(at(points.where("lat < -90 OR lat > 90"), "lon", "lat"), placed).select("point_id", F.col("off_m").alias("_other"))
+    return stated.join(swapped, "point_id", "left").select("point_id", F.least("off_m", "_other").alias("off_m"))
+
+
 def turns(leg_rows: DataFrame) -> DataFrame:
     """Angle and side of the turn after each leg; null angle after the last one."""
     walk = W.partitionBy("route_id").orderBy("leg_idx")

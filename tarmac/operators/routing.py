@@ -23,12 +23,26 @@ SHIPPED_EDGES = 5_000_000
 
 
 def shipped(edges: DataFrame, weight: str = "wt"):
-    """The edges as columns on the driver, within the bound, for a broadcast."""
-    n = edges.count()
+    """The edges as columns on the driver, within the bound, for a broadcast.
+
+    They are written once, so that counting them and fetching them don't compute them twice.
+    """
+    rows = kept(edges.select("src", "dst", F.col(weight).alias("w"), "edge_id"), "shipped")
+    n = rows.count()
     if n > SHIPPED_EDGES:
         raise ValueError(f"{n} edges are too many to broadcast; route over the overlay")
-    rows = edges.select("src", "dst", F.col(weight).alias("w"), "edge_id").toPandas()
-    return edges.sparkSession.sparkContext.broadcast(tuple(rows[c].to_numpy() for c in ("src", "dst", "w", "edge_id")))
+    columns = rows.toArrow()
+    return edges.sparkSession.sparkContext.broadcast(tuple(columns[c].to_numpy() for c in ("src", "dst", "w", "edge_id")))
+
+
+def node_columns(nodes: DataFrame, *names: str) -> tuple:
+    """Columns of the nodes for a broadcast, under the same bound."""
+    rows = kept(nodes.select(*names), "node-columns")
+    n = rows.count()
+    if n > SHIPPED_EDGES:
+        raise ValueError(f"{n} nodes are too many to broadcast")
+    columns = rows.toArrow()
+    return nodes.sparkSession.sparkContext.broadcast(tuple(columns[c].to_numpy() for c in names))
 
 
 def _spread(requests: DataFrame) -> DataFrame:
@@ -38,7 +52,8 @@ def _spread(requests: DataFrame) -> DataFrame:
 
 def shortest(requests: DataFrame, edges: DataFrame, weight: str = "wt") -> DataFrame:
     """Cost and visited nodes per request; no row where there is no route or source and target are equal."""
-    if edges.limit(SHIPPED_EDGES + 1).count() > SHIPPED_EDGES:
+    edges = kept(edges.select("src", "dst", F.col(weight), "edge_id"), "hops")
+    if edges.count() > SHIPPED_EDGES:
         return relaxed(requests, edges, weight)
     data = shipped(edges, weight)
 
@@ -77,10 +92,10 @@ def goal_directed(requests: DataFrame, edges: DataFrame, nodes: DataFrame, weigh
     import math
 
     data = shipped(edges, weight)
-    where = edges.sparkSession.sparkContext.broadcast({r["id"]: (r["lat"], r["lon"]) for r in nodes.select("id", "lat", "lon").toLocalIterator()})
+    where = node_columns(nodes, "id", "lat", "lon")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, at = Csr.build(*data.value), where.value
+        g, at = Csr.build(*data.value), {n: (lat, lon) for n, lat, lon in zip(*(c.tolist() for c in where.value))}
         for f in frames:
             rows = []
             for r, s, t in f[["request_id", "src", "dst"]].itertuples(index=False):
@@ -129,13 +144,18 @@ def paths(requests: DataFrame, edges: DataFrame, weight: str = "wt", alternative
     return _spread(requests).mapInPandas(run, "request_id long, alternative long, step_idx long, node_idx long, edge_id long")
 
 
+def _two_level_net(edges: DataFrame, nodes: DataFrame, shortcut_rows: DataFrame, weight: str):
+    data, shorts = shipped(edges, weight), shipped(shortcut_rows.select("src", "dst", F.col("weight").alias(weight), F.lit(-1).alias("edge_id")), weight)
+    cells = node_columns(nodes, "id", "cell")
+    return lambda: TwoLevel(dict(zip(*(c.tolist() for c in cells.value))), list(zip(*(c.tolist() for c in data.value))), list(zip(*(c.tolist() for c in shorts.value[:3]))))
+
+
 def two_level(requests: DataFrame, edges: DataFrame, nodes: DataFrame, shortcut_rows: DataFrame, weight: str = "wt", strict_cell: bool = False) -> DataFrame:
     """Cost and visited nodes by source cell, overlay and target cell."""
-    data, shorts = shipped(edges, weight), shipped(shortcut_rows.select("src", "dst", F.col("weight").alias(weight), F.lit(-1).alias("edge_id")), weight)
-    cells = edges.sparkSession.sparkContext.broadcast({r["id"]: r["cell"] for r in nodes.select("id", "cell").toLocalIterator()})
+    build = _two_level_net(edges, nodes, shortcut_rows, weight)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = TwoLevel(cells.value, list(zip(*(c.tolist() for c in data.value))), list(zip(*(c.tolist() for c in shorts.value[:3]))))
+        net = build()
         for f in frames:
             rows = []
             for r, s, t in f[["request_id", "src", "dst"]].itertuples(index=False):
@@ -148,6 +168,68 @@ def two_level(requests: DataFrame, edges: DataFrame, nodes: DataFrame, shortcut_
     return _spread(requests).mapInPandas(run, "request_id long, src long, dst long, cost long, visited long")
 
 
+def two_level_paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame, shortcut_rows: DataFrame, weight: str = "wt", alternatives: int = 0, strict_cell: bool = False) -> DataFrame:
+    """As ``paths``, by the two-level search: shortcuts unpacked to edges.
+
+    Each alternative searches again with the edges and the overlay edges of the
+    earlier ones at ALTERNATIVE_PENALTY times their weight.
+    """
+    build = _two_level_net(edges, nodes, shortcut_rows, weight)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        net = build()
+        for f in frames:
+            rows = []
+            for r, s, t in f[["request_id", "src", "dst"]].itertuples(index=False):
+                if s == t or s not in net.cell_of or t not in net.cell_of:
+                    continue
+                used, crossed = set(), set()
+                for k in range(alternatives + 1):
+                    cost, steps, hops, _ = net.route(s, t, strict_cell, used, crossed, ALTERNATIVE_PENALTY)
+                    if cost is None:
+                        break
+                    rows += [(r, k, 0, s, None)] + [(r, k, i + 1, v, e) for i, (v, e) in enumerate(steps)]
+                    used |= {e for _, e in steps}
+                    crossed |= set(hops)
+            yield pd.DataFrame(rows, columns=["request_id", "alternative", "step_idx", "node_idx", "edge_id"]).astype("Int64")
+
+    return _spread(requests).mapInPandas(run, "request_id long, alternative long, step_idx long, node_idx long, edge_id long")
+
+
+def seeded(seeds: DataFrame, goals: DataFrame, edges: DataFrame, weight: str = "wt", penalties: DataFrame | None = None) -> DataFrame:
+    """Cost from each group's weighted seeds to each of its goals: ``group, node_idx, cost``.
+
+    ``seeds``: group, node_idx, cost; ``goals``: group, node_idx; ``penalties``: group,
+    edge_id, factor.  A group's rows, all small, meet in one task; its search stops
+    when its last goal is settled.
+    """
+    data = shipped(edges, weight)
+    none = F.lit(None)
+    rows = seeds.select("group", "node_idx", F.col("cost").cast("double").alias("value"), F.lit(0).alias("kind"))
+    rows = rows.unionByName(goals.select("group", "node_idx", none.cast("double").alias("value"), F.lit(1).alias("kind")))
+    if penalties is not None:
+        rows = rows.unionByName(penalties.select("group", F.col("edge_id").alias("node_idx"), F.col("factor").cast("double").alias("value"), F.lit(2).alias("kind")))
+    rows = rows.repartition(max(2, edges.sparkSession.sparkContext.defaultParallelism), "group").sortWithinPartitions("group")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = Csr.build(*data.value)
+        whole = pd.concat(list(frames) or [pd.DataFrame(columns=["group", "node_idx", "value", "kind"])])
+        out = []
+        for group, part in whole.groupby("group"):
+            start: dict[int, float] = {}
+            for n, c in part[part["kind"] == 0][["node_idx", "value"]].itertuples(index=False):
+                if n in g.index:
+                    start[g.index[n]] = min(c, start.get(g.index[n], c))
+            wanted = {g.index[n] for n in part[part["kind"] == 1]["node_idx"] if n in g.index}
+            dear = dict(part[part["kind"] == 2][["node_idx", "value"]].itertuples(index=False, name=None))
+            if start and wanted:
+                done, _, _ = dijkstra(g, start, wanted, (lambda e: dear.get(e, 1)) if dear else None)
+                out += [(group, g.ids[t], int(done[t])) for t in wanted if t in done]
+        yield pd.DataFrame(out, columns=["group", "node_idx", "cost"]).astype("int64")
+
+    return rows.mapInPandas(run, "group long, node_idx long, cost long")
+
+
 def cell_distances(edges: DataFrame, seeds: DataFrame, weight: str = "wt") -> DataFrame:
     """From weighted seeds (``group, cell, node_idx, cost``) to all nodes of their cell, never leaving it."""
     inner = edges.where("cell_src = cell_dst").select(F.col("cell_src").alias("cell"), "src", "dst", F.col(weight).alias("w"), "edge_id")

@@ -102,3 +102,68 @@ def traffic_level(legs: DataFrame, advice: DataFrame) -> DataFrame:
     rows = rows.withColumn("slow_edges", slow.cast("long")).withColumn("worst", worst)
     level = F.when(F.col("slow_edges") == 0, "normal").when((F.col("worst") <= 0.6) | (F.col("slow_edges") >= 2), "heavy").otherwise("congested")
     return rows.select("route_id", "leg_idx", "slow_edges", level.alias("level"))
+
+
+def ticks(pauses: DataFrame, tick_ms: int = int(S.TICK_SEC * 1000), most: int = S.CATCH_UP_TICKS) -> DataFrame:
+    """Fixed steps run at each wake-up of a clock: ``key, seq, pause_ms`` -> steps run and whether it fell behind.
+
+    Time is gathered until it makes a tick; at most ``most`` ticks are caught up at
+    once, and what is left beyond them is cut to one tick.
+    """
+    rows = pauses.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "pause_ms"))).alias("s"))
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("steps"), F.lit(0).cast("long").alias("overloads"))
+
+    def step(acc, x):
+        held = acc["held"] + x["pause_ms"]
+        run = F.least(F.lit(most).cast("long"), F.floor(held / tick_ms))
+        left = held - run * tick_ms
+        return F.struct(F.least(left, F.lit(tick_ms)).cast("long").alias("held"), (acc["steps"] + run).alias("steps"), (acc["overloads"] + (left >= tick_ms).cast("long")).alias("overloads"))
+
+    return rows.select("key", F.aggregate("s", start, step).alias("t")).select("key", "t.steps", "t.overloads")
+
+
+def sampled(ridden: DataFrame) -> DataFrame:
+    """Speed samples that a car without a session takes on each leg (``sec`` on it, ``kmh``): after
+    SAMPLE_WARMUP_SEC one every SAMPLE_EVERY_SEC, at whole ticks."""
+    whole = F.floor(F.col("sec") / S.TICK_SEC + 1e-9) * S.TICK_SEC
+    n = F.when((F.col("kmh") > 0) & F.col("edge_id").isNotNull() & (whole >= S.SAMPLE_WARMUP_SEC), F.floor((whole - S.SAMPLE_WARMUP_SEC) / S.SAMPLE_EVERY_SEC) + 1).otherwise(0)
+    return ridden.withColumn("samples", n.cast("long"))
+
+
+def adopted(cars: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Cars (``car_id, session_id, revision, step_idx, progress_m``) after a look at their sessions (``revision,
+    step_idx, lat, lon``): another revision brings its route's step and starts the leg anew; the
+    position is the session's."""
+    s = sessions.select("session_id", F.col("revision").alias("_rev"), F.col("step_idx").alias("_step"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    rows = cars.join(s, "session_id", "left")
+    new = F.coalesce((F.col("_rev") != 0) & (F.col("_rev") != F.col("revision")), F.lit(False))
+    pick = lambda a, b: F.when(new, a).otherwise(b)
+    return rows.select("car_id", pick(F.col("_rev"), F.col("revision")).alias("revision"), pick(F.col("_step"), F.col("step_idx")).alias("step_idx"), pick(F.lit(0.0), F.col("progress_m")).alias("progress_m"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), new.alias("adopted"))
+
+
+def client_advanced(cars: DataFrame, legs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The client's advance by ``move_m`` metres in ``elapsed_ms``: (cars, events of edges passed).
+
+    ``cars``: car_id, route_id, leg_idx, progress_m, edge_ms (time on the edge so far,
+    this advance included), move_m, elapsed_ms.  Time spills over in
+    proportion to distance, so what is left at the end of a leg has a closed
+    form: elapsed * (move - distance to the leg's end) / move.  ``legs``: route_id, leg_idx, leg_m, edge_id, lat1, lon1, lat2, lon2.
+    """
+    length = F.when(F.col("leg_m") > 0, F.col("leg_m")).otherwise(S.MIN_LEG_M)
+    at = legs.select("route_id", F.col("leg_idx").alias("at"), length.alias("len"), "edge_id", "lat1", "lon1", "lat2", "lon2")
+    order = W.partitionBy("car_id").orderBy("at")
+    rows = cars.join(at, "route_id").where("at >= leg_idx")
+    rows = rows.withColumn("_end", F.sum("len").over(order) - F.col("progress_m")).withColumn("_begin", F.coalesce(F.lag("_end").over(order), F.lit(0.0)))
+    # the leg ends if its end is reached while there is something left to move
+    rows = rows.withColumn("_done", (F.col("_end") <= F.col("move_m")) & (F.col("_begin") < F.col("move_m")))
+    spill = F.try_divide(F.col("elapsed_ms") * (F.col("move_m") - F.col("_end")), F.col("move_m"))
+    rows = rows.withColumn("_spill", spill).withColumn("_held", F.when(F.col("at") == F.col("leg_idx"), F.col("edge_ms")).otherwise(F.lag(spill).over(order)))
+    observed = F.greatest(F.lit(0.0), F.col("_held") - F.col("_spill")) / 1000.0
+    events = rows.where("_done AND edge_id IS NOT NULL").select("car_id", F.col("at").alias("leg_idx"), "edge_id", observed.alias("observed_sec")).where("observed_sec > 0")
+    now = rows.where("NOT _done").groupBy("car_id").agg(F.min_by(F.struct("at", "_begin", "len", "progress_m", "leg_idx", "move_m", "lat1", "lon1", "lat2", "lon2"), "at").alias("n"))
+    gone = rows.groupBy("car_id").agg(F.count_if("_done").alias("legs_done"), F.max_by(F.struct("lat2", "lon2"), "at").alias("e"))
+    out = gone.join(now, "car_id", "left")
+    moved = F.when(F.col("n.at") == F.col("n.leg_idx"), F.col("n.progress_m")).otherwise(0.0) + F.greatest(F.lit(0.0), F.col("n.move_m") - F.greatest(F.col("n._begin"), F.lit(0.0)))
+    f = moved / F.col("n.len")
+    place = lambda axis: F.coalesce(F.col(f"n.{axis}1") + (F.col(f"n.{axis}2") - F.col(f"n.{axis}1")) * f, F.col(f"e.{axis}2")).alias(axis)
+    return out.select("car_id", "legs_done", F.col("n.at").alias("leg_idx"), moved.alias("progress_m"), place("lat"), place("lon")), events

@@ -158,7 +158,10 @@ def sql(body: str, **extra: str) -> str:
 
 
 #: Columns of further recursive views.
-HEADS = {"rep": "rep(job, node, hops, cost)", **{k: f"{k}(root, node, cost) USING KEY (root, node)" for k in ("cd", "ov", "cu")}}
+HEADS = {
+    **{k: f"{k}(job, node, hops, cost)" for k in ("rep", "rov")}, **{k: f"{k}(root, node, cost) USING KEY (root, node)" for k in ("cd", "ov", "cu", "lsp", "fsp", *(f"a{i}" for i in range(5)))},
+    **{f"pb{i}": f"pb{i}(key, root, node, back)" for i in range(5)},
+}
 LONG_WAY = "SELECT r * 10 + c // 5 AS way_id, list(id ORDER BY id) || CASE WHEN r % 11 = 0 AND c // 5 = 0 THEN [-1::BIGINT] ELSE []::BIGINT[] END AS refs FROM nodes GROUP BY r, c // 5"
 
 
@@ -166,6 +169,137 @@ def relax(table: str, edges: str, name: str) -> str:
     return f"UNION SELECT s.root, e.dst, min(s.cost + e.wt) FROM {name} s JOIN {edges} e ON e.src = s.node LEFT JOIN recurring.{name} r ON r.root = s.root AND r.node = e.dst WHERE r.cost IS NULL OR s.cost + e.wt < r.cost GROUP BY s.root, e.dst"
 
 
+def tight(labels: str, edges: str, weight: str = "e.wt", join: str = "") -> str:
+    """Per (root, node) the edge by which its cheapest path comes in; of several that from the smaller node, then the smaller edge."""
+    return f"SELECT a.root, e.dst AS node, min({{'src': e.src, 'edge_id': e.edge_id}}) AS p FROM {labels} a JOIN {edges} e ON e.src = a.node {join} JOIN {labels} b ON b.root = a.root AND b.node = e.dst WHERE a.cost + {weight} = b.cost GROUP BY a.root, e.dst"
+
+
+def path_views(k: int, jobs: str, ends: str) -> dict[str, str]:
+    """Views ``pb`` and ``steps``: the paths of ``jobs`` (key, root, dst) walked back over ``ends`` (as from ``tight``)."""
+    return {
+        f"pb{k}": f"SELECT key, root, dst, 0 FROM ({jobs}) UNION ALL SELECT b.key, b.root, t.p.src, b.back + 1 FROM pb{k} b JOIN {ends} t ON t.root = b.root AND t.node = b.node",
+        f"steps{k}": f"SELECT b.key, (max(back) OVER (PARTITION BY b.key) - back)::BIGINT AS step_idx, b.node AS node_idx, t.p.edge_id AS edge_id FROM pb{k} b LEFT JOIN {ends} t ON t.root = b.root AND t.node = b.node",
+    }
+
+
+def alternatives(n: int) -> dict[str, str]:
+    """Labels, paths and used edges of ``n`` searches per request, each with the edges of the earlier ones at five times their weight."""
+    out: dict[str, str] = {}
+    for k in range(n):
+        dear = f"LEFT JOIN used{k} u ON u.key = {{}}.root AND u.edge_id = e.edge_id" if k else ""
+        w = "e.wt * CASE WHEN u.key IS NULL THEN 1 ELSE 5 END" if k else "e.wt"
+        if k:
+            out[f"used{k}"] = " UNION ".join(f"SELECT key, edge_id FROM steps{j} WHERE edge_id IS NOT NULL" for j in range(k))
+        out[f"a{k}"] = f"SELECT request_id, src, 0::BIGINT FROM best UNION SELECT s.root, e.dst, min(s.cost + {w}) FROM a{k} s JOIN edges e ON e.src = s.node {dear.format('s')} LEFT JOIN recurring.a{k} r ON r.root = s.root AND r.node = e.dst WHERE r.cost IS NULL OR s.cost + {w} < r.cost GROUP BY s.root, e.dst"
+        out[f"t{k}"] = tight(f"a{k}", "edges", w, dear.format("a"))
+        out |= path_views(k, "SELECT request_id AS key, request_id AS root, dst FROM best", f"t{k}")
+    return out
+
+
+LIVE_EDGES = "SELECT edge_id, src, dst, cell_src, cell_dst, round(round(live_weight, 6) * 100)::BIGINT AS wt FROM live"
+LIVE_HOPS = "SELECT src, dst, min(wt) AS wt FROM ledges GROUP BY src, dst"
+#: From the node of each route's cursor to its end.
+JOBS = "SELECT c.route_id AS job, c.step_idx AS cursor, c.node_idx AS src, d.dst FROM legs c JOIN (SELECT route_id, arg_max(node_idx, step_idx) AS dst FROM legs GROUP BY route_id) d USING (route_id) WHERE c.step_idx = c.route_id % 7"
+
+
+def later() -> dict[str, str]:
+    """The session lifecycle, whole paths, the clients and the streams in several batches."""
+    k = "s_suppkey"
+    live_from = lambda roots: {"ledges": LIVE_EDGES, "lhop": LIVE_HOPS, "lsp": f"SELECT DISTINCT src, src, 0::BIGINT FROM {roots} {relax('', 'lhop', 'lsp')}"}
+    born = f"SELECT session_id, session_id AS route_id, greatest(0, least(session_id % 17 - 2, last)) AS step_idx FROM (SELECT {k} AS session_id, max(l.step_idx) AS last FROM supplier JOIN legs l ON l.route_id = {k} GROUP BY {k})"
+    born_edge = "SELECT b.session_id, b.step_idx, max(l.edge_id) FILTER (l.step_idx = CASE WHEN b.step_idx = 0 THEN 1 ELSE b.step_idx END) AS edge_id, count(*) FILTER (l.step_idx >= b.step_idx AND l.edge_id IS NOT NULL) AS subscribed FROM born b JOIN legs l USING (route_id) GROUP BY b.session_id, b.step_idx"
+    walked = live_from("jobs") | {"lt": tight("lsp", "ledges")} | path_views(0, "SELECT job AS key, src AS root, dst FROM jobs WHERE job % 2 = 0 AND src <> dst", "lt")
+    updates = {"jobs": JOBS, **walked, "wish": "SELECT job, cursor, cost / 100.0::DOUBLE AS eta FROM jobs JOIN lsp ON root = src AND node = dst WHERE job % 2 = 0 AND src <> dst", "taken": "SELECT * FROM wish WHERE job % 4 <> 0"}
+    ticks = "list_reduce(list_prepend({'held': 0::BIGINT, 'p': 0::BIGINT, 'n': 0::BIGINT, 'o': 0::BIGINT}, list({'held': 0::BIGINT, 'p': event_id * 37 % 1700, 'n': 0::BIGINT, 'o': 0::BIGINT} ORDER BY event_id)), lambda a, x: {'held': least(250, a.held + x.p - 250 * least(4, (a.held + x.p) // 250)), 'p': 0::BIGINT, 'n': a.n + least(4, (a.held + x.p) // 250), 'o': a.o + CASE WHEN a.held + x.p - 250 * least(4, (a.held + x.p) // 250) >= 250 THEN 1 ELSE 0 END})"
+    client = {
+        "crow": f"SELECT {k} AS car_id, {k} % 4 AS leg0, {k} % 9 * 5.0::DOUBLE AS done_m, {k} % 6 * 700.0::DOUBLE + 2500 AS edge_ms, {k} % 13 * 35.0::DOUBLE AS mv, l.*, CASE WHEN l.leg_m > 0 THEN l.leg_m ELSE 0.1::DOUBLE END AS len FROM supplier JOIN rlegs l ON l.route_id = {k} WHERE l.leg_idx >= {k} % 4",
+        "cfar": "SELECT *, sum(len) OVER (PARTITION BY car_id ORDER BY leg_idx) - done_m AS fin FROM crow",
+        "cnow": "SELECT *, coalesce(lag(fin) OVER w, 0.0::DOUBLE) AS beg, lag(2500.0::DOUBLE * (mv - fin) / nullif(mv, 0)) OVER w AS spilt, 2500.0::DOUBLE * (mv - fin) / nullif(mv, 0) AS spill FROM cfar WINDOW w AS (PARTITION BY car_id ORDER BY leg_idx)",
+        "cend": "SELECT *, fin <= mv AND beg < mv AS done FROM cnow",
+        "cat": "SELECT car_id, count(*) FILTER (done) AS legs_done, min(leg_idx) FILTER (NOT done) AS leg_idx, max(leg_idx) AS last FROM cend GROUP BY car_id",
+    }
+    batch = "event_id * 4 // ((SELECT max(event_id) FROM {}) + 1)"
+    bev = f"SELECT *, {batch.format('ev')} AS b FROM ev"
+    upto = "SELECT q.b, e.edge_id, coalesce(" + fold(SAMPLES + " FILTER (ratio > 0)") + ", 1.0::DOUBLE) AS w, coalesce(list_reduce(list_prepend(0::BIGINT, list(delta ORDER BY us, event_id) FILTER (delta IS NOT NULL)), lambda a, x: greatest(0::BIGINT, a + x)), 0::BIGINT) AS d FROM (SELECT DISTINCT b, edge_id FROM bev) q JOIN bev e ON e.edge_id = q.edge_id AND e.b <= q.b GROUP BY q.b, e.edge_id"
+    said = "list_reduce(list_prepend({'b': -1::BIGINT, 'w': 1.0::DOUBLE, 'd': 0::BIGINT, 'sw': 1.0::DOUBLE, 'sd': 0::BIGINT, 'o': []::STRUCT(b BIGINT, x DOUBLE, y DOUBLE)[]}, list({'b': b, 'w': w, 'd': d, 'sw': 0.0::DOUBLE, 'sd': 0::BIGINT, 'o': []::STRUCT(b BIGINT, x DOUBLE, y DOUBLE)[]} ORDER BY b)), lambda a, x: CASE WHEN abs(x.w - a.sw) >= 0.1::DOUBLE OR x.d <> a.sd THEN {'b': x.b, 'w': x.w, 'd': x.d, 'sw': x.w, 'sd': x.d, 'o': list_append(a.o, {'b': x.b, 'x': a.sw, 'y': x.w})} ELSE {'b': x.b, 'w': x.w, 'd': x.d, 'sw': a.sw, 'sd': a.sd, 'o': a.o} END).o"
+    snapped = lambda rows, key, lat, lon: f"SELECT {key}, arg_min(nodes.id, {{'d2': ({px(lon)} - {px('nodes.lon')}) * ({px(lon)} - {px('nodes.lon')}) + ({py(lat)} - {py('nodes.lat')}) * ({py(lat)} - {py('nodes.lat')}), 'id': nodes.id}}) AS node FROM {rows}, nodes GROUP BY {key}"
+    live_cells = {
+        "linner": "SELECT src, dst, min(wt) AS wt FROM ledges WHERE cell_src = cell_dst GROUP BY src, dst",
+        "cu": f"SELECT node_idx, node_idx, 0::BIGINT FROM gates {relax('', 'linner', 'cu')}",
+        "lover": "SELECT src, dst, min(wt) AS wt FROM (SELECT src, dst, wt FROM ledges WHERE cell_src <> cell_dst UNION ALL SELECT root, node, cost FROM cu JOIN gates g ON g.node_idx = node WHERE root <> node) GROUP BY src, dst",
+    }
+    around = lambda name, kind, hops, over: f"SELECT job, src, 0, 0::BIGINT FROM trig WHERE {kind} UNION ALL SELECT r.job, e.dst, r.hops + 1, min(r.cost + e.wt) FROM {name} r JOIN trig c USING (job) JOIN {over} e ON e.src = r.node WHERE r.node <> c.dst AND r.hops < {hops} AND r.cost + e.wt <= c.wt AND NOT (e.src = c.src AND e.dst = c.dst) GROUP BY r.job, e.dst, r.hops + 1"
+    dear = "CASE WHEN s.root % 3 = 0 AND e.overlay_id % 10 = 0 AND e.overlay_id % 50 = s.root % 5 * 10 THEN 5 ELSE 1 END"
+    shift = "CASE WHEN event_id % 3 = 0 THEN 90.0::DOUBLE ELSE 0.0::DOUBLE END"
+    turned = {
+        "sp0": f"SELECT event_id, route_id, step_idx, lat AS la, lon + {shift} AS lo, {shift} AS by FROM pp",
+        "sp1": "SELECT s.event_id, s.step_idx AS cursor, g.step_idx, g.len, g.ax IS NOT NULL AS inner_seg, s.la, s.lo, l.lat AS lat2, l.lon + s.by AS lon2, lag(l.lat) OVER w AS lat1, lag(l.lon + s.by) OVER w AS lon1 FROM sp0 s JOIN legs l USING (route_id) JOIN segs g ON g.route_id = l.route_id AND g.step_idx = l.step_idx WINDOW w AS (PARTITION BY s.event_id ORDER BY l.step_idx)",
+    }
+    for name, la, lo in (("u", "CASE WHEN event_id % 3 = 0 THEN lo ELSE la END", "CASE WHEN event_id % 3 = 0 THEN la ELSE lo END"), ("v", "la", "lo")):
+        turned[f"{name}d"] = f"SELECT *, {segment(px(f'({lo})'), py(f'({la})'), px('lon1'), py('lat1'), px('lon2'), py('lat2'))} AS d, sqrt(({px(f'({lo})')} - {px('lon2')}) * ({px(f'({lo})')} - {px('lon2')}) + ({py(f'({la})')} - {py('lat2')}) * ({py(f'({la})')} - {py('lat2')})) AS dn FROM sp1"
+        turned[f"{name}n"] = f"SELECT event_id, min(d) FILTER (abs(step_idx - cursor) <= 2 AND inner_seg) AS near, min(d) FILTER (inner_seg) AS every, min(dn) FILTER (least(greatest(cursor, 0), len - 1) = step_idx) AS node, bool_and(cursor BETWEEN 0 AND len - 1 AND len > 1) AS inside FROM {name}d GROUP BY event_id"
+        turned[f"{name}o"] = f"SELECT event_id, CASE WHEN inside THEN CASE WHEN near <= 50 THEN near ELSE coalesce(least(every, near), 0) END ELSE node END AS off_m FROM {name}n"
+    flagship = {
+        "fends": "SELECT s.request_id, s.node AS src, d.node AS dst FROM fsrc s JOIN fdst d USING (request_id)",
+        "fsp": f"SELECT DISTINCT src, src, 0::BIGINT FROM fends {relax('', 'hops', 'fsp')}",
+        "ft": tight("fsp", "edges"),
+    }
+    found = "SELECT request_id AS key, src AS root, dst FROM fends JOIN fsp ON root = src AND node = dst WHERE src <> dst"
+    return {
+        "r04_same_cell": sql("SELECT request_id, src, dst, cost FROM near2 JOIN cd ON root = src AND node = dst", near2="SELECT request_id, src, src + 2 AS dst FROM req JOIN nodes a ON a.id = src JOIN nodes b ON b.id = src + 2 WHERE a.cell = b.cell", cd=f"SELECT DISTINCT src, src, 0::BIGINT FROM req {relax('', 'inner_edges', 'cd')}"),
+        "r06_many_gates": sql(
+            "SELECT request_id, g.node_idx, ov.cost FROM req JOIN nodes d ON d.id = dst JOIN gates g ON g.cell = d.cell JOIN ov ON ov.root = request_id AND ov.node = g.node_idx",
+            cd=f"SELECT DISTINCT src, src, 0::BIGINT FROM req {relax('', 'inner_edges', 'cd')}",
+            ov=f"SELECT request_id, node, cost FROM req JOIN cd ON root = src JOIN gates ON node_idx = node UNION SELECT s.root, e.dst, min(s.cost + e.weight * {dear}) FROM ov s JOIN overlay e ON e.src = s.node LEFT JOIN recurring.ov r ON r.root = s.root AND r.node = e.dst WHERE r.cost IS NULL OR s.cost + e.weight * {dear} < r.cost GROUP BY s.root, e.dst",
+        ),
+        "r08_paths": sql("SELECT key AS request_id, step_idx, node_idx, edge_id FROM steps0", t0=tight("sp", "edges"), **path_views(0, "SELECT request_id AS key, src AS root, dst FROM best", "t0")),
+        "r11_routes": sql(" UNION ALL ".join(f"SELECT key AS request_id, {j}::BIGINT AS alternative, step_idx, node_idx, edge_id FROM steps{j}" for j in range(5)), **alternatives(5)),
+        "flagship_routes": sql(
+            "SELECT s.key AS request_id, s.step_idx, s.node_idx, s.edge_id, round(sum(coalesce(length_m, 0.0::DOUBLE)) OVER w, 3) AS distance_m, round(sum(coalesce(base_weight, 0.0::DOUBLE)) OVER w, 3) AS time_sec, round(sum(coalesce(live_weight, 0.0::DOUBLE)) OVER w, 3) AS live_sec, count(*) FILTER (live_weight >= 1.5::DOUBLE * base_weight) OVER (PARTITION BY s.key) AS congested_edges FROM steps0 s LEFT JOIN live USING (edge_id) WINDOW w AS (PARTITION BY s.key ORDER BY s.step_idx)",
+            fsrc=snapped("req", "request_id", "src_lat", "src_lon"), fdst=snapped("req", "request_id", "dst_lat", "dst_lon"), **flagship, **path_views(0, found, "ft"),
+        ),
+        "o11_swapped": sql("SELECT event_id AS point_id, round(CASE WHEN event_id % 3 = 0 AND lo > 90 THEN least(u.off_m, v.off_m) ELSE u.off_m END, 3) AS off_m FROM uo u JOIN vo v USING (event_id) JOIN sp0 USING (event_id)", **turned),
+        "t16_refill": sql("SELECT DISTINCT edge_id FROM ev WHERE event_id > (SELECT max(event_id) / 2 FROM ev) AND ratio > 0 UNION SELECT edge_id FROM state WHERE abs(weight - 1) >= 0.05::DOUBLE"),
+        "n01_create": sql("SELECT session_id, step_idx, 1::BIGINT AS revision, session_id * 1000 AS last_ping_us, session_id * 1000 AS last_reroute_us, edge_id, subscribed FROM born_edge", born=born, born_edge=born_edge),
+        "n02_delete": sql("SELECT DISTINCT session_id, edge_id FROM remaining WHERE session_id % 4 = 0"),
+        "n03_presence": sql("SELECT edge_id, sum(CASE WHEN session_id % 3 = 0 THEN 0 ELSE 1 END)::BIGINT AS delta FROM born_edge WHERE edge_id IS NOT NULL GROUP BY edge_id", born=born, born_edge=born_edge),
+        "n12_candidates": sql(
+            "SELECT t.job AS route_id, CASE WHEN p.cost IS NOT NULL THEN 'local_patch' ELSE 'full_route' END AS kind, coalesce(p.cost, f.cost) AS cost FROM trig t LEFT JOIN patched p USING (job) LEFT JOIN whole f USING (job) WHERE coalesce(p.cost, f.cost) IS NOT NULL",
+            jobs=JOBS, **live_from("jobs"), **live_cells,
+            trig="SELECT f.route_id AS job, e.src, e.dst, e.wt, e.cell_src <> e.cell_dst AS x FROM (SELECT l.route_id, arg_min(l.edge_id, l.step_idx) AS edge_id FROM legs l JOIN live v USING (edge_id) WHERE l.step_idx >= l.route_id % 7 AND v.live_weight >= 2 * v.base_weight AND v.live_weight - v.base_weight >= 20 GROUP BY l.route_id) f JOIN ledges e USING (edge_id)",
+            rep=around("rep", "NOT x", 20, "lhop"), rov=around("rov", "x", 5, "lover"),
+            patched="SELECT job, min(cost) AS cost FROM (SELECT * FROM rep UNION ALL SELECT * FROM rov) JOIN trig USING (job) WHERE node = trig.dst AND hops > 0 GROUP BY job",
+            whole="SELECT job, cost FROM jobs JOIN lsp ON root = src AND node = dst WHERE src <> dst",
+        ),
+        "n15_apply": sql("SELECT j.job AS session_id, CASE WHEN t.job IS NULL THEN j.job ELSE -j.job END AS route_id, CASE WHEN t.job IS NULL THEN j.cursor ELSE 1 END AS step_idx, CASE WHEN t.job IS NULL THEN 1 ELSE 2 END::BIGINT AS revision, CASE WHEN t.job IS NULL THEN 0 ELSE 7000000 END::BIGINT AS last_reroute_us, t.job IS NOT NULL AS rerouted, round(t.eta, 3) AS eta_sec FROM jobs j LEFT JOIN taken t USING (job)", **updates),
+        "n15_subscriptions": sql(
+            "SELECT session_id, edge_id, CASE WHEN n.k IS NULL THEN 'unsubscribe' ELSE 'subscribe' END AS change FROM olds o FULL JOIN news n USING (session_id, edge_id) WHERE o.k IS NULL OR n.k IS NULL", **updates,
+            olds="SELECT DISTINCT job AS session_id, edge_id, 1 AS k FROM jobs JOIN legs ON route_id = job AND step_idx >= cursor WHERE edge_id IS NOT NULL",
+            news="SELECT * FROM olds WHERE session_id NOT IN (SELECT job FROM taken) UNION ALL SELECT DISTINCT key, edge_id, 1 FROM steps0 JOIN taken ON job = key WHERE edge_id IS NOT NULL AND step_idx >= 1",
+        ),
+        "n17_off_route_reroute": sql(
+            "SELECT request_id AS session_id, src, dst, cost FROM ojobs JOIN lsp ON root = src AND node = dst WHERE src <> dst",
+            olast="SELECT session_id, arg_max({'route_id': route_id, 'lat': lat, 'lon': lon}, (us, event_id)) AS p FROM struck WHERE hit AND strikes >= 2 GROUP BY session_id", oflat="SELECT session_id, p.route_id AS route_id, p.lat AS plat, p.lon AS plon FROM olast",
+            onode=snapped("oflat", "session_id", "plat", "plon"), ojobs="SELECT session_id AS request_id, node AS src, dst FROM onode JOIN oflat USING (session_id) JOIN (SELECT route_id, arg_max(node_idx, step_idx) AS dst FROM legs GROUP BY route_id) USING (route_id)", **live_from("ojobs"),
+        ),
+        "v01_ticks": f"SELECT key, t.n AS steps, t.o AS overloads FROM (SELECT user_id AS key, {ticks} AS t FROM events GROUP BY user_id)",
+        "v04_samples": sql("SELECT car_id, leg_idx, edge_id, round(kmh, 6) AS kmh, CASE WHEN kmh > 0 AND edge_id IS NOT NULL AND q >= 1 THEN floor(q - 1)::BIGINT + 1 ELSE 0 END AS samples FROM (SELECT c.*, l.edge_id, floor(round(len / (kmh / 3.6::DOUBLE), 6) / 0.25::DOUBLE + 1e-9::DOUBLE) * 0.25::DOUBLE AS q FROM carlegs c JOIN rlegs l ON l.route_id = c.route_id AND l.leg_idx = c.leg_idx WHERE c.leg_idx >= c.start_step)"),
+        "v07_adopt": f"WITH s AS (SELECT {k} AS session_id, {k} % 4 AS rev, {k} % 5 AS step, 32 + {k} * 0.001::DOUBLE AS lat, 34 + {k} * 0.002::DOUBLE AS lon FROM supplier), j AS (SELECT *, coalesce(rev <> 0 AND rev <> {k} % 3, false) AS adopted FROM supplier LEFT JOIN s ON session_id = {k} - 1) SELECT {k} AS car_id, CASE WHEN adopted THEN rev ELSE {k} % 3 END AS revision, CASE WHEN adopted THEN step ELSE {k} % 9 END AS step_idx, CASE WHEN adopted THEN 0.0::DOUBLE ELSE {k} * 1.5::DOUBLE END AS progress_m, round(lat, 6) AS lat, round(lon, 6) AS lon, adopted FROM j",
+        "v13_client_advance": sql(
+            "SELECT car_id, legs_done, leg_idx, round(m, 3) AS progress_m, round(coalesce(lat1 + (lat2 - lat1) * m / len, elat), 6) AS lat, round(coalesce(lon1 + (lon2 - lon1) * m / len, elon), 6) AS lon FROM (SELECT c.car_id, c.legs_done, c.leg_idx, CASE WHEN n.leg_idx = n.leg0 THEN n.done_m ELSE 0 END + greatest(0.0::DOUBLE, n.mv - greatest(0.0::DOUBLE, n.beg)) AS m, n.len, n.lat1, n.lat2, n.lon1, n.lon2, e.lat2 AS elat, e.lon2 AS elon FROM cat c LEFT JOIN cend n ON n.car_id = c.car_id AND n.leg_idx = c.leg_idx JOIN cend e ON e.car_id = c.car_id AND e.leg_idx = c.last)", **client,
+        ),
+        "v13_edge_events": sql("SELECT car_id, leg_idx, edge_id, round(o, 6) AS observed_sec FROM (SELECT *, greatest(0.0::DOUBLE, CASE WHEN leg_idx = leg0 THEN edge_ms ELSE spilt END - spill) / 1000 AS o FROM cend WHERE done AND edge_id IS NOT NULL) WHERE o > 0", **client),
+        "s13_outbox": sql("SELECT session_id, least(count(*), 4) AS sent, greatest(count(*) - 4, 0) AS lost FROM pings GROUP BY session_id"),
+        "s14_latest": sql("SELECT session_id, max(event_id) AS event_id, arg_max(route_id, event_id) AS route_id, arg_max(reported, event_id) AS reported FROM pings GROUP BY session_id"),
+        "p18_mode_error": f"""SELECT {k}, CASE WHEN {k} % 5 = 4 THEN 'unknown routing mode "fastest"' END AS error FROM supplier""",
+        "p19_default_viewbox": sql(f"SELECT {k}, CASE WHEN {k} % 3 = 0 THEN '1,2,3,4' ELSE v END AS viewbox FROM supplier, (SELECT printf('%.6f,%.6f,%.6f,%.6f', min(lon), max(lat), max(lon), min(lat)) AS v FROM nodes)"),
+        "j12_nearby_or_all": sql("SELECT request_id AS point_id, count(*) AS cars, min(edge_id) AS first_car FROM req, offp WHERE request_id % 10 = 0 OR (abs(floor(src_lat * 111320.0::DOUBLE / 120) - floor(plat * 111320.0::DOUBLE / 120)) <= 1 AND abs(floor(src_lon * (111320.0::DOUBLE * cos(radians(32.02::DOUBLE))) / 120) - floor(plon * (111320.0::DOUBLE * cos(radians(32.02::DOUBLE))) / 120)) <= 1) GROUP BY request_id"),
+        "stream_t09": sql("SELECT o.b AS batch, edge_id, round(o.x, 6) AS old_multiplier, round(o.y, 6) AS new_multiplier FROM (SELECT edge_id, unnest(said) AS o FROM told)", bev=bev, upto=upto, told=f"SELECT edge_id, {said} AS said FROM upto GROUP BY edge_id"),
+        "stream_t10": sql(f"SELECT edge_id, count(DISTINCT {batch.format('(SELECT event_id FROM ev WHERE ratio > 0)')}) AS handed_over FROM ev WHERE ratio > 0 GROUP BY edge_id"),
+        "stream_s12": "SELECT event_id AS step_index, user_id + 0.5::DOUBLE AS speed_kmh FROM events WHERE event_type <> 'error' AND event_id % 17 <> 0",
+    }
+
+
 def oracles() -> dict[str, str]:
     k, half = "s_suppkey", "floor({} + 0.5)"
     snap_lat, snap_lon = "(src_lat + 0.00011::DOUBLE)", "(src_lon + request_id % 3 * 0.0007::DOUBLE + 0.00007::DOUBLE)"
@@ -319,7 +453,7 @@ def oracles() -> dict[str, str]:
         "v14_following": f"SELECT {k} AS point_id, round(greatest(0.0::DOUBLE, least(25.0::DOUBLE, min(CASE WHEN {k} % 25 <= 18 AND o - {k} % 10 * 20 > 0 AND o - {k} % 10 * 20 <= 80 THEN greatest(0.0::DOUBLE, (o - {k} % 10 * 20)::DOUBLE - greatest(7.0::DOUBLE, {k} % 60 / 3.6::DOUBLE * 1.8::DOUBLE)) END))), 6) AS allowed_m FROM supplier, (SELECT unnest([30, 90, 150]) AS o) GROUP BY {k}",
         "v15_traffic_level": sql("SELECT route_id, leg_idx, slow AS slow_edges, CASE WHEN slow = 0 THEN 'normal' WHEN worst <= 0.6 OR slow >= 2 THEN 'heavy' ELSE 'congested' END AS level FROM (SELECT *, count(*) FILTER (q < 0.95::DOUBLE) OVER w AS slow, least(1.0::DOUBLE, min(q) FILTER (q < 0.95::DOUBLE) OVER w) AS worst FROM (SELECT l.route_id, l.leg_idx, CASE WHEN a.limit_kmh > 0 THEN round(a.recommended_kmh, 6) / a.limit_kmh END AS q FROM rlegs l LEFT JOIN advice a USING (edge_id)) WINDOW w AS (PARTITION BY route_id ORDER BY leg_idx ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING))"),
         "v16_ping_throttle": sql("SELECT session_id, us // 3600000000 AS hour, arg_min(event_id, (us, event_id)) AS event_id FROM pings GROUP BY session_id, us // 3600000000"),
-        "v17_gain_text": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 OR g <= 0 THEN 'Route updated' WHEN g >= 60 THEN 'New path saves about ' || floor(g / 60 + 0.5)::BIGINT || ' min.' ELSE 'New path saves about ' || floor(g + 0.5)::BIGINT || ' sec.' END AS text FROM (SELECT o_orderkey, o_totalprice / 1000 - o_orderkey % 400 AS g FROM orders)",
+        "v17_gain_text": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 OR g <= 0 THEN 'Route updated for current traffic conditions.' WHEN g >= 60 THEN 'New path saves about ' || floor(g / 60 + 0.5)::BIGINT || ' min.' ELSE 'New path saves about ' || floor(g + 0.5)::BIGINT || ' sec.' END AS text FROM (SELECT o_orderkey, o_totalprice / 1000 - o_orderkey % 400 AS g FROM orders)",
         "v18_trip_inset": sql("SELECT round(min(lat) + (max(lat) - min(lat)) * 0.08::DOUBLE, 6) AS min_lat, round(max(lat) - (max(lat) - min(lat)) * 0.08::DOUBLE, 6) AS max_lat, round(min(lon) + (max(lon) - min(lon)) * 0.08::DOUBLE, 6) AS min_lon, round(max(lon) - (max(lon) - min(lon)) * 0.08::DOUBLE, 6) AS max_lon FROM nodes"),
         "a06_percentiles": "SELECT event_type, count(*) AS n, max(value) FILTER (i = floor((n - 1) * 50 / 100)) AS p50, max(value) FILTER (i = floor((n - 1) * 95 / 100)) AS p95, max(value) FILTER (i = floor((n - 1) * 99 / 100)) AS p99 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type",
         "a07_speedup_report": "WITH m AS (SELECT o_orderpriority, o_custkey % 4 + 1 AS workers, count(*) AS runs, avg(o_totalprice) AS v FROM orders GROUP BY ALL) SELECT o_orderpriority, workers, runs, round(v, 3) AS mean_value, printf('%.2fx', first_value(v) OVER (PARTITION BY o_orderpriority ORDER BY workers <> 1, workers) / v) AS speedup FROM m",
@@ -329,6 +463,18 @@ def oracles() -> dict[str, str]:
         "stream_n04": sql("SELECT session_id, max(step_idx) AS step_idx FROM adv GROUP BY session_id"),
         "stream_n09": sql("SELECT session_id, arg_max(strikes, (us, event_id)) AS strikes FROM struck GROUP BY session_id"),
     }
+    out |= later()
+    for name in ("r07_crp_steps", "r07_own_cells"):
+        out[name] = out["r08_route_steps"]
+    flags = out["j08_better_route"].rpartition("SELECT request_id, ")
+    propagate = "SELECT 'flag' AS kind, request_id AS session_id, NULL::BIGINT AS edge_id, NULL::DOUBLE AS recommended_kmh FROM flagged UNION ALL SELECT 'speed', r.session_id, edge_id, round(recommended_kmh, 6) FROM remaining r JOIN advice USING (edge_id) WHERE connected AND limit_kmh > 0 AND edge_id IN (SELECT edge_id FROM moved)"
+    improved = f"SELECT e.*, e.base_weight * m.w1 AS live_weight FROM edges e JOIN moved m USING (edge_id) WHERE m.w2 - m.w1 >= {0.1}::DOUBLE"
+    flagged = "SELECT request_id, " + flags[2]
+    out["n20_propagate"] = sql(propagate, imp=improved, flagged=flagged)
+    out["n19_sweep"] = sql(
+        "SELECT request_id, old_eta, new_eta, CASE WHEN request_id % 20 >= 10 AND request_id % 7 <> 0 AND request_id % 5 <> 0 AND old_eta > 0 AND ((old_eta - new_eta) / old_eta >= 0.07::DOUBLE OR old_eta - new_eta >= 15) THEN 'traffic_cleared' END AS reason FROM (SELECT request_id, eta_sec AS old_eta, cost / 100.0::DOUBLE AS new_eta FROM flagged JOIN req USING (request_id) JOIN lsp ON root = src AND node = dst WHERE src <> dst)",
+        imp=improved, flagged=flagged, ledges=LIVE_EDGES, lhop=LIVE_HOPS, lsp=f"SELECT DISTINCT src, src, 0::BIGINT FROM req {relax('', 'lhop', 'lsp')}",
+    )
     for name in ("r01_dijkstra", "r02_astar", "r07_crp"):
         out[name] = sql("SELECT request_id, src, dst, cost FROM best")
     out["n18_better_flag"] = out["j08_better_route"].replace("SELECT request_id, " + eta60 + " AS eta_sec FROM req q", "SELECT count(*) AS flagged FROM req q")

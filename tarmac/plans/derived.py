@@ -64,9 +64,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("wt", F.round(F.col("base_weight") * 100).cast("long"))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by edge: ``ts`` in seconds, ratio and alpha of observations, density change."""
-    e = edges(spark, sf_dir)
+def events(spark: SparkSession, sf_dir: str, e: DataFrame | None = None) -> DataFrame:
+    """Events by edge: ``ts`` in seconds, ratio and alpha of observations, density change.  ``e``: the edges, where they are at hand."""
+    e = edges(spark, sf_dir) if e is None else e
     count = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("_nodes"))
     ev = with_one(table(spark, sf_dir, "events"), count)
     rows = ev.select(
@@ -106,11 +106,11 @@ def route_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("route_id", "step_idx", (F.col("r") * COLUMNS + F.col("c")).cast("long").alias("node_idx"))
 
 
-def route_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def route_legs(spark: SparkSession, sf_dir: str, e: DataFrame | None = None) -> DataFrame:
     """The legs between consecutive nodes: end node, edge (null where the road doesn't lead there), length, time."""
     from pyspark.sql import Window as W
 
-    e = edges(spark, sf_dir)
+    e = edges(spark, sf_dir) if e is None else e
     walk = W.partitionBy("route_id").orderBy("step_idx")
     pairs = route_nodes(spark, sf_dir).withColumn("prev", F.lag("node_idx").over(walk))
     named = pairs.join(first_edges(e).select(F.col("src").alias("prev"), F.col("dst").alias("node_idx"), "edge_id"), ["prev", "node_idx"], "left")

@@ -66,9 +66,12 @@ def dijkstra(g: Csr, seeds: dict[int, float], goals: set[int] | None = None, pen
             if v in done:
                 continue
             new = cost + (w if penalty is None else w * penalty(e))
-            if new < best.get(v, INF):
+            old = best.get(v, INF)
+            if new < old:
                 best[v], prev[v] = new, (u, e)
                 heapq.heappush(heap, (new, v))
+            elif new == old and v in prev and (u, e) < prev[v]:  # of equally cheap ways that by the smaller node, then edge
+                prev[v] = (u, e)
     return done, prev, len(done)
 
 
@@ -214,53 +217,80 @@ def bisect(ids: list[int], xs: list[float], ys: list[float], pairs: list[tuple[i
 
 
 class TwoLevel:
-    """Cells, gates and shortcuts: searches touch two cells and the overlay."""
+    """Cells, gates and shortcuts: searches touch two cells and the overlay, whose shortcuts are unpacked again."""
 
     def __init__(self, cell_of: dict[int, int], edges: list[tuple[int, int, float, int]], shortcuts: list[tuple[int, int, float]]):
         """``edges``: (src, dst, weight, edge); ``shortcuts``: (gate, gate, weight) within a cell."""
         self.cell_of = cell_of
         inner = defaultdict(list)
-        over: list[tuple[int, int, float, int]] = []
+        self.over: list[tuple[int, int, float, int]] = []  # overlay edges; -1 stands for a shortcut
         self.gates = defaultdict(set)
         for s, d, w, e in edges:
             if cell_of[s] == cell_of[d]:
                 inner[cell_of[s]].append((s, d, w, e))
             else:
-                over.append((s, d, w, e))
+                self.over.append((s, d, w, e))
                 self.gates[cell_of[s]].add(s)
                 self.gates[cell_of[d]].add(d)
         members = defaultdict(list)
         for n, c in cell_of.items():
             members[c].append(n)
         self.cells = {c: Csr.build(*(zip(*inner[c]) if inner[c] else ([], [], [], [])), extra=ns) for c, ns in members.items()}
-        over += [(s, d, w, -1) for s, d, w in shortcuts]
-        self.overlay = Csr.build(*zip(*over)) if over else None
-
-    def cost(self, s: int, t: int, strict_cell: bool = False) -> tuple[float | None, int]:
-        """(cost or None, visited).  Within one cell the way round through others
-        counts too, unless ``strict_cell``."""
+        self.over += [(s, d, w, -1) for s, d, w in shortcuts]
+        numbered = [(s, d, w, k) for k, (s, d, w, _) in enumerate(self.over)]
+        self.overlay = Csr.build(*zip(*numbered)) if numbered else None
+        self.unpacked: dict[int, list[tuple[int, int]]] = {}
+
+    def _unpack(self, k: int) -> list[tuple[int, int]]:
+        """The steps (node, edge) that overlay edge ``k`` stands for."""
+        s, d, _, e = self.over[k]
+        if e >= 0:
+            return [(d, e)]
+        if k not in self.unpacked:
+            g = self.cells[self.cell_of[s]]
+            _, prev, _ = dijkstra(g, {g.index[s]: 0}, {g.index[d]})
+            self.unpacked[k] = self._steps(g, walk_back(prev, g.index[d])[1])
+        return self.unpacked[k]
+
+    @staticmethod
+    def _steps(g: Csr, path: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        return [(g.ids[v], e) for v, e in path]
+
+    def route(self, s: int, t: int, strict_cell: bool = False, used=frozenset(), crossed=frozenset(), factor: float = 1):
+        """(cost or None, steps after the source as (node, edge), overlay edges taken, visited).
+
+        Within one cell the way round through others counts too, unless
+        ``strict_cell``.  ``used`` edges and ``crossed`` overlay edges cost ``factor`` times as much.
+        """
+        base = (lambda e: factor if e in used else 1) if used else None
+        across = (lambda k: factor if k in crossed or self.over[k][3] in used else 1) if used or crossed else None
         cs, ct = self.cell_of[s], self.cell_of[t]
-        visited, direct = 0, None
+        g, h, visited, found = self.cells[cs], self.cells[ct], 0, []
         if cs == ct:
-            g = self.cells[cs]
-            done, _, visited = dijkstra(g, {g.index[s]: 0}, {g.index[t]})
-            direct = done.get(g.index[t])
-            if strict_cell:
-                return direct, visited
-        if self.overlay is None:
-            return direct, visited
-        g = self.cells[cs]
-        done, _, n1 = dijkstra(g, {g.index[s]: 0}, {g.index[x] for x in self.gates[cs]} or {g.index[s]})
-        seeds = {self.overlay.index[x]: done[g.index[x]] for x in self.gates[cs] if g.index[x] in done}
-        goals = {self.overlay.index[x] for x in self.gates[ct]}
-        if not seeds or not goals:
-            return direct, visited + n1
-        across, _, n2 = dijkstra(self.overlay, seeds, goals)
-        g = self.cells[ct]
-        entry = {g.index[self.overlay.ids[x]]: across[x] for x in goals if x in across}
-        if not entry:
-            return direct, visited + n1 + n2
-        last, _, n3 = dijkstra(g, entry, {g.index[t]})
-        found = last.get(g.index[t])
-        costs = [x for x in (direct, found) if x is not None]
-        return (min(costs) if costs else None), visited + n1 + n2 + n3
+            done, prev, visited = dijkstra(g, {g.index[s]: 0}, {g.index[t]}, base)
+            if g.index[t] in done:
+                found.append((done[g.index[t]], self._steps(g, walk_back(prev, g.index[t])[1]), []))
+        gates = {g.index[x] for x in self.gates[cs]}
+        if gates and self.gates[ct] and not (cs == ct and strict_cell):
+            out, first, n = dijkstra(g, {g.index[s]: 0}, gates, base)
+            visited += n
+            o = self.overlay
+            seeds = {o.index[g.ids[x]]: out[x] for x in gates if x in out}
+            goals = {o.index[x] for x in self.gates[ct]}
+            done, middle, n = dijkstra(o, seeds, goals, across) if seeds else ({}, {}, 0)
+            visited += n
+            entry = {h.index[o.ids[x]]: done[x] for x in goals if x in done}
+            last, final, n = dijkstra(h, entry, {h.index[t]}, base) if entry else ({}, {}, 0)
+            visited += n
+            if h.index[t] in last:
+                gate, tail = walk_back(final, h.index[t])
+                start, hops = walk_back(middle, o.index[h.ids[gate]])
+                head = walk_back(first, g.index[o.ids[start]])[1]
+                ks = [k for _, k in hops]
+                found.append((last[h.index[t]], self._steps(g, head) + [x for k in ks for x in self._unpack(k)] + self._steps(h, tail), ks))
+        return (*min(found, key=lambda f: f[0]), visited) if found else (None, [], [], visited)
+
+    def cost(self, s: int, t: int, strict_cell: bool = False) -> tuple[float | None, int]:
+        """(cost or None, visited)."""
+        cost, _, _, visited = self.route(s, t, strict_cell)
+        return cost, visited

@@ -14,10 +14,11 @@ from pyspark.sql import Window as W
 
 from tarmac import schema as S
 from tarmac.functions import geo, speeds, tags
-from tarmac.operators import etl, graph, joins, reports, routes, routing, sessions, simulation, traffic
+from tarmac.operators import etl, graph, joins, lifecycle, reports, routes, routing, sessions, simulation, traffic
 from tarmac.operators.etl import with_one
 from tarmac.plans import derived as D
 from tarmac.sources import graphs
+from tarmac.sources.shared import kept
 from tarmac.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,12 +290,23 @@ def j03_snap(spark, sf):
     return joins.snap(points, D.nodes(spark, sf)).select("point_id", "node_idx", F.round("dist_m", 3).alias("dist_m"))
 
 
-def _state(spark, sf):
-    return traffic.state(D.events(spark, sf))
+def _net(spark, sf):
+    """The edges as a table, for queries that use them more than once."""
+    return kept(D.edges(spark, sf), "net")
 
 
-def _live(spark, sf):
-    return joins.live_weights(D.edges(spark, sf), _state(spark, sf))
+def _state(spark, sf, e=None):
+    return traffic.state(D.events(spark, sf, e))
+
+
+def _live(spark, sf, e=None):
+    e = _net(spark, sf) if e is None else e
+    return joins.live_weights(e, _state(spark, sf, e))
+
+
+def _live_net(spark, sf, e):
+    """The edges with their live weight in hundredths of a second, as a table."""
+    return kept(_live(spark, sf, e).withColumn("live_wt", F.round(F.round("live_weight", 6) * 100).cast("long")), "live-net")
 
 
 @query
@@ -302,8 +314,8 @@ def j05_live_weight(spark, sf):
     return _live(spark, sf).select("edge_id", r6("multiplier"), r6("live_weight"))
 
 
-def _overlay(spark, sf):
-    e = D.edges(spark, sf)
+def _overlay(spark, sf, e=None):
+    e = _net(spark, sf) if e is None else e
     return graph.overlay_edges(e, graph.shortcuts(e, graph.gates(e)))
 
 
@@ -314,15 +326,15 @@ def j06_overlay_weight(spark, sf):
     return joins.overlay_weights(over, _state(spark, sf), fresh).select("overlay_id", "src", "dst", "is_cross_cell", F.round("live_weight", 4).alias("live_weight"))
 
 
-def _halves(spark, sf):
+def _halves(spark, sf, e=None):
     """State at the middle of the events' ids and at their end."""
-    ev = D.events(spark, sf)
+    ev = kept(D.events(spark, sf, e), "events")
     middle = ev.agg((F.max("event_id") / 2).alias("_mid"))
     return traffic.state(with_one(ev, middle).where("event_id <= _mid").drop("_mid")), traffic.state(ev)
 
 
-def _changed(spark, sf):
-    return traffic.changes(*_halves(spark, sf))
+def _changed(spark, sf, e=None):
+    return traffic.changes(*_halves(spark, sf, e))
 
 
 def _positions(spark, sf):
@@ -352,10 +364,11 @@ def j08_better_route(spark, sf):
     req = D.requests(spark, sf)
     eta = F.round(geo.haversine_m(F.col("src_lat"), F.col("src_lon"), F.col("dst_lat"), F.col("dst_lon")) / (30 / 3.6), 3)
     s = req.select("request_id", F.col("src_lat").alias("lat"), F.col("src_lon").alias("lon"), F.col("dst_lat").alias("goal_lat"), F.col("dst_lon").alias("goal_lon"), eta.alias("eta_sec"))
-    before, after = _halves(spark, sf)
-    imp = traffic.improved(traffic.changes(after, before)).select("edge_id", F.col("new_multiplier").alias("weight"))
+    e = _net(spark, sf)
+    before, after = _halves(spark, sf, e)
+    imp = kept(traffic.improved(traffic.changes(after, before)).select("edge_id", F.col("new_multiplier").alias("weight")), "improved")
     at = lambda end: D.nodes(spark, sf).select(F.col("id").alias(end), F.col("lat").alias(f"{end}_lat"), F.col("lon").alias(f"{end}_lon"))
-    improved = joins.live_weights(D.edges(spark, sf), imp).join(imp.select("edge_id"), "edge_id", "left_semi").join(at("src"), "src").join(at("dst"), "dst")
+    improved = joins.live_weights(e, imp).join(imp.select("edge_id"), "edge_id", "left_semi").join(at("src"), "src").join(at("dst"), "dst")
     return joins.better_routes(s, improved).select("request_id", "eta_sec")
 
 
@@ -433,8 +446,8 @@ def g05_cross_edges(spark, sf):
     return graph.cross_edges(D.edges(spark, sf))
 
 
-def _shortcuts(spark, sf):
-    e = D.edges(spark, sf)
+def _shortcuts(spark, sf, e=None):
+    e = _net(spark, sf) if e is None else e
     return graph.shortcuts(e, graph.gates(e))
 
 
@@ -450,8 +463,8 @@ def g07_overlay_edges(spark, sf):
 
 @query
 def g08_graph_stats(spark, sf):
-    e = D.edges(spark, sf)
-    return graph.stats(D.nodes(spark, sf), e, graph.gates(e), _shortcuts(spark, sf))
+    e = _net(spark, sf)
+    return graph.stats(D.nodes(spark, sf), e, graph.gates(e), _shortcuts(spark, sf, e))
 
 
 # ---- routing -------------------------------------------------------------------
@@ -503,14 +516,18 @@ def r06_overlay_search(spark, sf):
 
 @query
 def r07_crp(spark, sf):
-    return routing.two_level(D.requests(spark, sf), D.edges(spark, sf), D.nodes(spark, sf), _shortcuts(spark, sf)).select("request_id", "src", "dst", "cost")
+    e = _net(spark, sf)
+    return routing.two_level(D.requests(spark, sf), e, D.nodes(spark, sf), _shortcuts(spark, sf, e)).select("request_id", "src", "dst", "cost")
 
 
 @query
 def r08_route_steps(spark, sf):
     """Paths checked edge by edge: ends, hops that don't join, and cost."""
-    e = D.edges(spark, sf)
-    steps = routing.paths(D.requests(spark, sf), e)
+    e = _net(spark, sf)
+    return _checked_steps(routing.paths(D.requests(spark, sf), e), e)
+
+
+def _checked_steps(steps, e):
     walk = W.partitionBy("request_id").orderBy("step_idx")
     rows = steps.withColumn("prev", F.lag("node_idx").over(walk)).join(e.select("edge_id", F.col("src").alias("es"), F.col("dst").alias("ed"), "wt"), "edge_id", "left")
     broken = F.count_if((F.col("step_idx") > 0) & ((F.col("es") != F.col("prev")) | (F.col("ed") != F.col("node_idx")) | F.col("es").isNull()))
@@ -520,8 +537,8 @@ def r08_route_steps(spark, sf):
 @query
 def flagship_routes(spark, sf):
     """Snap requests, route them, and follow every step: free and live time so far, congestion on the whole route."""
-    e, live = D.edges(spark, sf), _live(spark, sf)
-    req = D.requests(spark, sf)
+    e = _net(spark, sf)
+    live, req = _live(spark, sf, e), D.requests(spark, sf)
     n = D.nodes(spark, sf)
     ends = {end: joins.snap(req.select(F.col("request_id").alias("point_id"), F.col(f"{end}_lat").alias("lat"), F.col(f"{end}_lon").alias("lon")), n).select(F.col("point_id").alias("request_id"), F.col("node_idx").alias(end)) for end in ("src", "dst")}
     steps = routing.paths(ends["src"].join(ends["dst"], "request_id"), e).join(live.select("edge_id", "length_m", "base_weight", "live_weight"), "edge_id", "left")
@@ -539,7 +556,7 @@ def r10_cumulative(spark, sf):
 @query
 def r11_alternatives(spark, sf):
     """Invariants of three alternatives: the first costs no more than any other, and all end where they should."""
-    e = D.edges(spark, sf)
+    e = _net(spark, sf)
     steps = routing.paths(D.requests(spark, sf), e, alternatives=2).join(e.select("edge_id", "wt"), "edge_id", "left")
     per = steps.groupBy("request_id", "alternative").agg(F.sum("wt").alias("cost"), F.max_by("node_idx", "step_idx").alias("goal"))
     out = per.groupBy("request_id").agg(F.count(F.lit(1)).alias("routes"), F.min("cost").alias("best"), F.max(F.when(F.col("alternative") == 0, F.col("cost"))).alias("first"), F.count_distinct("goal").alias("goals"))
@@ -549,10 +566,10 @@ def r11_alternatives(spark, sf):
 @query
 def r13_visited_nodes(spark, sf):
     """Nodes visited per request by the three modes, as in a speed-up table."""
-    req, e, n = D.requests(spark, sf), D.edges(spark, sf), D.nodes(spark, sf)
+    req, e, n = D.requests(spark, sf), _net(spark, sf), D.nodes(spark, sf)
     a = routing.goal_directed(req, e, n, per_metre=0.9 * 100 / (S.ASTAR_KMH / 3.6)).select("request_id", F.col("visited").alias("astar"))
     d = routing.goal_directed(req, e, n).select("request_id", F.col("visited").alias("dijkstra"))
-    h = routing.two_level(req, e, n, _shortcuts(spark, sf)).select("request_id", F.col("visited").alias("two_level"))
+    h = routing.two_level(req, e, n, _shortcuts(spark, sf, e)).select("request_id", F.col("visited").alias("two_level"))
     return d.join(a, "request_id").join(h, "request_id")
 
 
@@ -565,8 +582,9 @@ def _repair_jobs(spark, sf, firsts):
 @query
 def r15_repair_overlay(spark, sf):
     """Round a crossing edge: at most five overlay hops within the budget."""
-    over = _overlay(spark, sf).select("src", "dst", F.col("weight").cast("long").alias("wt"), F.col("overlay_id").alias("edge_id"))
-    crossing = graph.cross_edges(D.edges(spark, sf))
+    e = _net(spark, sf)
+    over = _overlay(spark, sf, e).select("src", "dst", F.col("weight").cast("long").alias("wt"), F.col("overlay_id").alias("edge_id"))
+    crossing = graph.cross_edges(e)
     jobs = crossing.select(F.col("store_idx").alias("job"), "src", "dst", F.lit(3000).cast("long").alias("budget"))
     return routing.repairs(jobs, over, S.OVERLAY_REPAIR_HOPS).select("job", "cost")
 
@@ -577,6 +595,60 @@ def r16_repair_base(spark, sf):
     return routing.repairs(jobs, e, S.BASE_REPAIR_HOPS).select("job", "cost")
 
 
+@query
+def r04_same_cell(spark, sf):
+    """From each request's source to the node beside it, where that is in the same cell, never leaving it."""
+    e, n = _net(spark, sf), D.nodes(spark, sf)
+    at = n.select(F.col("id").alias("src"), F.col("cell").alias("sc"))
+    to = n.select(F.col("id").alias("dst"), F.col("cell").alias("dc"))
+    req = D.requests(spark, sf).select("request_id", "src", (F.col("src") + 2).alias("dst")).join(at, "src").join(to, "dst").where("sc = dc").select("request_id", "src", "dst")
+    return routing.two_level(req, e, n, _shortcuts(spark, sf, e), strict_cell=True).select("request_id", "src", "dst", "cost")
+
+
+@query
+def r06_many_gates(spark, sf):
+    """From all gates of the source's cell, at their distance from the source, to all gates of the target's, some overlay edges dearer."""
+    e, n = _net(spark, sf), D.nodes(spark, sf)
+    g = kept(graph.gates(e), "gates")
+    seeds = routing.cell_distances(e, _seeds(spark, sf, False)).join(g.select("node_idx"), "node_idx", "left_semi")
+    ends = D.requests(spark, sf).select(F.col("request_id").alias("group"), "dst").join(n.select(F.col("id").alias("dst"), "cell"), "dst")
+    goals = ends.join(g.select("cell", "node_idx"), "cell").select("group", "node_idx")
+    over = kept(_overlay(spark, sf, e).select("src", "dst", F.col("weight").cast("long").alias("wt"), F.col("overlay_id").alias("edge_id")), "overlay")
+    dear = D.requests(spark, sf).select(F.col("request_id").alias("group")).where("group % 3 = 0").join(over.where("edge_id % 10 = 0").select("edge_id"), F.col("edge_id") % 50 == F.col("group") % 5 * 10).select("group", "edge_id", F.lit(S.ALTERNATIVE_PENALTY).alias("factor"))
+    return routing.seeded(seeds, goals, over, penalties=dear).select(F.col("group").alias("request_id"), "node_idx", "cost")
+
+
+@query
+def r07_crp_steps(spark, sf):
+    """Two-level routes with their shortcuts unpacked, checked edge by edge."""
+    e = _net(spark, sf)
+    steps = routing.two_level_paths(D.requests(spark, sf), e, D.nodes(spark, sf), _shortcuts(spark, sf, e))
+    return _checked_steps(steps, e)
+
+
+@query
+def r07_own_cells(spark, sf):
+    """The same on the cells of the inertial-flow partition, with gates and shortcuts of these."""
+    n = etl.projected(D.nodes(spark, sf))
+    cells = kept(graph.partition(n, D.edges(spark, sf), 120), "cells")
+    at = lambda end: cells.select(F.col("id").alias(end), F.col("cell").alias(f"cell_{end}"))
+    e = kept(D.edges(spark, sf).drop("cell_src", "cell_dst").join(at("src"), "src").join(at("dst"), "dst"), "net")
+    steps = routing.two_level_paths(D.requests(spark, sf), e, cells, graph.shortcuts(e, graph.gates(e)))
+    return _checked_steps(steps, e)
+
+
+@query
+def r08_paths(spark, sf):
+    """Every step of the cheapest path; of equally cheap ways into a node that from the smaller node, then by the smaller edge."""
+    return routing.paths(D.requests(spark, sf), _net(spark, sf)).select("request_id", "step_idx", "node_idx", "edge_id")
+
+
+@query
+def r11_routes(spark, sf):
+    """All five routes, step by step."""
+    return routing.paths(D.requests(spark, sf), _net(spark, sf), alternatives=S.MAX_ROUTES - 1).select("request_id", "alternative", "step_idx", "node_idx", "edge_id")
+
+
 # ---- routes --------------------------------------------------------------------
 
 
@@ -629,17 +701,19 @@ def o08_legs(spark, sf):
 
 @query
 def o09_congestion(spark, sf):
-    return routes.congestion(D.route_legs(spark, sf).select("route_id", "edge_id"), _live(spark, sf), "route_id")
+    e = _net(spark, sf)
+    return routes.congestion(D.route_legs(spark, sf, e).select("route_id", "edge_id"), _live(spark, sf, e), "route_id")
 
 
-def _cursors(spark, sf):
-    at = D.route_legs(spark, sf).select("route_id", "step_idx", "lat", "lon")
+def _cursors(spark, sf, e=None):
+    at = D.route_legs(spark, sf, e).select("route_id", "step_idx", "lat", "lon")
     return at.where(F.col("step_idx") == F.col("route_id") % 7).select("route_id", F.col("step_idx").alias("cursor"), (F.col("lat") - 0.0004).alias("lat"), (F.col("lon") - 0.0002).alias("lon"))
 
 
 @query
 def o10_eta(spark, sf):
-    return routes.eta(D.route_legs(spark, sf).select("route_id", "step_idx", "edge_id", "lat", "lon"), _live(spark, sf), _cursors(spark, sf)).select("route_id", F.round("eta_sec", 3).alias("eta_sec"))
+    e = _net(spark, sf)
+    return routes.eta(D.route_legs(spark, sf, e).select("route_id", "step_idx", "edge_id", "lat", "lon"), _live(spark, sf, e), _cursors(spark, sf, e)).select("route_id", F.round("eta_sec", 3).alias("eta_sec"))
 
 
 def _off_route(spark, sf):
@@ -660,6 +734,19 @@ def o12_debug_snapshot(spark, sf):
     return p.join(routes.congestion(D.route_legs(spark, sf).select("route_id", "edge_id"), _live(spark, sf), "route_id"), "route_id").select("session_id", "route_id", "step_idx", "congested_edges", "congestion_ahead", "connected")
 
 
+@query
+def o11_swapped(spark, sf):
+    """Off-route distance of pings of which every third has its coordinates swapped and its latitude out of range."""
+    far = F.col("event_id") % 3 == 0
+    # 32 is a latitude, and so is 34; what is swapped is moved by 90 degrees with its route
+    shift = lambda c, by: (F.col(c) + F.when(far, by).otherwise(0.0)).alias(c)
+    p = _ping_points(spark, sf).select(F.col("event_id"), F.col("event_id").alias("point_id"), "route_id", F.col("step_idx").alias("cursor"), "lat", shift("lon", 90.0))
+    p = p.select("point_id", "cursor", F.when(far, F.col("lon")).otherwise(F.col("lat")).alias("lat"), F.when(far, F.col("lat")).otherwise(F.col("lon")).alias("lon"), F.concat_ws("/", F.col("route_id").cast("string"), far.cast("string")).alias("route_id"))
+    legs = D.route_legs(spark, sf).select("route_id", "step_idx", "lat", "lon")
+    steps = legs.select(F.concat_ws("/", F.col("route_id").cast("string"), F.lit("false")).alias("route_id"), "step_idx", "lat", "lon").unionByName(legs.select(F.concat_ws("/", F.col("route_id").cast("string"), F.lit("true")).alias("route_id"), "step_idx", "lat", (F.col("lon") + 90.0).alias("lon")))
+    return routes.off_route_by_degrees(p, steps).select("point_id", F.round("off_m", 3).alias("off_m"))
+
+
 # ---- traffic -------------------------------------------------------------------
 
 
@@ -716,9 +803,9 @@ def t13_affected_cells(spark, sf):
 @query
 def t13_customise(spark, sf):
     """Shortcuts of affected cells under live weights in hundredths of a second."""
-    e = D.edges(spark, sf)
-    live = _live(spark, sf).withColumn("live_wt", F.round(F.round("live_weight", 6) * 100).cast("long"))
-    cells = traffic.affected_cells(e, traffic.multipliers(D.events(spark, sf)))
+    e = _net(spark, sf)
+    live = _live_net(spark, sf, e)
+    cells = traffic.affected_cells(e, traffic.multipliers(D.events(spark, sf, e)))
     return traffic.customised(e, graph.gates(e), live, cells).select("cell", "src", "dst", F.col("weight").cast("long").alias("weight"))
 
 
@@ -731,19 +818,133 @@ def t14_upsert(spark, sf):
 
 @query
 def t17_improved(spark, sf):
-    before, after = _halves(spark, sf)
+    before, after = _halves(spark, sf, _net(spark, sf))
     return traffic.improved(traffic.changes(after, before)).select("edge_id", r6("old_multiplier"), r6("new_multiplier"))
 
 
 @query
 def t18_speed_updates(spark, sf):
-    advice = traffic.recommended(D.edges(spark, sf), _state(spark, sf)).where("limit_kmh > 0")
-    return advice.join(_changed(spark, sf).select("edge_id"), "edge_id", "left_semi").select("edge_id", r6("recommended_kmh"))
+    e = _net(spark, sf)
+    advice = traffic.recommended(e, _state(spark, sf, e)).where("limit_kmh > 0")
+    return advice.join(_changed(spark, sf, e).select("edge_id"), "edge_id", "left_semi").select("edge_id", r6("recommended_kmh"))
+
+
+@query
+def t16_refill(spark, sf):
+    """Pending edges refilled with all dirty ones: those of the second half and all that aren't at rest."""
+    ev = D.events(spark, sf)
+    pending = with_one(ev, ev.agg((F.max("event_id") / 2).alias("_mid"))).where("event_id > _mid AND ratio > 0").select("edge_id")
+    return pending.unionByName(_state(spark, sf).where(F.abs(F.col("weight") - 1) >= S.DECAY_TOLERANCE).select("edge_id")).distinct()
 
 
 # ---- sessions ------------------------------------------------------------------
 
 
+def _wanted_sessions(spark, sf):
+    k = F.col("s_suppkey")
+    return D.table(spark, sf, "supplier").select(k.alias("session_id"), k.alias("route_id"), (k % 17 - 2).alias("step"), (k * 1000).alias("us"))
+
+
+@query
+def n01_create(spark, sf):
+    return lifecycle.created(_wanted_sessions(spark, sf), _steps(spark, sf)).select("session_id", "step_idx", "revision", "last_ping_us", "last_reroute_us", "edge_id", "subscribed")
+
+
+@query
+def n02_delete(spark, sf):
+    """Subscriptions that end when every fourth session is deleted."""
+    pos = _positions(spark, sf)
+    return lifecycle.deleted(pos, pos.where("session_id % 4 = 0"), _steps(spark, sf))
+
+
+@query
+def n03_presence(spark, sf):
+    """Density changes as all new sessions start and every third one is destroyed again."""
+    born = lifecycle.created(_wanted_sessions(spark, sf), _steps(spark, sf))
+    return lifecycle.presence_deltas(born, born.where("session_id % 3 = 0"))
+
+
+def _reroute_jobs(legs):
+    """From the node that each route's cursor is at to its end."""
+    goal = legs.groupBy(F.col("route_id").alias("job")).agg(F.max_by("node_idx", "step_idx").alias("dst"))
+    at = legs.where(F.col("step_idx") == F.col("route_id") % 7).select(F.col("route_id").alias("job"), F.col("step_idx").alias("cursor"), F.col("node_idx").alias("src"))
+    return at.join(goal, "job")
+
+
+@query
+def n12_candidates(spark, sf):
+    """A way round the first severely slow edge ahead - over the overlay where it crosses cells - else the whole route anew."""
+    e = _net(spark, sf)
+    live, legs = _live_net(spark, sf, e), kept(D.route_legs(spark, sf, e), "legs")
+    ahead = legs.where((F.col("step_idx") >= F.col("route_id") % 7) & F.col("edge_id").isNotNull()).select("route_id", "step_idx", "edge_id")
+    slow = sessions.repair_triggers(ahead, live).join(live.select("edge_id", "src", "dst", F.col("live_wt").alias("budget")), "edge_id")
+    jobs = kept(slow.select(F.col("route_id").alias("job"), "src", "dst", "budget", "is_cross"), "jobs")
+    over = graph.overlay_edges(live, graph.shortcuts(live, graph.gates(live), "live_wt"), "live_wt").select("src", "dst", F.col("weight").cast("long").alias("live_wt"), F.col("overlay_id").alias("edge_id"))
+    patches = routing.repairs(jobs.where("is_cross"), over, S.OVERLAY_REPAIR_HOPS, "live_wt").unionByName(routing.repairs(jobs.where("NOT is_cross"), live, S.BASE_REPAIR_HOPS, "live_wt"))
+    whole = _reroute_jobs(legs).join(jobs.select("job"), "job", "left_semi").withColumnRenamed("job", "request_id")
+    full = routing.shortest(whole, live, "live_wt").select(F.col("request_id").alias("job"), "cost")
+    return lifecycle.candidates(jobs, patches, full).select(F.col("job").alias("route_id"), "kind", "cost")
+
+
+def _updates(spark, sf):
+    """(sessions, their edges ahead, updates, edges of the new routes): every second session gets the live path from its
+    node to its end; every fourth one was decided for a revision that is no longer its own."""
+    e = _net(spark, sf)
+    live, legs = _live_net(spark, sf, e), kept(D.route_legs(spark, sf, e), "legs")
+    jobs = _reroute_jobs(legs)
+    now = jobs.select(F.col("job").alias("session_id"), F.col("job").alias("route_id"), F.col("cursor").alias("step_idx"), F.lit(1).cast("long").alias("revision"), F.lit(0).cast("long").alias("last_reroute_us"))
+    fresh = kept(routing.paths(jobs.where("job % 2 = 0").withColumnRenamed("job", "request_id"), live, "live_wt"), "fresh")
+    eta = fresh.join(live.select("edge_id", "live_wt"), "edge_id").groupBy(F.col("request_id").alias("session_id")).agg((F.sum("live_wt") / 100.0).alias("eta_sec"))
+    wish = eta.join(now.select("session_id", "step_idx"), "session_id")
+    wish = wish.select("session_id", (-F.col("session_id")).alias("new_route_id"), F.lit(1).cast("long").alias("new_step"), F.col("step_idx").alias("expected_step"), F.when(F.col("session_id") % 4 == 0, 2).otherwise(1).alias("expected_revision"), "eta_sec")
+    return now, legs, wish, fresh
+
+
+@query
+def n15_apply(spark, sf):
+    now, _, wish, _ = _updates(spark, sf)
+    return lifecycle.applied(now, wish, F.lit(7_000_000).cast("long")).select("session_id", "route_id", "step_idx", "revision", "last_reroute_us", "rerouted", F.round("eta_sec", 3).alias("eta_sec"))
+
+
+@query
+def n15_subscriptions(spark, sf):
+    """Edges that sessions drop and take up as the updates are applied."""
+    now, legs, wish, fresh = _updates(spark, sf)
+    steps = legs.select("route_id", F.col("step_idx").alias("s_idx"), "edge_id")
+    steps = steps.unionByName(fresh.select((-F.col("request_id")).alias("route_id"), F.col("step_idx").alias("s_idx"), "edge_id"))
+    after = lifecycle.applied(now, wish, F.lit(7_000_000).cast("long"))
+    return lifecycle.subscription_changes(lifecycle.remaining(now, steps), lifecycle.remaining(after, steps))
+
+
+@query
+def n17_off_route_reroute(spark, sf):
+    """Each session's last off-route ping: the node it is nearest to, and the live cost from there to its route's end."""
+    e = _net(spark, sf)
+    last = kept(_struck(spark, sf).where("off_route").groupBy("session_id").agg(F.max_by(F.struct("route_id", "lat", "lon"), F.struct("us", "event_id")).alias("p")).select("session_id", "p.*"), "off-route")
+    at = joins.snap(last.select(F.col("session_id").alias("point_id"), "lat", "lon"), D.nodes(spark, sf)).select(F.col("point_id").alias("request_id"), F.col("node_idx").alias("src"))
+    goal = D.route_legs(spark, sf, e).groupBy("route_id").agg(F.max_by("node_idx", "step_idx").alias("dst"))
+    jobs = kept(last.select(F.col("session_id").alias("request_id"), "route_id").join(goal, "route_id").join(at, "request_id").select("request_id", "src", "dst"), "jobs")
+    return routing.shortest(jobs, _live_net(spark, sf, e), "live_wt").select(F.col("request_id").alias("session_id"), "src", "dst", "cost")
+
+
+@query
+def n19_sweep(spark, sf):
+    """Flagged sessions against the live route from where they are."""
+    e = _net(spark, sf)
+    fresh = routing.shortest(D.requests(spark, sf), _live_net(spark, sf, e), "live_wt").select("request_id", (F.col("cost") / 100.0).alias("new_eta"))
+    k = F.col("request_id")
+    rows = j08_better_route(spark, sf).select("request_id", F.col("eta_sec").alias("old_eta"), (k % 20).alias("since_sec"), (k % 7 == 0).alias("stale"), (k % 5 == 0).alias("same")).join(fresh, "request_id")
+    return lifecycle.swept(rows).select("request_id", "old_eta", "new_eta", "reason")
+
+
+@query
+def n20_propagate(spark, sf):
+    """One round: changed edges; improved ones flag sessions; speeds of all of them go to their subscribers."""
+    flags = j08_better_route(spark, sf).select(F.lit("flag").alias("kind"), F.col("request_id").alias("session_id"), F.lit(None).cast("long").alias("edge_id"), F.lit(None).cast("double").alias("recommended_kmh"))
+    told = lifecycle.pushed_speed(t18_speed_updates(spark, sf), _remaining(spark, sf))
+    return flags.unionByName(told.select(F.lit("speed").alias("kind"), "session_id", "edge_id", "recommended_kmh"))
+
+
 @query
 def n04_advance(spark, sf):
     return sessions.advanced(D.pings(spark, sf)).select("session_id", "event_id", "step_idx", "prev_step", "moved")
@@ -844,7 +1045,8 @@ def n23_unsubscribed(spark, sf):
 
 
 def _sim_legs(spark, sf):
-    advice = traffic.recommended(D.edges(spark, sf), _state(spark, sf))
+    e = _net(spark, sf)
+    advice = traffic.recommended(e, _state(spark, sf, e))
     return simulation.leg_speeds(_route_legs_m(spark, sf), advice)
 
 
@@ -945,6 +1147,82 @@ def v18_trip_inset(spark, sf):
     return box.select(r6(F.col("a") + (F.col("b") - F.col("a")) * f, "min_lat"), r6(F.col("b") - (F.col("b") - F.col("a")) * f, "max_lat"), r6(F.col("c") + (F.col("d") - F.col("c")) * f, "min_lon"), r6(F.col("d") - (F.col("d") - F.col("c")) * f, "max_lon"))
 
 
+@query
+def v01_ticks(spark, sf):
+    """Ticks run per clock (a user) that wakes up at odd times."""
+    ev = D.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") * 37 % 1700).alias("pause_ms"))
+    return simulation.ticks(ev)
+
+
+@query
+def v04_samples(spark, sf):
+    """Speed samples on the legs that cars without a session pass in their first 45 seconds."""
+    legs = _sim_cars(spark, sf).join(_sim_legs(spark, sf), "route_id").where("leg_idx >= start_step")
+    kmh = speeds.car_kmh(F.col("base_kmh"), F.col("pace"))
+    length = F.when(F.col("leg_m") > 0, F.col("leg_m")).otherwise(S.MIN_LEG_M)
+    return simulation.sampled(legs.select("car_id", "leg_idx", "edge_id", kmh.alias("kmh"), F.round(length / (kmh / S.KMH_PER_MPS), 6).alias("sec"))).select("car_id", "leg_idx", "edge_id", r6("kmh"), "samples")
+
+
+@query
+def v07_adopt(spark, sf):
+    k = F.col("s_suppkey")
+    s = D.table(spark, sf, "supplier")
+    cars = s.select(k.alias("car_id"), (k - 1).alias("session_id"), (k % 3).alias("revision"), (k % 9).alias("step_idx"), (k * 1.5).alias("progress_m"))
+    return simulation.adopted(cars, s.select(k.alias("session_id"), (k % 4).alias("revision"), (k % 5).alias("step_idx"), (32 + k * 0.001).alias("lat"), (34 + k * 0.002).alias("lon"))).select("car_id", "revision", "step_idx", "progress_m", r6("lat"), r6("lon"), "adopted")
+
+
+def _client_cars(spark, sf):
+    k = F.col("s_suppkey")
+    return D.table(spark, sf, "supplier").select(k.alias("car_id"), k.alias("route_id"), (k % 4).alias("leg_idx"), (k % 9 * 5.0).alias("progress_m"), (k % 6 * 700.0 + 2500).alias("edge_ms"), (k % 13 * 35.0).alias("move_m"), F.lit(2500.0).alias("elapsed_ms"))
+
+
+@query
+def v13_client_advance(spark, sf):
+    cars, _ = simulation.client_advanced(_client_cars(spark, sf), _route_legs_m(spark, sf))
+    return cars.select("car_id", "legs_done", "leg_idx", F.round("progress_m", 3).alias("progress_m"), r6("lat"), r6("lon"))
+
+
+@query
+def v13_edge_events(spark, sf):
+    _, events = simulation.client_advanced(_client_cars(spark, sf), _route_legs_m(spark, sf))
+    return events.select("car_id", "leg_idx", "edge_id", r6("observed_sec"))
+
+
+@query
+def s13_outbox(spark, sf):
+    """Messages to sessions by the hour: the first ones fit the buffer."""
+    p = D.pings(spark, sf).select("session_id", F.col("event_id").alias("seq"))
+    return lifecycle.outbox(p, 4).groupBy("session_id").agg(F.count_if(~F.col("dropped")).alias("sent"), F.count_if("dropped").alias("lost"))
+
+
+@query
+def s14_latest(spark, sf):
+    """The newest ping of each session, as a feed with room for one snapshot."""
+    return lifecycle.latest(D.pings(spark, sf).select("session_id", "event_id", "route_id", "reported"), "session_id", "event_id")
+
+
+@query
+def p18_mode_error(spark, sf):
+    k = F.col("s_suppkey") % 5
+    text = F.when(k == 0, "").when(k == 1, " Hierarchical ").when(k == 2, "BASE-ASTAR").when(k == 3, "base-dijkstra").otherwise(" fastest ")
+    return D.table(spark, sf, "supplier").select("s_suppkey", tags.routing_mode_error(text).alias("error"))
+
+
+@query
+def p19_default_viewbox(spark, sf):
+    box = etl.bbox(D.nodes(spark, sf)).select("viewbox")
+    asked = F.when(F.col("s_suppkey") % 3 == 0, " 1,2,3,4 ").when(F.col("s_suppkey") % 3 == 1, "  ")
+    return with_one(D.table(spark, sf, "supplier"), box).select("s_suppkey", tags.default_viewbox(asked, F.col("viewbox")).alias("viewbox"))
+
+
+@query
+def j12_nearby_or_all(spark, sf):
+    """Points of which some have no coordinates: those get all cars."""
+    points = D.requests(spark, sf).select(F.col("request_id").alias("point_id"), F.when(F.col("request_id") % 10 != 0, F.col("src_lat")).otherwise(F.lit(float("nan"))).alias("lat"), F.col("src_lon").alias("lon"))
+    found = joins.nearby_or_all(points, _cars(spark, sf), F.lit(32.02))
+    return found.groupBy("point_id").agg(F.count(F.lit(1)).alias("cars"), F.min("car_id").alias("first_car"))
+
+
 # ---- reports -------------------------------------------------------------------
 
 
@@ -979,6 +1257,27 @@ def stream_t03(spark, sf):
     return replay.densities(spark, D.events(spark, sf))
 
 
+@query
+def stream_t09(spark, sf):
+    """Changes that each of four micro-batches reports: a baseline moves only when its edge is reported."""
+    return replay.changes(spark, D.events(spark, sf)).select("batch", "edge_id", r6("old_multiplier"), r6("new_multiplier"))
+
+
+@query
+def stream_t10(spark, sf):
+    """How often each edge is handed over as pending, once per micro-batch that observes it."""
+    return replay.pending(spark, D.events(spark, sf)).groupBy("edge_id").agg(F.count(F.lit(1)).alias("handed_over"))
+
+
+@query
+def stream_s12(spark, sf):
+    """Pings parsed as they arrive: what is malformed or no ping goes."""
+    ev = D.table(spark, sf, "events")
+    kind = F.when(F.col("event_type") == "error", "noise").otherwise("ping")
+    text = F.when(F.col("event_id") % 17 == 0, F.lit("not json")).otherwise(F.format_string('{"type":"%s","step_index":%d,"speed_kmh":%d.5}', kind, F.col("event_id"), F.col("user_id")))
+    return replay.pings(spark, ev.select("event_id", text.alias("value"))).select(F.col("step_index").cast("long").alias("step_index"), "speed_kmh")
+
+
 @query
 def stream_n04(spark, sf):
     return replay.last_steps(spark, D.pings(spark, sf))

@@ -40,6 +40,8 @@ MIN_GAIN_RATIO, MIN_GAIN_SEC = 0.07, 15.0
 SEVERE_RATIO, SEVERE_DELAY_SEC = 2.0, 20.0
 OVERLAY_REPAIR_HOPS, BASE_REPAIR_HOPS = 5, 20
 HEURISTIC_KMH = 120.0
+#: Room of a session's outbound buffer; ticks of the simulation caught up at once; seconds on an edge before a sample, and between two.
+OUTBOX, CATCH_UP_TICKS, SAMPLE_WARMUP_SEC, SAMPLE_EVERY_SEC = 256, 4, 1.0, 1.0
 SUFFIX_OFFSET = 2
 
 ASTAR_KMH, ALTERNATIVE_PENALTY = 250.0, 5.0

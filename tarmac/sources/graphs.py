@@ -83,3 +83,30 @@ def load_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     if meta["version"] != VERSION:
         raise ValueError(f"version {meta['version']} of {path} isn't {VERSION}")
     return {name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}
+
+
+def complete_graph(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A loaded graph with all that follows from its nodes and edges: gates where none are
+    stored, projected coordinates at the reference latitude, and the bounding box (``bbox``, one row)."""
+    from tarmac.operators import etl, graph
+
+    out = dict(tables)
+    if "gates" not in out and {"cell_src", "cell_dst"} <= set(out["edges"].columns):
+        out["gates"] = graph.gates(out["edges"])
+    out["nodes"] = etl.projected(out["nodes"].drop("x", "y"))
+    out["bbox"] = etl.bbox(out["nodes"])
+    return out
+
+
+def ping_stream(spark: SparkSession, folder: str, files_at_once: int = 100) -> DataFrame:
+    """Ping messages as a stream: one JSON text per line of the files that arrive in ``folder``."""
+    return parse_pings(spark.readStream.option("maxFilesPerTrigger", files_at_once).text(folder))
+
+
+def store_routes(cache: DataFrame, routes: DataFrame) -> DataFrame:
+    """``cache`` with ``routes`` (route_id, created_at, ...) put in, replacing those of the same id; a blank id gets one
+    from the row's own content, so that storing it again changes nothing."""
+    blank = F.trim(F.coalesce(F.col("route_id").cast("string"), F.lit(""))) == ""
+    named = routes.withColumn("route_id", F.when(blank, F.md5(F.to_json(F.struct(*[c for c in routes.columns if c != "route_id"])))).otherwise(F.col("route_id").cast("string")))
+    named = named.dropDuplicates(["route_id"])
+    return cache.withColumn("route_id", F.col("route_id").cast("string")).join(named.select("route_id"), "route_id", "left_anti").unionByName(named)

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; local runs without one take a temporary folder.
+    """A fresh folder under ``spark.checkpoint.dir``; only runs on this machine alone may go without, in a temporary folder.
 
     It is removed when the application ends.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_tarmac_shared", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tarmac-")
         spark._tarmac_shared = root
     path = f"{root}/{tag}-{uuid.uuid4().hex}"

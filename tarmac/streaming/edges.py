@@ -34,7 +34,11 @@ class Fold(StatefulProcessor):
     def step(self, acc: tuple, row) -> tuple:
         raise NotImplementedError
 
-    def emit(self, key, acc: tuple) -> tuple:
+    def close_batch(self, acc: tuple) -> tuple:
+        """The accumulator at the end of a micro-batch."""
+        return acc
+
+    def emit(self, key, acc: tuple) -> tuple | None:
         return (key, *acc)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -42,9 +46,10 @@ class Fold(StatefulProcessor):
         acc = tuple(self.value.get()) if self.value.exists() else self.start()
         for row in batch.itertuples(index=False):
             acc = self.step(acc, row)
+        acc = self.close_batch(acc)
         self.value.update(acc)
-        names = [part.split()[0] for part in self.output.split(", ")]
-        yield pd.DataFrame([self.emit(key[0], acc)], columns=names)
+        if (out := self.emit(key[0], acc)) is not None:
+            yield pd.DataFrame([out], columns=[part.split()[0] for part in self.output.split(", ")])
 
     def close(self) -> None:
         pass
@@ -90,6 +95,29 @@ class Strikes(Fold):
         return (acc[0] + 1,) if S.OFF_ROUTE_M < row.off_m <= S.OFF_ROUTE_SANITY_M else (0,)
 
 
+class Changes(Fold):
+    """Multiplier and density, and what of them was reported last; a row only where either moved enough."""
+
+    state = "weight double, density long, said double, said_density long, news boolean, before double"
+    output = "edge_id long, old_multiplier double, new_multiplier double"
+
+    def start(self):
+        return (1.0, 0, 1.0, 0, False, 1.0)
+
+    def step(self, acc, row):
+        w = max(1.0, row.alpha * max(1.0, row.ratio) + (1 - row.alpha) * acc[0]) if row.ratio > 0 else acc[0]
+        d = acc[1] if pd.isna(row.delta) else max(0, acc[1] + int(row.delta))
+        return (w, d, *acc[2:])
+
+    def close_batch(self, acc):
+        w, d, said, said_density, _, _ = acc
+        news = abs(w - said) >= S.SIGNIFICANT_SHIFT or d != said_density
+        return (w, d, w, d, True, said) if news else (w, d, said, said_density, False, said)
+
+    def emit(self, key, acc):
+        return (key, acc[5], acc[0]) if acc[4] else None
+
+
 def folded(rows: DataFrame, key: str, processor: Fold) -> DataFrame:
     """The streaming frame ``rows`` folded by ``key``: one row per key and micro-batch, the latest state."""
     return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.output, outputMode="Update", timeMode="None")

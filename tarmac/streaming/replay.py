@@ -1,37 +1,68 @@
-"""Streams replayed to their end: a table as a file source, folded, and the last state of every key."""
+"""Streams replayed to their end: a table as a file source in several micro-batches, folded, and what they put out."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarmac.sources.graphs import parse_pings
 from tarmac.sources.shared import shared_folder
-from tarmac.streaming.edges import ROCKSDB, Cursor, Density, Fold, Multiplier, Strikes, folded
+from tarmac.streaming.edges import ROCKSDB, Changes, Cursor, Density, Fold, Multiplier, Strikes, folded
+
+#: A replay comes in this many micro-batches, in order of event ids.
+BATCHES = 4
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+def in_files(rows: DataFrame, folder: str, batches: int = BATCHES) -> None:
+    """Write ``rows`` as one file per micro-batch, oldest first: equal ranges of ``event_id``."""
+    top = rows.agg(F.max("event_id")).first()[0]
+    named = rows.withColumn("_b", F.floor(F.col("event_id") * batches / F.lit((top or 0) + 1)).cast("int"))
+    for k in range(batches):
+        named.where(F.col("_b") == k).drop("_b").coalesce(1).write.mode("append").parquet(folder)
+
+
+def streamed(spark: SparkSession, folder: str, schema, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the stream over ``folder/in`` has put out once it has caught up, with its ``batch``.
+
+    A micro-batch is one file.  Each batch is written under its number, so one that is
+    done again after a failure replaces itself; a new call goes on from the checkpoint.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    with rocksdb(spark):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        run = transform(stream).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
 
 
 def replayed(spark: SparkSession, rows: DataFrame, key: str, processor: Fold) -> DataFrame:
     """All of ``rows`` through the stream, then each key's newest output row."""
     folder = shared_folder(spark, "stream")
-    rows.write.parquet(f"{folder}/in")
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
+    in_files(rows, f"{folder}/in")
+    out = streamed(spark, folder, rows.schema, lambda s: folded(s, key, processor))
+    return newest(out, key)
 
-        def put(batch: DataFrame, number: int) -> None:
-            batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
 
-        run = folded(stream, key, processor).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        run.awaitTermination()
-    finally:
-        if old is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    out = spark.read.parquet(f"{folder}/out")
-    names = [c for c in out.columns if c not in (key, "batch", "part")]
-    newest = out.groupBy(key).agg(F.max(F.struct("batch", *names)).alias("n"))
-    return newest.select(key, *[F.col(f"n.{c}").alias(c) for c in names])
+def newest(out: DataFrame, key: str) -> DataFrame:
+    names = [c for c in out.columns if c not in (key, "batch")]
+    return out.groupBy(key).agg(F.max(F.struct("batch", *names)).alias("n")).select(key, *[F.col(f"n.{c}").alias(c) for c in names])
 
 
 def multipliers(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -48,3 +79,26 @@ def last_steps(spark: SparkSession, pings: DataFrame) -> DataFrame:
 
 def strikes(spark: SparkSession, pings: DataFrame) -> DataFrame:
     return replayed(spark, pings.select("session_id", "us", "event_id", "off_m"), "session_id", Strikes())
+
+
+def changes(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """Reported changes: ``batch, edge_id, old_multiplier, new_multiplier``."""
+    folder = shared_folder(spark, "stream")
+    rows = events.select("edge_id", "us", "event_id", "ratio", "alpha", "delta")
+    in_files(rows, f"{folder}/in")
+    return streamed(spark, folder, rows.schema, lambda s: folded(s, "edge_id", Changes())).withColumn("batch", F.col("batch").cast("long"))
+
+
+def pending(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """Edges with a new observation, each once per micro-batch: ``batch, edge_id``.  A batch that is repeated replaces its hand-over."""
+    folder = shared_folder(spark, "stream")
+    rows = events.where("ratio > 0").select("edge_id", "event_id")
+    in_files(rows, f"{folder}/in")
+    return streamed(spark, folder, rows.schema, lambda s: s.select("edge_id")).distinct()
+
+
+def pings(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Ping messages of a stream of text (``event_id, value``)."""
+    folder = shared_folder(spark, "stream")
+    in_files(lines, f"{folder}/in")
+    return streamed(spark, folder, lines.schema, lambda s: parse_pings(s.select("value"))).drop("batch")
