@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's ``docs``.  All but the last return
 the columns of ``documents``.
+
+Defined cases: documents whose text is null, empty or without letters have no language
+and go in the first stage; a stage that gets such rows all the same keeps them
+(near-duplicates: rows without an id all stay, those of one id and text stay
+once), and mixing takes no words of them.  Repeated rows are documents each until the
+third stage keeps one of them.  An empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
