@@ -13,8 +13,10 @@ clean documents.  Where ``shortest`` lets them in, items of up to four words are
 sought word for word and those of five with any four.  Documents are hashed under
 the shorter masks only where the benchmark has such items.
 
-Hashes are computed inside array functions and exploded as plain longs.  The benchmark
-side is broadcast up to a measured number of rows and shuffled beyond it.
+Hashes are computed inside array functions and exploded as plain longs.  The
+diagonals that are hit are written first, a few narrow rows; up to a measured number
+of them they are broadcast, as is the benchmark, and no text is shuffled; beyond it
+both are shuffle joins.
 
 Defined cases: null texts match nothing; items with equal words are found together;
 repeated rows are found alike.
@@ -96,9 +98,9 @@ def matched_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     ours = _placed(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), token_hashes(text).alias("_tokens")), "_id", "_th", masks=masks)
     hits = ours.join(small(theirs), F.col("_seed") == F.col("_theirs"))
     diagonals = hits.select(F.col("_id").alias("_hid"), F.col("_th").alias("_hth"), F.col("_item").alias("_hitem"), (F.col("_pos") - F.col("_at")).alias("_diagonal")).distinct()
-    named = diagonals
+    named = written(diagonals, "diagonals")
     texts = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("_th", F.xxhash64("_text"))
-    pairs = named.join(texts, F.col("_hid").eqNullSafe(F.col("_id")) & (F.col("_hth") == F.col("_th")))
+    pairs = texts.join(small(named), F.col("_hid").eqNullSafe(F.col("_id")) & (F.col("_hth") == F.col("_th")))
     pairs = pairs.join(small(items), F.col("_hitem") == F.col("_item"))
     pairs = pairs.select("_id", "_th", "_item", "_items", "_diagonal", "_words", token_hashes(F.col("_text")).alias("_tokens"))
     place = F.when(F.col("_diagonal") >= 0, F.col("_diagonal")).otherwise(0)
@@ -130,6 +132,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without those in which a benchmark item is found."""
     found = matched_windows(docs, benchmark, id_col, text_col, **how).select(F.col("_id").alias("_fid"), F.col("_th").alias("_fth")).distinct()
+    found = small(written(found, "contaminated"))
     return docs.join(found, docs[id_col].eqNullSafe(found["_fid"]) & (F.xxhash64(text_of(docs[text_col])) == found["_fth"]), "left_anti")
 
 
