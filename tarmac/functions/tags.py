@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from tarmac.schema import DEFAULT_SPEED_KMH, HIGHWAY_CLASS, MAX_ROUTES, MAX_SPAWN, MIN_SPAWN
 
 
+#: Texts of turns, with the side put in (fixed values).
+TURN_TEXTS = {
+    "destination": "Arrive at destination",
+    "straight": "Continue straight",
+    "slight": "Slight %s turn",
+    "turn": "Turn %s",
+    "sharp": "Sharp %s turn",
+    "u-turn": "U-turn",
+}
 #: Fixed text where a reroute's gain isn't known.
 UPDATED_TEXT = "Route updated for current traffic conditions."
 
@@ -99,20 +108,18 @@ def duration_text(seconds: Column) -> Column:
     return F.when(seconds.isNull() | (seconds <= 0), "--").otherwise(whole)
 
 
-def gain_text(old_eta: Column, new_eta: Column) -> Column:
+def gain_text(old_eta: Column, new_eta: Column, unknown: str = "Route updated") -> Column:
+    """What a reroute gains; ``unknown`` where that isn't known or nothing (the client says UPDATED_TEXT)."""
     gain = F.greatest(F.lit(0.0), old_eta - new_eta)
     say = lambda n, unit: F.concat(F.lit("New path saves about "), F.floor(n + 0.5).cast("long").cast("string"), F.lit(unit))
-    return F.when(old_eta.isNull() | new_eta.isNull() | (gain <= 0), UPDATED_TEXT).when(gain >= 60, say(gain / 60, " min.")).otherwise(say(gain, " sec."))
+    return F.when(old_eta.isNull() | new_eta.isNull() | (gain <= 0), unknown).when(gain >= 60, say(gain / 60, " min.")).otherwise(say(gain, " sec."))
 
 
 def turn_text(angle: Column, side: Column) -> Column:
     """Instruction of a turn; null legs mean the destination."""
     name = F.when(side > 0, "left").otherwise("right")
+    say = lambda kind: F.format_string(TURN_TEXTS[kind], name) if "%s" in TURN_TEXTS[kind] else F.lit(TURN_TEXTS[kind])
     return (
-        F.when(angle.isNull(), F.lit("destination"))
-        .when(angle < 20, F.lit("straight"))
-        .when(angle < 45, F.concat(F.lit("slight "), name))
-        .when(angle < 120, F.concat(F.lit("turn "), name))
-        .when(angle < 160, F.concat(F.lit("sharp "), name))
-        .otherwise(F.lit("u-turn"))
-    )
+        F.when(angle.isNull(), say("destination")).when(angle < 20, say("straight")).when(angle < 45, say("slight"))
+        .when(angle < 120, say("turn")).when(angle < 160, say("sharp")).otherwise(say("u-turn"))
+    )

@@ -2,44 +2,57 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions import geo
 from tarmac.operators.etl import with_one
+from tarmac.sources.shared import kept
+
+
+#: Nodes per bucket of the finest grid, on average; the finest grid has at most 2**GRID_BITS buckets a side.
+BUCKET_NODES, GRID_BITS = 2, 15
 
 
-def snap(points: DataFrame, nodes: DataFrame, key: str = "point_id", cells: int = 128, rings: int = 1) -> DataFrame:
+def snap(points: DataFrame, nodes: DataFrame, key: str = "point_id") -> DataFrame:
     """Nearest node of each point (``lat, lon``); ties go to the smaller node.
 
-    Nodes are dealt into a grid over their extent; a point meets the nodes of the
-    (2 rings + 1)^2 buckets around its own by an equi-join.  A result is final if
-    no unseen bucket can hold a nearer node; the other points look at rings twice
-    as wide, until all are settled.
+    Nodes are dealt into a grid over their extent, as fine as their number asks for; a
+    point meets the nodes of the 3 x 3 buckets around its own by an equi-join.  A
+    result is final if no unseen bucket can hold a nearer node.  The other points, those
+    far from any node, look again in buckets four times as wide, until the grid is
+    one bucket.  Each round's points are kept as a table.
     """
     ref = nodes.agg(((F.min("lat") + F.max("lat")) / 2).alias("_ref"))
     x, y = geo.project(F.col("lat"), F.col("lon"), F.col("_ref"))
-    placed = with_one(nodes, ref).select(F.col("id").alias("node_idx"), x.alias("nx"), y.alias("ny"))
+    placed = kept(with_one(nodes, ref).select(F.col("id").alias("node_idx"), x.alias("nx"), y.alias("ny")), "placed")
+    bits = min(GRID_BITS, max(0, math.ceil(math.log2(max(1, placed.count() / BUCKET_NODES)) / 2)))
+    cells = 1 << bits
     span = placed.agg(F.min("nx").alias("x0"), F.min("ny").alias("y0"), F.greatest((F.max("nx") - F.min("nx")) / cells, F.lit(1e-9)).alias("w"), F.greatest((F.max("ny") - F.min("ny")) / cells, F.lit(1e-9)).alias("h"))
     cell = lambda v, low, size: F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.floor((v - low) / size))).cast("int")
-    grid = with_one(placed, span).select("node_idx", "nx", "ny", cell(F.col("nx"), F.col("x0"), F.col("w")).alias("gx"), cell(F.col("ny"), F.col("y0"), F.col("h")).alias("gy"))
+    grid = with_one(placed, span).select("node_idx", "nx", "ny", cell(F.col("nx"), F.col("x0"), F.col("w")).alias("fx"), cell(F.col("ny"), F.col("y0"), F.col("h")).alias("fy"))
+    grid = kept(grid, "grid")
     todo = with_one(with_one(points, ref).select(F.col(key), x.alias("px"), y.alias("py")), span)
-    todo = todo.select(key, "px", "py", "w", "h", cell(F.col("px"), F.col("x0"), F.col("w")).alias("cx"), cell(F.col("py"), F.col("y0"), F.col("h")).alias("cy"))
-    found = None
+    todo = kept(todo.select(key, "px", "py", "w", "h", cell(F.col("px"), F.col("x0"), F.col("w")).alias("cx"), cell(F.col("py"), F.col("y0"), F.col("h")).alias("cy")), "todo")
+    ring, found = F.sequence(F.lit(-1), F.lit(1)), None
     while True:
-        ring = F.sequence(F.lit(-rings), F.lit(rings))
+        wide = lambda c: F.shiftright(c, (cells.bit_length() - 1) - bits)
         around = todo.select("*", F.explode(ring).alias("_i")).select("*", F.explode(ring).alias("_j"))
-        near = around.select(key, "px", "py", "w", "h", (F.col("cx") + F.col("_i")).alias("gx"), (F.col("cy") + F.col("_j")).alias("gy")).join(grid, ["gx", "gy"])
+        near = around.select(key, "px", "py", "w", "h", (wide("cx") + F.col("_i")).alias("gx"), (wide("cy") + F.col("_j")).alias("gy"))
+        near = near.join(grid.select("node_idx", "nx", "ny", wide("fx").alias("gx"), wide("fy").alias("gy")), ["gx", "gy"])
         squared = (F.col("px") - F.col("nx")) * (F.col("px") - F.col("nx")) + (F.col("py") - F.col("ny")) * (F.col("py") - F.col("ny"))
-        best = near.groupBy(key).agg(F.min(F.struct(squared.alias("d2"), F.col("node_idx"))).alias("best"), F.first(rings * F.least("w", "h")).alias("reach"))
-        settled = best.where(F.lit(rings >= cells) | (F.col("best.d2") <= F.col("reach") * F.col("reach"))).select(key, F.col("best.node_idx").alias("node_idx"), F.sqrt("best.d2").alias("dist_m"))
+        reach = F.first(F.least("w", "h") * (cells >> bits))
+        best = kept(near.groupBy(key).agg(F.min(F.struct(squared.alias("d2"), F.col("node_idx"))).alias("best"), reach.alias("reach")), "nearest")
+        settled = best.where(F.lit(bits == 0) | (F.col("best.d2") <= F.col("reach") * F.col("reach"))).select(key, F.col("best.node_idx").alias("node_idx"), F.sqrt("best.d2").alias("dist_m"))
         found = settled if found is None else found.unionByName(settled)
-        if rings >= cells:
+        if bits == 0:
             return found
-        left = todo.join(settled.select(key), key, "left_anti")
-        if left.isEmpty():
+        todo = kept(todo.join(settled.select(key), key, "left_anti"), "todo")
+        if todo.isEmpty():
             return found
-        todo, rings = left, min(cells, rings * 2)
+        bits = max(0, bits - 2)
 
 
 def live_weights(edges: DataFrame, state: DataFrame) -> DataFrame:

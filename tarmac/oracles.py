@@ -349,7 +349,7 @@ def oracles() -> dict[str, str]:
         "m06_local_distance": sql(f"SELECT edge_id, round({local_m('plat', 'plon', 'lat2', 'lon2')}, 3) AS metres FROM offp"),
         "m07_interpolate": sql("SELECT edge_id, round(lat1 + (lat2 - lat1) * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (edge_id % 13 - 1) / 10.0::DOUBLE)), 6) AS lat, round(lon1 + (lon2 - lon1) * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (edge_id % 13 - 1) / 10.0::DOUBLE)), 6) AS lon FROM edges"),
         "m08_turn_info": sql("SELECT route_id, leg_idx, round(angle, 4) AS angle, side FROM turns"),
-        "m09_turn_instruction": sql("SELECT route_id, leg_idx, CASE WHEN angle IS NULL THEN 'destination' WHEN round(angle, 6) < 20 THEN 'straight' WHEN round(angle, 6) < 45 THEN 'slight ' || d WHEN round(angle, 6) < 120 THEN 'turn ' || d WHEN round(angle, 6) < 160 THEN 'sharp ' || d ELSE 'u-turn' END AS instruction FROM (SELECT *, CASE WHEN side > 0 THEN 'left' ELSE 'right' END AS d FROM turns)"),
+        "m09_turn_instruction": sql("SELECT route_id, leg_idx, CASE WHEN angle IS NULL THEN 'Arrive at destination' WHEN round(angle, 6) < 20 THEN 'Continue straight' WHEN round(angle, 6) < 45 THEN 'Slight ' || d || ' turn' WHEN round(angle, 6) < 120 THEN 'Turn ' || d WHEN round(angle, 6) < 160 THEN 'Sharp ' || d || ' turn' ELSE 'U-turn' END AS instruction FROM (SELECT *, CASE WHEN side > 0 THEN 'left' ELSE 'right' END AS d FROM turns)"),
         "m10_bearing": sql(f"SELECT route_id, leg_idx, round({bearing}, 4) AS bearing FROM bent"),
         "m11_bearing_cap": sql(f"SELECT route_id, leg_idx, round(g, 4) AS gap, coalesce(g > 25, false) AS capped FROM (SELECT *, CASE WHEN abs(nb - b) > 180 THEN 360 - abs(nb - b) ELSE abs(nb - b) END AS g FROM (SELECT *, lead(b) OVER (PARTITION BY route_id ORDER BY leg_idx) AS nb FROM (SELECT *, round({bearing}, 6) AS b FROM bent)))"),
         "m12_format_eta": "SELECT o_orderkey, CASE WHEN s <= 0 THEN '--' WHEN floor(s / 3600) > 0 THEN floor(s / 3600)::BIGINT || 'h ' || floor((s % 3600) / 60)::BIGINT || 'm' ELSE floor((s % 3600) / 60)::BIGINT || ' min' END AS duration, printf('%.1f km', floor(floor(o_totalprice) / 100 + 0.5::DOUBLE) / 10) AS distance FROM (SELECT *, o_totalprice / 7 - 300 AS s FROM orders)",
@@ -429,6 +429,7 @@ def oracles() -> dict[str, str]:
         "n08_eta_throttle": sql(f"SELECT session_id, unnest(ids) AS event_id FROM (SELECT session_id, {throttle} AS ids FROM pings GROUP BY session_id)"),
         "n09_strikes": sql("SELECT session_id, event_id, strikes, hit AND strikes >= 2 AS off_route FROM struck"),
         "n10_decision": sql(f"SELECT session_id, unnest(f.ids) AS event_id, unnest(f.why) AS reason FROM (SELECT session_id, {decide} AS f FROM struck GROUP BY session_id)"),
+        "n10_live_decision": sql(f"SELECT session_id, unnest(f.ids) AS event_id, unnest(f.why) AS reason FROM (SELECT session_id, {decide.replace('event_id % 4 = 0', 'coalesce(jam, false)')} AS f FROM struck LEFT JOIN (SELECT route_id, count(*) FILTER (live_weight >= 1.5::DOUBLE * live.base_weight) > 0 AS jam FROM legs JOIN live USING (edge_id) GROUP BY route_id) USING (route_id) GROUP BY session_id)"),
         "n11_repair_trigger": sql("SELECT route_id, b.step_idx AS step_idx, b.edge_id AS edge_id, b.x AS is_cross FROM (SELECT route_id, min({'step_idx': step_idx, 'edge_id': edge_id, 'x': cell_src <> cell_dst}) AS b FROM legs JOIN live USING (edge_id) WHERE live_weight >= 2 * live.base_weight AND live_weight - live.base_weight >= 20 GROUP BY route_id)"),
         "n13_accept": "SELECT o_orderkey, coalesce(o_orderkey % 11 = 0 OR (o > 0 AND ((o - w) / o >= 0.07::DOUBLE OR o - w >= 15) AND NOT o_orderkey % 5 = 0), false) AS accepted FROM (SELECT o_orderkey, o, o * (0.85::DOUBLE + o_orderkey % 30 / 100.0::DOUBLE) AS w FROM (SELECT o_orderkey, o_totalprice / 1000 - 20 AS o FROM orders))",
         "n14_version_check": sql("SELECT a.event_id, a.session_id FROM adv a JOIN pos p ON p.session_id = a.session_id AND p.step_idx = a.step_idx WHERE a.event_id % 3 = p.session_id % 3"),
@@ -457,6 +458,7 @@ def oracles() -> dict[str, str]:
         "v18_trip_inset": sql("SELECT round(min(lat) + (max(lat) - min(lat)) * 0.08::DOUBLE, 6) AS min_lat, round(max(lat) - (max(lat) - min(lat)) * 0.08::DOUBLE, 6) AS max_lat, round(min(lon) + (max(lon) - min(lon)) * 0.08::DOUBLE, 6) AS min_lon, round(max(lon) - (max(lon) - min(lon)) * 0.08::DOUBLE, 6) AS max_lon FROM nodes"),
         "a06_percentiles": "SELECT event_type, count(*) AS n, max(value) FILTER (i = floor((n - 1) * 50 / 100)) AS p50, max(value) FILTER (i = floor((n - 1) * 95 / 100)) AS p95, max(value) FILTER (i = floor((n - 1) * 99 / 100)) AS p99 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type",
         "a07_speedup_report": "WITH m AS (SELECT o_orderpriority, o_custkey % 4 + 1 AS workers, count(*) AS runs, avg(o_totalprice) AS v FROM orders GROUP BY ALL) SELECT o_orderpriority, workers, runs, round(v, 3) AS mean_value, printf('%.2fx', first_value(v) OVER (PARTITION BY o_orderpriority ORDER BY workers <> 1, workers) / v) AS speedup FROM m",
+        "s17_bench_metrics": "SELECT 'BenchmarkRoute/' || o_orderkey AS name, unit, value FROM (SELECT o_orderkey, 'ns/op' AS unit, o_custkey::DOUBLE AS value FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, 'visited_nodes/op', o_orderkey + 0.5::DOUBLE FROM orders) WHERE o_orderkey % 5 > 1",
         "u03_od_corpus": sql(f"SELECT request_id, src, dst, round({haversine('src_lat', 'src_lon', 'dst_lat', 'dst_lon')}, 3) AS distance_m FROM req JOIN best USING (request_id, src, dst) WHERE abs(src - dst) >= 50 AND {haversine('src_lat', 'src_lon', 'dst_lat', 'dst_lon')} BETWEEN 500 AND 5000"),
         "stream_t01": sql("SELECT edge_id, round(weight, 6) AS weight FROM mult"),
         "stream_t03": sql("SELECT edge_id, density FROM dens"),

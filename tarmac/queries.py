@@ -538,10 +538,13 @@ def _checked_steps(steps, e):
 def flagship_routes(spark, sf):
     """Snap requests, route them, and follow every step: free and live time so far, congestion on the whole route."""
     e = _net(spark, sf)
-    live, req = _live(spark, sf, e), D.requests(spark, sf)
+    live, req = kept(_live(spark, sf, e), "live"), D.requests(spark, sf)
     n = D.nodes(spark, sf)
-    ends = {end: joins.snap(req.select(F.col("request_id").alias("point_id"), F.col(f"{end}_lat").alias("lat"), F.col(f"{end}_lon").alias("lon")), n).select(F.col("point_id").alias("request_id"), F.col("node_idx").alias(end)) for end in ("src", "dst")}
-    steps = routing.paths(ends["src"].join(ends["dst"], "request_id"), e).join(live.select("edge_id", "length_m", "base_weight", "live_weight"), "edge_id", "left")
+    both = F.array(*[F.struct((F.col("request_id") * 2 + k).alias("point_id"), F.col(f"{end}_lat").alias("lat"), F.col(f"{end}_lon").alias("lon")) for k, end in enumerate(("src", "dst"))])
+    at = joins.snap(req.select(F.explode(both).alias("p")).select("p.*"), n)
+    end = lambda k: F.max(F.when(F.col("point_id") % 2 == k, F.col("node_idx")))
+    ends = kept(at.groupBy(F.floor(F.col("point_id") / 2).alias("request_id")).agg(end(0).alias("src"), end(1).alias("dst")), "ends")
+    steps = routing.paths(ends, e).join(live.select("edge_id", "length_m", "base_weight", "live_weight"), "edge_id", "left")
     walk = W.partitionBy("request_id").orderBy("step_idx").rowsBetween(W.unboundedPreceding, 0)
     so_far = lambda c: F.round(F.sum(F.coalesce(c, F.lit(0.0))).over(walk), 3)
     slow = F.count_if(F.col("live_weight") >= S.CONGESTED * F.col("base_weight")).over(W.partitionBy("request_id"))
@@ -991,10 +994,20 @@ def n10_decision(spark, sf):
     return sessions.decisions(rows)
 
 
+@query
+def n10_live_decision(spark, sf):
+    """The same where congestion is what the live weights say of the session's route."""
+    e = _net(spark, sf)
+    jam = routes.congestion(D.route_legs(spark, sf, e).select("route_id", "edge_id"), _live(spark, sf, e), "route_id")
+    rows = _struck(spark, sf).join(jam.select("route_id", "congestion_ahead"), "route_id", "left")
+    return sessions.decisions(rows.withColumn("congested", F.coalesce("congestion_ahead", F.lit(False))))
+
+
 @query
 def n11_repair_trigger(spark, sf):
-    live = _live(spark, sf)
-    return sessions.repair_triggers(D.route_legs(spark, sf).where("edge_id IS NOT NULL").select("route_id", "step_idx", "edge_id"), live)
+    e = _net(spark, sf)
+    live = _live(spark, sf, e)
+    return sessions.repair_triggers(D.route_legs(spark, sf, e).where("edge_id IS NOT NULL").select("route_id", "step_idx", "edge_id"), live)
 
 
 @query
@@ -1137,7 +1150,7 @@ def v16_ping_throttle(spark, sf):
 @query
 def v17_gain_text(spark, sf):
     old, new = F.col("o_totalprice") / 1000, (F.col("o_orderkey") % 400) * 1.0
-    return D.table(spark, sf, "orders").select("o_orderkey", tags.gain_text(F.when(F.col("o_orderkey") % 9 != 0, old), new).alias("text"))
+    return D.table(spark, sf, "orders").select("o_orderkey", tags.gain_text(F.when(F.col("o_orderkey") % 9 != 0, old), new, tags.UPDATED_TEXT).alias("text"))
 
 
 @query
@@ -1237,6 +1250,16 @@ def a07_speedup_report(spark, sf):
     return reports.speedups(rows, "o_orderpriority", "workers", "o_totalprice").select("o_orderpriority", "workers", "runs", F.round("mean_value", 3).alias("mean_value"), "speedup")
 
 
+@query
+def s17_bench_metrics(spark, sf):
+    """Every metric of benchmark lines, some of which are short or hold what is no number."""
+    o = D.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    number = F.when(k % 7 == 0, "n/a").otherwise(F.col("o_custkey").cast("string"))
+    line = F.when(k % 5 == 0, F.format_string("BenchmarkRoute/%d-8 %d", k, k)).when(k % 5 == 1, F.lit("ok done 1 s")).otherwise(F.format_string("  BenchmarkRoute/%d-8 \t %d  %s ns/op %d.5 visited_nodes/op", k, k % 100, number, k))
+    return reports.bench_metrics(o.select(line.alias("value")))
+
+
 @query
 def u03_od_corpus(spark, sf):
     """Pairs far enough apart that have a route."""

@@ -55,11 +55,20 @@ def cached_routes(cache: DataFrame, wanted: DataFrame, now: Column, minutes: int
     return fresh.join(wanted.select("route_id").distinct(), "route_id", "left_semi")
 
 
-def search_places(places: DataFrame, query: str, limit: int = 5) -> DataFrame:
-    """Offline search: blank finds nothing; names that contain the query and whose coordinates parse."""
+def search_places(places: DataFrame, query: str, limit: int = 5, viewbox: str | None = None, countries: str | None = None) -> DataFrame:
+    """Offline search: blank finds nothing; names that contain the query and whose coordinates parse.
+
+    With a ``viewbox`` ("minLon,maxLat,maxLon,minLat") only what lies in it; with ``countries``
+    ("de,se") only places of those (column ``country``).
+    """
     q = (query or "").strip()
     lat, lon = F.col("lat").try_cast("double"), F.col("lon").try_cast("double")
+    if countries:
+        places = places.where(F.lower("country").isin([c.strip().lower() for c in countries.split(",")]))
     rows = places.select(F.col("display_name").alias("displayName"), lat.alias("lat"), lon.alias("lng")).where("lat IS NOT NULL AND lng IS NOT NULL")
+    if viewbox:
+        west, north, east, south = (float(x) for x in viewbox.split(","))
+        rows = rows.where(F.col("lat").between(south, north) & F.col("lng").between(west, east))
     hit = F.lit(bool(q)) & F.contains(F.lower("displayName"), F.lit(q.lower()))
     return rows.where(hit).orderBy("displayName", "lat", "lng").limit(limit)
 
