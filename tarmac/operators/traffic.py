@@ -24,6 +24,25 @@ def multipliers(events: DataFrame) -> DataFrame:
     return valid.groupBy("edge_id").agg(_ordered("ratio", "alpha").alias("s")).select("edge_id", speeds.ewma(F.col("s")).alias("weight"), F.size("s").cast("long").alias("samples"))
 
 
+def multipliers_in_parts(events: DataFrame, part_sec: int = 3600) -> DataFrame:
+    """As ``multipliers``, an edge's rows gathered by ``part_sec`` of time only, so that a very busy edge is no one group.
+
+    Each observation maps a weight w to max(1, alpha r + (1 - alpha) w), and maps of the form
+    max(c, a w + b) follow one another as another such map: parts are folded to (a, b, c), and an edge's few parts in order.
+    """
+    valid = events.where((F.col("ratio") > 0) & F.col("ratio").isNotNull()).withColumn("part", F.floor(F.col("us") / (part_sec * 1_000_000)))
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("c"))
+
+    def step(m, x):
+        keep, pull = 1 - x["alpha"], x["alpha"] * F.greatest(F.lit(1.0), x["ratio"])
+        return F.struct((keep * m["a"]).alias("a"), (keep * m["b"] + pull).alias("b"), F.greatest(F.lit(1.0), keep * m["c"] + pull).alias("c"))
+
+    parts = valid.groupBy("edge_id", "part").agg(_ordered("ratio", "alpha").alias("s")).select("edge_id", "part", F.aggregate("s", start, step).alias("m"), F.size("s").cast("long").alias("n"))
+    whole = parts.groupBy("edge_id").agg(F.array_sort(F.collect_list(F.struct("part", "m"))).alias("ms"), F.sum("n").alias("samples"))
+    weight = F.aggregate("ms", F.lit(1.0), lambda w, x: F.greatest(x["m"]["c"], x["m"]["a"] * w + x["m"]["b"]))
+    return whole.select("edge_id", weight.alias("weight"), "samples")
+
+
 def densities(events: DataFrame) -> DataFrame:
     """Vehicles per edge from enter (+1) and leave (-1) rows, never below zero."""
     moves = events.where("delta IS NOT NULL")
@@ -36,8 +55,16 @@ def state(events: DataFrame) -> DataFrame:
     return both.select("edge_id", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("density", F.lit(0).cast("long")).alias("density"))
 
 
-def replayed(events: DataFrame) -> DataFrame:
-    """Multiplier per edge with decay every DECAY_EVERY_SEC between its observations (event time)."""
+def at_rest(events: DataFrame, now_us: DataFrame) -> DataFrame:
+    """Multiplier per edge at ``now_us`` (one row), decayed since its last observation as well, and whether the edge is
+    still dirty: one that has come to rest at 1 isn't."""
+    rows = replayed(events, True).crossJoin(F.broadcast(now_us))
+    ticks = F.least(F.lit(64).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("now_us") - F.col("us")) / int(S.DECAY_EVERY_SEC * 1_000_000))))
+    return rows.select("edge_id", speeds.decayed(F.col("weight"), ticks).alias("weight")).withColumn("dirty", F.col("weight") != 1.0)
+
+
+def replayed(events: DataFrame, when: bool = False) -> DataFrame:
+    """Multiplier per edge with decay every DECAY_EVERY_SEC between its observations (event time); ``when`` adds the last one's time."""
     every = int(S.DECAY_EVERY_SEC * 1_000_000)
     valid = events.where("ratio > 0")
     rows = valid.groupBy("edge_id").agg(_ordered("ratio", "alpha").alias("s"))
@@ -50,7 +77,8 @@ def replayed(events: DataFrame) -> DataFrame:
         return F.struct(x["us"].alias("us"), w.alias("w"))
 
     start = F.struct(F.lit(None).cast("long").alias("us"), F.lit(1.0).alias("w"))
-    return rows.select("edge_id", F.aggregate("s", start, step)["w"].alias("weight"))
+    out = rows.select("edge_id", F.aggregate("s", start, step).alias("f"))
+    return out.select("edge_id", F.col("f.w").alias("weight"), *([F.col("f.us").alias("us")] if when else []))
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -410,6 +410,10 @@ def oracles() -> dict[str, str]:
         "t06_congested": sql("SELECT edge_id FROM state WHERE weight > 1.5::DOUBLE"),
         "t07_recommended_speed": sql("SELECT edge_id, limit_kmh, density, round(recommended_kmh, 6) AS recommended_kmh FROM advice"),
         "t08_decay": sql(f"SELECT edge_id, round({decayed}, 6) AS weight FROM ev WHERE ratio > 0 GROUP BY edge_id"),
+        "t08_at_rest": sql(
+            f"SELECT edge_id, round(w, 6) AS weight, w <> 1 AS dirty FROM (SELECT edge_id, {decay.replace('x.us', 't').replace('a.w', 'f.w').replace('a.us', 'f.us')} AS w FROM folded, (SELECT max(us) + 4000000 AS t FROM ev))",
+            folded=f"SELECT edge_id, {decayed.removesuffix('.w')} AS f FROM ev WHERE ratio > 0 GROUP BY edge_id",
+        ),
         "t09_cdc_snapshot": sql("SELECT edge_id, round(w1, 6) AS old_multiplier, round(w2, 6) AS new_multiplier FROM moved"),
         "t11_multipliers": sql("SELECT edge_id, round(multiplier, 6) AS weight FROM live"),
         "t13_affected_cells": sql("SELECT DISTINCT cell_src AS cell FROM edges WHERE cell_src = cell_dst AND (edge_id IN (SELECT edge_id FROM mult) OR (SELECT count(*) FROM mult) >= 0.25 * (SELECT count(*) FROM edges))"),
@@ -458,6 +462,11 @@ def oracles() -> dict[str, str]:
         "v18_trip_inset": sql("SELECT round(min(lat) + (max(lat) - min(lat)) * 0.08::DOUBLE, 6) AS min_lat, round(max(lat) - (max(lat) - min(lat)) * 0.08::DOUBLE, 6) AS max_lat, round(min(lon) + (max(lon) - min(lon)) * 0.08::DOUBLE, 6) AS min_lon, round(max(lon) - (max(lon) - min(lon)) * 0.08::DOUBLE, 6) AS max_lon FROM nodes"),
         "a06_percentiles": "SELECT event_type, count(*) AS n, max(value) FILTER (i = floor((n - 1) * 50 / 100)) AS p50, max(value) FILTER (i = floor((n - 1) * 95 / 100)) AS p95, max(value) FILTER (i = floor((n - 1) * 99 / 100)) AS p99 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type",
         "a07_speedup_report": "WITH m AS (SELECT o_orderpriority, o_custkey % 4 + 1 AS workers, count(*) AS runs, avg(o_totalprice) AS v FROM orders GROUP BY ALL) SELECT o_orderpriority, workers, runs, round(v, 3) AS mean_value, printf('%.2fx', first_value(v) OVER (PARTITION BY o_orderpriority ORDER BY workers <> 1, workers) / v) AS speedup FROM m",
+        "s01_extract": sql("SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM nodes WHERE id IN (SELECT a FROM raw_ways WHERE way_id % 3 = 0 UNION SELECT b FROM raw_ways WHERE way_id % 3 = 0)"),
+        "s02_extract_ways": sql("SELECT way_id, a, b, highway, oneway, maxspeed, junction FROM raw_ways WHERE way_id % 3 = 0"),
+        "s04_stored_graph": sql("SELECT gate_id, node_idx, cell FROM gates"),
+        "s06_json_graph": sql("SELECT way_id, 2::BIGINT AS refs, road_class::BIGINT AS road_class, CASE WHEN way_id % 2 = 0 THEN speed_kmh ELSE CASE road_class WHEN 3 THEN 80.0::DOUBLE WHEN 4 THEN 60.0::DOUBLE ELSE 50.0::DOUBLE END END AS speed_kmh, is_one_way FROM ways"),
+        "s10_search": "SELECT c_name AS displayName, (c_custkey % 80)::DOUBLE AS lat, (c_custkey % 170)::DOUBLE AS lng FROM customer WHERE contains(lower(c_name), '0000001') AND c_custkey % 9 <> 0 AND c_custkey % 80 BETWEEN 5 AND 70 AND c_custkey % 170 BETWEEN 10 AND 160 ORDER BY c_name, lat, lng LIMIT 50",
         "s17_bench_metrics": "SELECT 'BenchmarkRoute/' || o_orderkey AS name, unit, value FROM (SELECT o_orderkey, 'ns/op' AS unit, o_custkey::DOUBLE AS value FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, 'visited_nodes/op', o_orderkey + 0.5::DOUBLE FROM orders) WHERE o_orderkey % 5 > 1",
         "u03_od_corpus": sql(f"SELECT request_id, src, dst, round({haversine('src_lat', 'src_lon', 'dst_lat', 'dst_lon')}, 3) AS distance_m FROM req JOIN best USING (request_id, src, dst) WHERE abs(src - dst) >= 50 AND {haversine('src_lat', 'src_lon', 'dst_lat', 'dst_lon')} BETWEEN 500 AND 5000"),
         "stream_t01": sql("SELECT edge_id, round(weight, 6) AS weight FROM mult"),
@@ -477,6 +486,7 @@ def oracles() -> dict[str, str]:
         "SELECT request_id, old_eta, new_eta, CASE WHEN request_id % 20 >= 10 AND request_id % 7 <> 0 AND request_id % 5 <> 0 AND old_eta > 0 AND ((old_eta - new_eta) / old_eta >= 0.07::DOUBLE OR old_eta - new_eta >= 15) THEN 'traffic_cleared' END AS reason FROM (SELECT request_id, eta_sec AS old_eta, cost / 100.0::DOUBLE AS new_eta FROM flagged JOIN req USING (request_id) JOIN lsp ON root = src AND node = dst WHERE src <> dst)",
         imp=improved, flagged=flagged, ledges=LIVE_EDGES, lhop=LIVE_HOPS, lsp=f"SELECT DISTINCT src, src, 0::BIGINT FROM req {relax('', 'lhop', 'lsp')}",
     )
+    out["t01_in_parts"] = out["t01_ewma"]
     for name in ("r01_dijkstra", "r02_astar", "r07_crp"):
         out[name] = sql("SELECT request_id, src, dst, cost FROM best")
     out["n18_better_flag"] = out["j08_better_route"].replace("SELECT request_id, " + eta60 + " AS eta_sec FROM req q", "SELECT count(*) AS flagged FROM req q")

@@ -17,8 +17,8 @@ from tarmac.functions import geo, speeds, tags
 from tarmac.operators import etl, graph, joins, lifecycle, reports, routes, routing, sessions, simulation, traffic
 from tarmac.operators.etl import with_one
 from tarmac.plans import derived as D
-from tarmac.sources import graphs
-from tarmac.sources.shared import kept
+from tarmac.sources import graphs, pbf
+from tarmac.sources.shared import kept, shared_folder
 from tarmac.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,51 @@ def s01_referenced_nodes(spark, sf):
     return etl.referenced_nodes(D.nodes(spark, sf), D.long_ways(spark, sf)).select("id", r6("lat"), r6("lon"))
 
 
+@query
+def s01_extract(spark, sf):
+    """The derived map written as extracts and read back: nodes that some highway refers to."""
+    n, w = D.nodes(spark, sf), D.raw_ways(spark, sf).where("way_id % 3 = 0")
+    files = [r["path"] for r in pbf.write_pbf(n, w, shared_folder(spark, "extract")).select("path").collect()]  # one per partition
+    nodes, _ = pbf.read_pbf(spark, *files)
+    return nodes.select("id", r6("lat"), r6("lon"))
+
+
+@query
+def s02_extract_ways(spark, sf):
+    """The ways of the same extracts, with the tags that routing needs."""
+    w = D.raw_ways(spark, sf).where("way_id % 3 = 0")
+    files = [r["path"] for r in pbf.write_pbf(D.nodes(spark, sf), w, shared_folder(spark, "extract")).where("rows > 0").select("path").collect()]
+    _, ways = pbf.read_pbf(spark, *files)
+    return ways.select("way_id", F.col("node_refs")[0].alias("a"), F.col("node_refs")[1].alias("b"), "highway", "oneway", "maxspeed", "junction")
+
+
+@query
+def s04_stored_graph(spark, sf):
+    """A graph saved without its gates and loaded again: the gates that follow from its edges."""
+    folder = shared_folder(spark, "graph")
+    graphs.save_graph(folder, nodes=D.nodes(spark, sf), edges=D.edges(spark, sf))
+    return graphs.complete_graph(graphs.load_graph(spark, folder))["gates"].select("gate_id", "node_idx", "cell")
+
+
+@query
+def s06_json_graph(spark, sf):
+    """The derived map as one JSON document, as fixtures are, read back: ways with class, speed and direction."""
+    n = D.nodes(spark, sf).select("id", "lat", "lon").agg(F.collect_list(F.struct("id", "lat", "lon")).alias("nodes"))
+    w = D.ways(spark, sf).select(F.struct(F.col("way_id").alias("id"), "node_refs", "road_class", "is_one_way", F.when(F.col("way_id") % 2 == 0, F.col("speed_kmh")).alias("max_speed")).alias("w")).agg(F.collect_list("w").alias("ways"))
+    folder = shared_folder(spark, "fixture")
+    n.crossJoin(w).select(F.to_json(F.struct("nodes", "ways")).alias("value")).coalesce(1).write.text(folder)
+    _, ways = graphs.read_graph_json(spark, folder)
+    return ways.select("way_id", F.size("node_refs").cast("long").alias("refs"), F.col("road_class").cast("long").alias("road_class"), "speed_kmh", "is_one_way")
+
+
+@query
+def s10_search(spark, sf):
+    """Places by name, of which some have coordinates that are no numbers, within a viewbox."""
+    k = F.col("c_custkey")
+    places = D.table(spark, sf, "customer").select(F.col("c_name").alias("display_name"), F.when(k % 9 == 0, "?").otherwise((k % 80).cast("string")).alias("lat"), (k % 170).cast("string").alias("lon"))
+    return graphs.search_places(places, " 0000001 ", 50, viewbox="10,70,160,5")
+
+
 @query
 def s07_region_tree(spark, sf):
     top = D.table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent"))
@@ -788,6 +833,18 @@ def t08_decay(spark, sf):
     return traffic.replayed(D.events(spark, sf)).select("edge_id", r6("weight"))
 
 
+@query
+def t08_at_rest(spark, sf):
+    """Multipliers two ticks after the last event of all, and which edges are still dirty."""
+    ev = D.events(spark, sf)
+    return traffic.at_rest(ev, ev.agg((F.max("us") + 4_000_000).alias("now_us"))).select("edge_id", r6("weight"), "dirty")
+
+
+@query
+def t01_in_parts(spark, sf):
+    return traffic.multipliers_in_parts(D.events(spark, sf).where("event_type IN ('purchase', 'signup', 'error')")).select("edge_id", r6("weight"), "samples")
+
+
 @query
 def t09_cdc_snapshot(spark, sf):
     return _changed(spark, sf).select("edge_id", r6("old_multiplier"), r6("new_multiplier"))

@@ -44,6 +44,13 @@ def ready_regions(files: DataFrame, needed: tuple[str, ...]) -> DataFrame:
     return ready.join(nested, "dir", "left_anti").orderBy("dir")
 
 
+def region_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files below ``root`` as ``dir, file``, listed without being read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    parts = F.split("path", "/")
+    return found.select(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"), F.element_at(parts, -1).alias("file"))
+
+
 def parse_pings(lines: DataFrame, col: str = "value") -> DataFrame:
     """Ping messages of JSON text; malformed ones and other types go."""
     return lines.select(*[c for c in lines.columns if c != col], F.from_json(col, PING).alias("p")).where("p.type = 'ping'").select(*[c for c in lines.columns if c != col], "p.*")

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from tarmac.operators.etl import referenced_nodes
@@ -28,6 +29,8 @@ TAGS = ("highway", "oneway", "maxspeed", "junction")
 #: Bounds of the format for a header and an unpacked blob (fixed values).
 MAX_HEADER, MAX_BLOB = 64 << 10, 32 << 20
 NANO = 1e-9
+#: Rows of a block that is written.
+BLOCK_ROWS = 8000
 
 NODES, WAYS = "id long, lat double, lon double", "way_id long, node_refs array<long>, highway string, oneway string, maxspeed string, junction string"
 
@@ -178,6 +181,81 @@ class Block:
                 yield way, np.cumsum(signed(packed(refs))), tags
 
 
+# ---- writing -------------------------------------------------------------------
+
+
+def number(value: int) -> bytes:
+    out = bytearray()
+    while value > 0x7F:
+        out.append(value & 0x7F | 0x80)
+        value >>= 7
+    out.append(value)
+    return bytes(out)
+
+
+def field(key: int, value: int | bytes) -> bytes:
+    return number(key << 3) + number(value) if isinstance(value, int) else number(key << 3 | 2) + number(len(value)) + value
+
+
+def steps(values: list[int]) -> bytes:
+    """Packed zigzag differences."""
+    gaps = (b - a for a, b in zip([0, *values], values))
+    return b"".join(number(g << 1 if g >= 0 else (-g << 1) - 1) for g in gaps)
+
+
+def blob(kind: str, data: bytes) -> bytes:
+    body = field(2, len(data)) + field(3, zlib.compress(data))
+    head = field(1, kind.encode()) + field(3, len(body))
+    return len(head).to_bytes(4, "big") + head + body
+
+
+def node_block(ids: list[int], lats: list[float], lons: list[float]) -> bytes:
+    units = lambda degrees: steps([round(d * 1e7) for d in degrees])
+    return field(1, field(1, b"")) + field(2, field(2, field(1, steps(ids)) + field(8, units(lats)) + field(9, units(lons))))
+
+
+def way_block(rows: list[tuple[int, list[int], dict[str, str]]]) -> bytes:
+    texts = dict.fromkeys(["", *(x for _, _, tags in rows for pair in tags.items() for x in pair)])
+    place = {t: k for k, t in enumerate(texts)}
+    one = lambda way, refs, tags: field(1, way) + field(2, b"".join(number(place[k]) for k in tags)) + field(3, b"".join(number(place[v]) for v in tags.values())) + field(8, steps(refs))
+    return field(1, b"".join(field(1, t.encode()) for t in texts)) + field(2, b"".join(field(3, one(*r)) for r in rows))
+
+
+def _write(folder: str, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        task = TaskContext.get()
+        name = f"{kind}-{task.partitionId():05d}.osm.pbf"
+        draft, count = f"{root}/_{name}-{task.taskAttemptId()}", 0
+        with store.open_output_stream(draft) as out:
+            out.write(blob("OSMHeader", field(4, b"OsmSchema-V0.6") + field(4, b"DenseNodes")))
+            for batch in batches:
+                for at in range(0, len(batch), BLOCK_ROWS):
+                    rows = batch.slice(at, BLOCK_ROWS).to_pylist()
+                    count += len(rows)
+                    if kind == "nodes":
+                        out.write(blob("OSMData", node_block(*([r[c] for r in rows] for c in ("id", "lat", "lon")))))
+                    else:
+                        out.write(blob("OSMData", way_block([(r["way_id"], r["node_refs"], {t: r[t] for t in TAGS if r[t] is not None}) for r in rows])))
+        store.move(draft, f"{root}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([count])], names=["path", "rows"])
+
+    return run
+
+
+def write_pbf(nodes: DataFrame, ways: DataFrame, folder: str) -> DataFrame:
+    """Extracts of nodes and ways, one file per partition: ``path, rows``.  Coordinates keep seven digits.
+
+    A task writes under a name of its own and renames the file when it is whole.
+    """
+    named = [nodes.select("id", "lat", "lon").mapInArrow(_write(folder, "nodes"), "path string, rows long"), ways.select("way_id", "node_refs", *TAGS).mapInArrow(_write(folder, "ways"), "path string, rows long")]
+    return kept(named[0].unionByName(named[1]), "extracts")
+
+
+# ---- reading -------------------------------------------------------------------
+
+
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column("path").to_pylist():
