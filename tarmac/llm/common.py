@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,13 @@ BROADCAST_ROWS = 200_000
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a folder of our own is used.
+    Only where that setting is absent and all runs on this machine (tests) a folder of
+    our own is used.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_tarmac_root", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tarmac-shared-")
         spark._tarmac_root = root
     return root
@@ -76,6 +80,23 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, keys: dict[str, str], times: str, hot: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``counted`` (a written table) on ``keys`` {column of rows: column of counted}.
+
+    ``times`` says how often a key occurs in ``rows``.  A small ``counted`` is broadcast.
+    Else the keys that occur ``hot`` times or more, at most a ``hot``-th of all rows,
+    are broadcast where their measured number allows, so that no task gets all rows of
+    one, and the rest meet in a shuffle.
+    """
+    on = lambda c: reduce(lambda a, b: a & b, [rows[x] == c[y] for x, y in keys.items()])
+    if counted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(counted), on(counted))
+    often, seldom = small(counted.where(F.col(times) >= hot)), counted.where(F.col(times) < hot)
+    cold = rows.join(often, on(often), "left_anti")
+    cold = cold.join(seldom, reduce(lambda a, b: a & b, [cold[x] == seldom[y] for x, y in keys.items()]))
+    return cold.unionByName(rows.join(often, on(often)))
+
+
 def digest(c: Column) -> Column:
     """A 128-bit key of a string, as 16 bytes."""
     return F.unhex(F.md5(c))

@@ -6,8 +6,9 @@ place in every document but the one with the largest id.  Only the
 places of lines (id, position, hash), written once as a table, travel to the
 counting and deciding steps; the text itself is shuffled
 once, for the reassembly by position.  A line that a third of all documents
-share is one row per map task in the count; in the join it is an ordinary
-shuffled inner join, whose skewed partitions AQE splits.
+share is one row per map task in the count; the frequent hashes, or where they are
+too many those that occur most often, are broadcast in the join that finds
+their places, so no task gets all of one.
 
 Defined cases: a null or empty text is one empty line; a null id counts as a
 document and is smaller than any id, so it never holds the surviving copy unless
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import digest, text_of, written
+from tarmac.llm.common import digest, join_counted, text_of, written
 
 #: Characters stripped from both ends of a line (fixed values).
 BLANKS = " \t\n\x0b\x0c\r"
@@ -53,8 +54,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # the outer explode keeps Spark from deriving a filter that would compute the array twice
     places = base.select("_id", "_th", F.explode_outer(F.transform("_marks", first)).alias("_m")).where("_m IS NOT NULL")
     places = written(places.select("_id", "_th", F.col("_m.h").alias("_h"), F.col("_m.pos").alias("_pos"), F.col("_m.first").alias("_first")), "lines")
-    frequent = places.where("_first").groupBy(F.col("_h").alias("_fh")).agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).where(F.col("_n") >= min_docs).select("_fh", "_keep")
-    lost = places.join(frequent, F.col("_h") == F.col("_fh")).where(~F.col("_id").eqNullSafe(F.col("_keep")))
+    frequent = places.where("_first").groupBy(F.col("_h").alias("_fh")).agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).where(F.col("_n") >= min_docs)
+    lost = join_counted(places, written(frequent, "frequent"), {"_h": "_fh"}, "_n").where(~F.col("_id").eqNullSafe(F.col("_keep")))
     return lost.groupBy("_id", "_th").agg(F.array_sort(F.collect_set("_pos")).alias("_drop"))
 
 

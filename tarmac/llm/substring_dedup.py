@@ -13,7 +13,8 @@ document, or later in the same one) are removed.
 
 The spans, one narrow row per sentence of fixed-width columns, are written once; a
 span that a third of all documents share is one row per map task in the
-aggregation, and its skewed partition is split by AQE in the join.
+aggregation, and the spans that occur most often are broadcast in the join that
+finds their places, so no task gets all of one.
 
 Defined cases: null and empty texts have no sentence; texts shorter than a run
 lose nothing; words are what stands between blanks and holds a letter or digit; of equal
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import text_of, written
+from tarmac.llm.common import join_counted, text_of, written
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -172,8 +173,9 @@ def substring_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("th"), text.alias("text"))
     found = written(base.mapInArrow(_spans(min_sentences, min_words), _SPANS), "spans")
     # fixed-width keys and buffers keep this a hash aggregation
-    first = found.groupBy(F.col("h1").alias("f1"), F.col("h2").alias("f2")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    later = found.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(F.col("again") | ~F.col("id").eqNullSafe(F.col("first")))
+    first = found.groupBy(F.col("h1").alias("f1"), F.col("h2").alias("f2")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    first = written(first, "firsts")
+    later = join_counted(found, first, {"h1": "f1", "h2": "f2"}, "times").where(F.col("again") | ~F.col("id").eqNullSafe(F.col("first")))
     runs = later.groupBy(F.col("id").alias("rid"), F.col("th").alias("rth")).agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("places"), F.array_sort(F.collect_set("first")).alias("first_ids"))
     return base.join(runs, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("id", "th", "text", "places", "first_ids").mapInArrow(_edit, "id long, th int, first_ids array<long>, n_sentences long, n_removed long, kept_text string")
 
