@@ -224,4 +224,5 @@ def page_languages(pages: DataFrame, model: TextModel, id_col: str = "page_id",
 def keep_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without those that are rejected."""
     gone = document_languages(docs, id_col, text_col, **how).where(~F.coalesce(accepted(), F.lit(False))).select("_id", "_th").distinct()
+    gone = small(written(gone, "rejected"))
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(text_of(docs[text_col])) == gone["_th"]), "left_anti")
