@@ -11,8 +11,8 @@ with probability equal to the similarity.
 Signatures are cut into bands.  Texts that share a band meet at a leader of that
 band's bucket (one row per member, never all pairs), and the pair's multiset
 overlap is verified exactly.  Verified links form connected components by
-alternating large-star and small-star steps.  Two later rounds choose other
-leaders for buckets that still hold more than one component.  What those leave
+alternating large-star and small-star steps.  A second round chooses other
+leaders for buckets that still hold more than one component.  What that leaves
 open is settled exactly, so that a link between two followers isn't lost: texts
 of open buckets are joined on the rarest fifth of their shingles, of which two
 texts at similarity 0.8 must share one, and the pairs of different components
@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import in_batches, text_of, words, written
+from tarmac.llm.common import in_batches, small, text_of, words, written
 
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 SHINGLE = 5
 SIMILAR = 0.8
-ROUNDS = 3
+ROUNDS = 2
 #: Tokens that a Python worker handles at a time (a longer text is a slice of its own).
 SLICE_TOKENS = 100_000
 #: What Spark hands a Python worker at a time.
@@ -231,21 +231,29 @@ def components(links: DataFrame) -> DataFrame:
             moved = joined.select("v", "m").union(least.select(F.col("c").alias("v"), "m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.where("u <> v").distinct()
 
-    def mark(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def stars(edges: DataFrame) -> bool:
+        """Whether every component is a star by now: no node has two neighbours below it, or one below and one above."""
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
+        seen = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.count(F.lit(1)).alias("n"))
+        return seen.where("ups > 1 OR (ups > 0 AND n > ups)").isEmpty()
 
-    edges = written(links.where("u <> v").select("u", "v").distinct(), "links")
-    last = mark(edges)
-    while True:
+    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    while not stars(edges):
         edges = written(star(star(edges, True), False), "stars")
-        now = mark(edges)
-        if now == last:
-            break
-        last = now
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` with the components that ``links`` (``u``, ``v``) join made one: only roots meet, not their members."""
+    root = lambda c: roots.select(F.col("node").alias(f"{c}n"), F.col("root").alias(f"{c}r"))
+    between = links.join(root("u"), F.col("u") == F.col("un"), "left").join(root("v"), F.col("v") == F.col("vn"), "left")
+    joined = written(components(between.select(F.coalesce("ur", "u").alias("u"), F.coalesce("vr", "v").alias("v"))), "joined")
+    new = joined.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = roots.join(new, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    return moved.unionByName(joined.join(roots.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row per document: ``doc_id``, ``class_id`` (smallest id of its class), ``text_id`` (smallest id with equal words)."""
     text = text_of(text_col)
@@ -262,7 +270,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = written(buckets.join(counted, (F.col("band") == F.col("cb")) & (F.col("h") == F.col("ch"))).select("id", F.xxhash64("band", "h").alias("bucket")), "buckets")
     tokens = written(docs.select(F.col(id_col).cast("long").alias("tid"), F.transform(words(text), lambda w: F.hash(w)).alias("tokens")).join(shared.select("id").distinct(), F.col("tid") == F.col("id"), "left_semi"), "tokens")
 
-    tested = links = roots = None
+    tested = roots = None
 
     def verified(pairs: DataFrame) -> DataFrame:
         if tested is not None:
@@ -288,13 +296,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         new = result.where("linked").select(F.col("id").alias("u"), F.col("leader").alias("v"))
         if turn and new.isEmpty():
             break
-        links = new if links is None else links.unionByName(new)
-        roots = written(components(links), "roots")
+        roots = written(components(new) if roots is None else merged(roots, new), "roots")
     pairs = open_pairs(shared, roots, tokens, similar)
     if pairs is not None:
         new = verified(pairs).where("linked").select(F.col("id").alias("u"), F.col("leader").alias("v"))
         if not new.isEmpty():
-            roots = written(components(links.unionByName(new)), "roots")
+            roots = written(merged(roots, new), "roots")
     by_text = texts.join(roots, F.col("text_id") == F.col("node"), "left").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "text_id", F.coalesce("root", "text_id").alias("class_id"))
     found = named.join(by_text, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2"))).select(F.col("id").alias("doc_id"), "class_id", "text_id")
     alone = members.where("id IS NULL").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.col("id").alias("text_id"))
@@ -305,7 +312,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one document of each class: that with the smallest id, once (of rows
     that share this id, one by its text's hash); rows with a null id all stay."""
     classes = near_classes(docs, id_col, text_col, similar)
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    classes = written(classes, "classes")
+    gone = small(written(classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
     left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
     heads = classes.where(F.col("doc_id") == F.col("class_id")).groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("_times"))
     again = written(heads.where("_times > 1").select("_again"), "again")
