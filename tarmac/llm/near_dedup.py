@@ -15,8 +15,9 @@ alternating large-star and small-star steps.  A second round chooses other
 leaders for buckets that still hold more than one component.  What that leaves
 open is settled exactly, so that a link between two followers isn't lost: texts
 of open buckets are joined on the rarest fifth of their shingles, of which two
-texts at similarity 0.8 must share one, and the pairs of different components
-are verified like the others.  Equal texts are folded before, so a group of
+texts at similarity 0.8 must share one: with a leader of each shingle first, then
+with one another, and the pairs of different components are verified like the
+others.  Equal texts are folded before, so a group of
 copies is one row here.
 
 With 24 bands of 4 rows a pair at similarity 0.8 shares no band with probability
@@ -30,7 +31,7 @@ class.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,13 +166,18 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column("id").take(at), rows.column("root").take(at), pa.array(sizes[owner]), pa.array(element)], names=["id", "root", "size", "element"])
 
 
-def open_pairs(shared: DataFrame, roots: DataFrame, tokens: DataFrame, similar: float) -> DataFrame | None:
+def open_pairs(shared: DataFrame, roots: DataFrame, tokens: DataFrame, similar: float, settle: Callable[[DataFrame], DataFrame | None] | None = None) -> DataFrame | None:
     """(``id``, ``leader``) of every pair in different components that can be similar, of texts in buckets with several components.
 
     Prefix filter: a text of n elements overlaps a similar one in ``similar`` * n of
     them or more, so the pair shares one of the rarest n - ceil(similar * n) + 1.
     Elements of one text alone only use up places of that prefix.  The first element
     that a pair shares must also leave enough behind it in both texts.
+
+    Many texts that are alike share many elements, so all their pairs at once would grow with the
+    square of the group.  Members of each element therefore meet one leader first, a
+    row per member; ``settle`` verifies these pairs and gives the roots that follow (None: as before).
+    What is paired at last are members that even so lie in different components.
     """
     held = shared.join(roots, F.col("id") == F.col("node"), "left").select("id", "bucket", F.coalesce("root", "id").alias("root"))
     several = held.groupBy(F.col("bucket").alias("b")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("b")
@@ -187,15 +193,33 @@ def open_pairs(shared: DataFrame, roots: DataFrame, tokens: DataFrame, similar:
     ranked = known.select("*", F.count(F.lit(1)).over(of_text).alias("shared"), F.row_number().over(of_text.orderBy("texts", "element")).alias("place"))
     prefix = F.col("size") - F.ceil(F.col("size") * F.lit(similar) - F.lit(1e-9)) + 1
     placed = ranked.withColumn("at", F.col("place") + F.col("size") - F.col("shared")).where(F.col("at") <= prefix)
-    kept = written(placed.select("id", "root", "size", "element", "at"), "prefixes")
+    prefixes = written(placed.select("id", "size", "element", "at"), "prefixes")
+
+    def rooted() -> DataFrame:
+        of = roots.select(F.col("node").alias("rn"), F.col("root").alias("rr"))
+        return prefixes.join(of, F.col("id") == F.col("rn"), "left").select("id", F.coalesce("rr", "id").alias("root"), "size", "element", "at")
+
+    def enough(size: Column, at: Column, osize: Column, oat: Column) -> Column:
+        """Whether two texts can be similar whose first shared element is at these places: no more can be shared than what follows it in either."""
+        return F.least(size - at, osize - oat) + 1 >= F.ceil((size + osize) * F.lit(similar / (1 + similar)) - F.lit(1e-9))
+
+    for turn in range(ROUNDS if settle else 0):
+        held = rooted()
+        rank = F.xxhash64(F.lit(ROUNDS + turn), "id").alias("rank")
+        lead = held.groupBy(F.col("element").alias("e")).agg(F.min(F.struct(rank, "id", "root", "size", "at")).alias("lead"))
+        near = held.join(lead, F.col("element") == F.col("e")).where(F.col("root") != F.col("lead.root"))
+        near = near.where(enough(F.col("size"), F.col("at"), F.col("lead.size"), F.col("lead.at")))
+        now = settle(near.select(F.greatest("id", "lead.id").alias("id"), F.least("id", "lead.id").alias("leader")).distinct())
+        if now is None:
+            break
+        roots = now
+    kept = written(rooted(), "open-prefixes")
     # of two members in different components one at least is outside the element's largest component
     per_root = kept.groupBy(F.col("element").alias("e"), F.col("root").alias("r")).agg(F.count(F.lit(1)).alias("n"))
     largest = per_root.groupBy("e").agg(F.max(F.struct("n", "r")).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1").select("e", F.col("top.r").alias("r"))
     crossing = kept.join(largest, F.col("element") == F.col("e"))
     outside = crossing.where("root <> r").select(F.col("id").alias("oid"), F.col("root").alias("oroot"), F.col("size").alias("osize"), F.col("element").alias("oe"), F.col("at").alias("oat"))
-    # after the first shared element no more can be shared than what follows it in either
-    needed = F.ceil((F.col("size") + F.col("osize")) * F.lit(similar / (1 + similar)) - F.lit(1e-9))
-    close = F.least(F.col("size") - F.col("at"), F.col("osize") - F.col("oat")) + 1 >= needed
+    close = enough(F.col("size"), F.col("at"), F.col("osize"), F.col("oat"))
     both = crossing.select("id", "root", "size", "element", "at").join(outside, (F.col("element") == F.col("oe")) & (F.col("root") != F.col("oroot")) & close)
     return both.select(F.greatest("id", "oid").alias("id"), F.least("id", "oid").alias("leader")).distinct()
 
@@ -297,11 +321,19 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if turn and new.isEmpty():
             break
         roots = written(components(new) if roots is None else merged(roots, new), "roots")
-    pairs = open_pairs(shared, roots, tokens, similar)
-    if pairs is not None:
-        new = verified(pairs).where("linked").select(F.col("id").alias("u"), F.col("leader").alias("v"))
-        if not new.isEmpty():
-            roots = written(merged(roots, new), "roots")
+
+    def settle(pairs: DataFrame) -> DataFrame | None:
+        nonlocal tested, roots
+        result = verified(pairs)
+        tested = tested.unionByName(result)
+        new = result.where("linked").select(F.col("id").alias("u"), F.col("leader").alias("v"))
+        if new.isEmpty():
+            return None
+        roots = written(merged(roots, new), "roots")
+        return roots
+
+    if (pairs := open_pairs(shared, roots, tokens, similar, settle)) is not None:
+        settle(pairs)
     by_text = texts.join(roots, F.col("text_id") == F.col("node"), "left").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "text_id", F.coalesce("root", "text_id").alias("class_id"))
     found = named.join(by_text, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2"))).select(F.col("id").alias("doc_id"), "class_id", "text_id")
     alone = members.where("id IS NULL").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.col("id").alias("text_id"))
