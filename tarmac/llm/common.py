@@ -91,7 +91,10 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: dict[str, str], time
     on = lambda c: reduce(lambda a, b: a & b, [rows[x] == c[y] for x, y in keys.items()])
     if counted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(counted), on(counted))
-    often, seldom = small(counted.where(F.col(times) >= hot)), counted.where(F.col(times) < hot)
+    often, seldom = counted.where(F.col(times) >= hot), counted.where(F.col(times) < hot)
+    if often.isEmpty():
+        return rows.join(counted, on(counted))
+    often = small(often)
     cold = rows.join(often, on(often), "left_anti")
     cold = cold.join(seldom, reduce(lambda a, b: a & b, [cold[x] == seldom[y] for x, y in keys.items()]))
     return cold.unionByName(rows.join(often, on(often)))

@@ -95,6 +95,8 @@ def test_counted_join_beyond_the_bound(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
     far = common.join_counted(rows, counted, {"h": "fh"}, "times", hot=100)
     assert Counter(map(tuple, far.select("h", "at").collect())) == want and len(want) == 500
+    none_hot = common.join_counted(rows, counted, {"h": "fh"}, "times", hot=1000)
+    assert Counter(map(tuple, none_hot.select("h", "at").collect())) == want
 
 
 def test_no_folder_of_this_machine_on_a_cluster():
