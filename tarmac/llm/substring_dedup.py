@@ -29,7 +29,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,16 +45,21 @@ MIN_WORDS = 20
 #: Any 50 shared words hold a span while twice this and MIN_WORDS are at most 50.
 LONG_SENTENCE = 15
 
-_END = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\S+")
 _NOISE = re.compile(r"[\W_]+")
 
 
-@lru_cache(maxsize=1 << 17)
-def _rank(word: str) -> int:
-    """Hash by which a word is chosen for a cut; -1 where it holds no letter or digit."""
-    norm = _NOISE.sub("", word.lower())
-    return zlib.crc32(norm.encode()) if norm else -1
+class _Kinds(dict):
+    """What a lower-cased character counts as: letters and digits stay, ``.`` is an end of
+    a sentence, a line break stays, other blanks are a space and all else is ``_``."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = c if c == "\n" or not _NOISE.match(c) else "." if c in ".!?" else " " if c.isspace() else "_"
+        return kind
+
+
+_KINDS = _Kinds()
 
 
 def _least(ranks: list[int], window: int) -> list[int]:
@@ -73,95 +78,171 @@ def _least(ranks: list[int], window: int) -> list[int]:
     return places
 
 
+def _winnowed(part: str, tokens: list[str]) -> list[tuple[int, list[str]]]:
+    """(words before it, tokens) of each piece of a sentence; words without a letter or digit don't count."""
+    ranks = [zlib.crc32(w) for w in part.replace("_", "").replace(".", "").encode().split()]
+    cuts = [k + 1 for k in _least(ranks, LONG_SENTENCE)] if len(ranks) > LONG_SENTENCE else []
+    if len(ranks) < len(tokens):  # some word holds several tokens
+        held = [t for w in part.split() if (t := w.replace("_", " ").replace(".", " ").split())]
+        pieces = [(a, list(chain.from_iterable(held[a:b]))) for a, b in zip([0, *cuts], [*cuts, None])]
+    else:
+        pieces = [(a, tokens[a:b]) for a, b in zip([0, *cuts], [*cuts, None])]
+    return pieces if pieces[-1][1] else pieces[:-1]
+
+
+def _pieces(text: str) -> tuple[list[str], list[int], list[str], list[tuple[int, int]]]:
+    """Normalised texts and numbers of words of the pieces, in order; the parts of the text
+    between sentence ends, by their kinds; and (part, words before it there) of each piece."""
+    marked = text.lower().translate(_KINDS).replace(". ", ".\n")
+    parts = marked.split("\n")
+    norms: list[str] = []
+    counts: list[int] = []
+    where: list[tuple[int, int]] = []
+    for k, plain in enumerate(marked.replace("_", " ").replace(".", " ").split("\n")):
+        tokens = plain.split()
+        if len(tokens) > LONG_SENTENCE:
+            for before, piece in _winnowed(parts[k], tokens):
+                norms.append(" ".join(piece))
+                counts.append(len(piece))
+                where.append((k, before))
+        elif tokens:
+            norms.append(" ".join(tokens))
+            counts.append(len(tokens))
+            where.append((k, 0))
+    return norms, counts, parts, where
+
+
+class _Places:
+    """Where the pieces of a text lie in it."""
+
+    def __init__(self, text: str, parts: list[str], where: list[tuple[int, int]]):
+        if "\u0130" in text:  # the one character that grows when lower-cased
+            parts = text.replace("\u0130", "i").lower().translate(_KINDS).replace(". ", ".\n").split("\n")
+        self.text, self.parts, self.where = text, parts, where
+        self.at = [0, *accumulate(len(p) + 1 for p in parts)]
+        self.cut: tuple[int, list[int]] = (-1, [])
+
+    def _ends(self, k: int) -> list[int]:
+        """Ends of the words with a letter or digit in part ``k``."""
+        if self.cut[0] != k:
+            at = self.at[k]
+            self.cut = (k, [m.end() for m in _WORD.finditer(self.text, at, at + len(self.parts[k])) if not _NOISE.fullmatch(m[0])])
+        return self.cut[1]
+
+    def start(self, i: int) -> int:
+        k, before = self.where[i]
+        if before:
+            return self._ends(k)[before - 1]
+        part, last = self.parts[k], k - 1
+        while last >= 0 and not self.parts[last].strip():
+            last -= 1
+        blanks = len(part) - len(part.lstrip()) if last >= 0 and self.parts[last][-1] == "." else 0
+        return self.at[k] + blanks
+
+    def stop(self, i: int) -> int:
+        k, _ = self.where[i]
+        if i + 1 < len(self.where) and self.where[i + 1][0] == k:
+            return self._ends(k)[self.where[i + 1][1] - 1]
+        return self.at[k] + len(self.parts[k])
+
+
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, normalised, words) of each sentence, in order."""
-    found, at = [], 0
-    bounds = [m.span() for m in _END.finditer(text)] + [(len(text), len(text))]
-    for stop, after in bounds:
-        if stop > at:
-            words = text[at:stop].split()
-            ranks = [_rank(w) for w in words]
-            real = [k for k, r in enumerate(ranks) if r >= 0]
-            if len(real) <= LONG_SENTENCE:
-                pieces = [(at, stop, words)] if words else []
-            else:
-                ends = [m.end() for m in _WORD.finditer(text, at, stop)]
-                pieces, start, first = [], at, 0
-                for k in _least([ranks[k] for k in real], LONG_SENTENCE):
-                    last = real[k] + 1
-                    pieces.append((start, ends[last - 1], words[first:last]))
-                    start, first = ends[last - 1], last
-                if first < len(words):
-                    pieces.append((start, stop, words[first:]))
-            for a, b, words in pieces:
-                norm = _NOISE.sub(" ", " ".join(words).lower()).strip()
-                if norm:
-                    found.append((a, b, norm, norm.count(" ") + 1))
-        at = after
-    return found
+    norms, counts, parts, where = _pieces(text)
+    lie = _Places(text, parts, where)
+    return [(lie.start(i), lie.stop(i), norm, n) for i, (norm, n) in enumerate(zip(norms, counts))]
+
+
+def _runs(counts: list[int], min_sentences: int, min_words: int) -> list[int]:
+    """Ends of the shortest runs that are long enough, from each sentence that begins one."""
+    ends, end, words = [], 0, 0
+    for i, own in enumerate(counts):
+        while end - i < min_sentences or words < min_words:
+            if end == len(counts):
+                return ends
+            words += counts[end]
+            end += 1
+        ends.append(end)
+        words -= own
+    return ends
+
+
+def _hashed(norms: list[str], ends: list[int]) -> list[bytes]:
+    """Hashes of the runs that begin at each sentence in turn and end before ``ends``."""
+    whole, at = " ".join(norms), [0, *accumulate(len(n) + 1 for n in norms)]
+    return [xxhash.xxh3_128_digest(whole[a : at[end] - 1])[:12] for a, end in zip(at, ends)]
 
 
 def spans(found: list[tuple[int, int, str, int]], min_sentences: int, min_words: int) -> Iterator[tuple[int, int, bytes]]:
     """(first sentence, sentences, hash) of the shortest run from each sentence that is long enough."""
-    end, words = 0, 0
-    for i in range(len(found)):
-        while end < len(found) and (end - i < min_sentences or words < min_words):
-            words += found[end][3]
-            end += 1
-        if end - i < min_sentences or words < min_words:
-            return
-        yield i, end - i, xxhash.xxh3_128_digest(" ".join([f[2] for f in found[i:end]]))[:12]
-        words -= found[i][3]
+    ends = _runs([f[3] for f in found], min_sentences, min_words)
+    for i, (end, h) in enumerate(zip(ends, _hashed([f[2] for f in found], ends))):
+        yield i, end - i, h
 
 
 _SPANS = "id long, th int, at int, n int, again boolean, h1 long, h2 int"
 
 
 def _spans(min_sentences: int, min_words: int):
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("again", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int32())])
-
-    def pack(out: list[tuple], hashes: list[bytes]) -> pa.RecordBatch:
+    def pack(batch: pa.RecordBatch, rows: list[int], ends: list[list[int]], hashes: list[bytes], again: list[bool]) -> pa.RecordBatch:
         h = np.frombuffer(b"".join(hashes), dtype=[("h1", "<i8"), ("h2", "<i4")])
-        columns = [pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(np.ascontiguousarray(h["h1"])), pa.array(np.ascontiguousarray(h["h2"]))], schema=schema)
+        sizes = np.array([len(e) for e in ends])
+        at = np.arange(sizes.sum(), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+        n = np.fromiter(chain.from_iterable(ends), np.int32, len(at)) - at
+        row = pa.array(np.repeat(rows, sizes))
+        columns = [batch.column("id").take(row), batch.column("th").take(row), at, n, again, np.ascontiguousarray(h["h1"]), np.ascontiguousarray(h["h2"])]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["id", "th", "at", "n", "again", "h1", "h2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        hashes: list[bytes] = []
         for batch in batches:
-            for doc, th, text in zip(*[batch.column(n).to_pylist() for n in ("id", "th", "text")]):
-                seen: set[bytes] = set()
-                for at, n, h in spans(sentences(text), min_sentences, min_words):
-                    out.append((doc, th, at, n, h in seen))
-                    hashes.append(h)
-                    seen.add(h)
-                if len(out) > 50_000:
-                    yield pack(out, hashes)
-                    out, hashes = [], []
-        if out:
-            yield pack(out, hashes)
+            rows: list[int] = []
+            ends: list[list[int]] = []
+            hashes: list[bytes] = []
+            again: list[bool] = []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                norms, counts, _, _ = _pieces(text)
+                if not (found := _runs(counts, min_sentences, min_words)):
+                    continue
+                own = _hashed(norms, found)
+                if len(seen := set(own)) < len(own):
+                    seen.clear()
+                    again += [h in seen or seen.add(h) is not None for h in own]
+                else:
+                    again += [False] * len(own)
+                rows.append(row)
+                ends.append(found)
+                hashes += own
+                if len(hashes) > 50_000:
+                    yield pack(batch, rows, ends, hashes, again)
+                    rows, ends, hashes, again = [], [], [], []
+            if rows:
+                yield pack(batch, rows, ends, hashes, again)
 
     return run
 
 
 def _cut(text: str, places: list[tuple[int, int]]) -> tuple[int, int, str]:
     """(sentences, removed, text left) when the runs ``places`` go."""
-    found = sentences(text)
-    gone = [False] * len(found)
+    norms, _, parts, where = _pieces(text)
+    gone = [False] * len(norms)
     for at, n in places:
         gone[at : at + n] = [True] * n
-    left, pos = [], 0
-    for i, ((a, _, _, _), out) in enumerate(zip(found, gone)):
+    lie, left, pos = _Places(text, parts, where), [], 0
+    for i, out in enumerate(gone):
         if out:  # goes with the blanks after it
-            left.append(text[pos:a])
-            pos = found[i + 1][0] if i + 1 < len(found) else len(text)
+            if not (i and gone[i - 1]):
+                left.append(text[pos : lie.start(i)])
+            if i + 1 == len(gone) or not gone[i + 1]:
+                pos = lie.start(i + 1) if i + 1 < len(gone) else len(text)
     left.append(text[pos:])
-    return len(found), sum(gone), "".join(left)
+    return len(norms), sum(gone), "".join(left)
 
 
 def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [_cut(t, [(p["at"], p["n"]) for p in places]) for t, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist())]
+        places = batch.column("places")
+        bounds, runs = places.offsets.to_pylist(), list(zip(*[places.values.field(n).to_pylist() for n in ("at", "n")]))
+        rows = [_cut(t, runs[a:b]) for t, a, b in zip(batch.column("text").to_pylist(), bounds, bounds[1:])]
         total, gone, left = (list(c) for c in zip(*rows)) if rows else ([], [], [])
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), batch.column("first_ids"), pa.array(total, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(left, type=pa.string())], names=["id", "th", "first_ids", "n_sentences", "n_removed", "kept_text"])
 

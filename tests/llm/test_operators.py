@@ -5,10 +5,12 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -564,6 +566,102 @@ def test_pieces_are_short_and_whole():
     assert " ".join(s[2] for s in found) == " ".join(re.findall("[a-z]+", text))
 
 
+def plain_sentences(text):
+    """(start, normalised, words) of each sentence, word by word from the definition."""
+    noise, found, at = re.compile(r"[\W_]+"), [], 0
+    for m in [*re.finditer(r"(?<=[.!?])\s+|\n+", text), None]:
+        stop, after = m.span() if m else (len(text), len(text))
+        words = [(w.end(), w[0]) for w in re.compile(r"\S+").finditer(text, at, stop)]
+        real = [k for k, (_, w) in enumerate(words) if noise.sub("", w)]
+        ranks = [zlib.crc32(noise.sub("", words[k][1].lower()).encode()) for k in real]
+        cuts = {max(range(e - 15, e), key=lambda k: (-ranks[k], k)) for e in range(15, len(ranks) + 1)} if len(ranks) > 15 else set()
+        start, first = at, 0
+        for last in [*(real[c] + 1 for c in sorted(cuts)), len(words)] if words else []:
+            norm = noise.sub(" ", " ".join(w for _, w in words[first:last]).lower()).strip()
+            if norm:
+                found.append((start, norm, norm.count(" ") + 1))
+            start, first = words[last - 1][0], last
+        at = after
+    return found
+
+
+def plain_runs(found):
+    """(first sentence, sentences, text) of the shortest run of 2 sentences and 20 words from each."""
+    runs = []
+    for a in range(len(found)):
+        b = next((b for b in range(a + 2, len(found) + 1) if sum(f[2] for f in found[a:b]) >= 20), None)
+        if b:
+            runs.append((a, b - a, " ".join(f[1] for f in found[a:b])))
+    return runs
+
+
+ODD = "a b don't \u03a3 \u0391\u03a3 \u0130 x\u0130. x_y _ -- ... a.b Z! \u00e9 \u00df \u00b2 \u65e5\u672c \u3002 ' 1 x. --. !? \u200b \u0301".split(" ") + [" ", "\t", "\n", "\n\n", "\r\n", ". ", ".\n", ".\n \n", " \n ", "\x1c", "\x85", "\u00a0", "\u2028"]
+
+
+def odd_texts(rng, n):
+    for k in range(n):
+        blank, odd = rng.choice(("", " ")), rng.choice((0.1, 1.0))
+        yield "".join((rng.choice(ODD) if rng.random() < odd else f"W{rng.randrange(300)} ") + blank for _ in range(rng.randrange(120)))
+
+
+def test_pieces_of_odd_texts():
+    rng = random.Random(31)
+    for text in odd_texts(rng, 4000):
+        want = plain_sentences(text)
+        found = substring_dedup.sentences(text)
+        assert [(a, norm, n) for a, _, norm, n in found] == want and all(a[1] <= b[0] for a, b in itertools.pairwise(found)), text
+        gone = {k for k in range(len(want)) if rng.random() < 0.3}
+        starts = [f[0] for f in want] + [len(text)]
+        left = text[: starts[0]] + "".join(text[starts[k] : starts[k + 1]] for k in range(len(want)) if k not in gone)
+        assert substring_dedup._cut(text, [(k, 1) for k in sorted(gone)]) == (len(want), len(gone), left), text
+
+
+def span_batch(texts):
+    ids = pa.array([None if k % 7 == 3 else k // 2 for k in range(len(texts))], type=pa.int64())
+    return pa.RecordBatch.from_arrays([ids, pa.array(range(len(texts)), type=pa.int32()), pa.array(texts, type=pa.string())], names=["id", "th", "text"])
+
+
+def test_spans_of_batches():
+    """Rows without spans, spans again in their own row, and a row of more spans than are handed on at once."""
+    rng = random.Random(32)
+    lines = "\n".join(f"{k} " + "ab " * 10 for k in range(60_000))
+    batches = [span_batch(["", "One. Two.", *odd_texts(rng, 300), " ".join([sentence(rng, 12)] * 6)]), span_batch([]), span_batch([lines, *odd_texts(rng, 20)])]
+    rows = [r for b in substring_dedup._spans(2, 20)(iter(batches)) for r in b.to_pylist()]
+    want, seen, hashes = [], set(), {}
+    for b, batch in enumerate(batches):
+        for r in batch.to_pylist():
+            for at, n, run in plain_runs(plain_sentences(r["text"])):
+                want.append((r["id"], r["th"], at, n, (b, r["th"], run) in seen, run))
+                seen.add((b, r["th"], run))
+    assert [(r["id"], r["th"], r["at"], r["n"], r["again"]) for r in rows] == [w[:5] for w in want] and any(w[4] for w in want)
+    for r, w in zip(rows, want):
+        assert hashes.setdefault(w[5], (r["h1"], r["h2"])) == (r["h1"], r["h2"])
+    assert len(set(hashes.values())) == len(hashes)
+
+
+def test_cutting_is_cheap():
+    """Cutting and editing take less than half of the CPU time that the plain way takes to cut alone."""
+    rng = random.Random(33)
+    word = lambda: rng.choice(WORDS) + rng.choice(("", "\u00e9", "an")) + str(rng.randrange(3000))
+    texts = [" ".join(word() + rng.choice((" ", " ", " ", " ", ",", ".", "!!")) for _ in range(400)) for _ in range(400)]
+    texts += [t.replace("\u00e9", "e") for t in texts]
+    batch = span_batch(texts)
+    places = pa.array([[{"at": 1, "n": 2}]] * len(texts), type=pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))
+    edits = pa.RecordBatch.from_arrays([*batch.columns, places, batch.column("id")], names=["id", "th", "text", "places", "first_ids"])
+
+    def spent(run):
+        times = []
+        for _ in range(3):
+            t = time.process_time()
+            run()
+            times.append(time.process_time() - t)
+        return min(times)
+
+    plain = spent(lambda: [plain_sentences(t) for t in texts])
+    assert spent(lambda: list(substring_dedup._spans(2, 20)(iter([batch])))) < plain / 2
+    assert spent(lambda: list(substring_dedup._edit(iter([edits])))) < plain / 2
+
+
 # ---- damage and awkward rows, continued ------------------------------------------
 
 
