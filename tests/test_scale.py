@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarmac.functions import geo
-from tarmac.operators import joins, nested, routing
+from tarmac.operators import graph, joins, nested, routing
 from tarmac.plans.kernels import Csr, dijkstra
 
 REQUESTS, EDGES = "request_id long, src long, dst long", "src long, dst long, wt long, edge_id long"
@@ -120,3 +120,65 @@ def test_snap_on_a_long_strip(spark, monkeypatch, columns):
     want = both.groupBy("point_id").agg(F.min(F.struct(far.alias("d"), "node")).alias("b")).select("point_id", "b.node")
     assert {r.point_id: r.node_idx for r in joins.snap(points, nodes).collect()} == {r.point_id: r.node for r in want.collect()}
     assert len(met) <= 2
+
+
+def test_stream_batches_of_several_files(spark, monkeypatch):
+    """A micro-batch isn't gathered in one task, and the batches are those of event ids all the same."""
+    from tarmac.streaming import replay
+
+    read = spark.sparkContext.accumulator(0)
+    rows = spark.range(0, 400, 1, 4).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("edge_id"), F.lit(2.0).alias("ratio"))
+    made = F.udf(lambda x: (read.add(1), x)[1], "long").asNondeterministic()
+    got = replay.pending(spark, rows.withColumn("edge_id", made("edge_id")))
+    assert read.value == 400  # not made again for each batch
+    assert got.groupBy("edge_id").count().where("count = 4").count() == 7
+    folder = replay.shared_folder(spark, "stream")
+    seen = []
+    for k in replay.in_batches(rows.repartition(3), folder):
+        seen.append(len(spark.read.parquet(folder).inputFiles()))
+        assert spark.read.parquet(folder).count() == 100 * (k + 1)
+    assert seen[0] > 1
+
+
+def test_json_graph_in_documents(spark, tmp_path):
+    from tarmac.sources import graphs
+
+    parts = spark.range(3).select(F.col("id").alias("k"), F.expr("array(named_struct('id', id, 'lat', 32D, 'lon', 34D))").alias("nodes"), F.expr("if(id = 2, null, array(named_struct('id', id, 'node_refs', array(id, id + 1), 'road_class', 6, 'is_one_way', false, 'max_speed', 50D)))").alias("ways"))
+    graphs.write_graph_json(parts, f"{tmp_path}/g")
+    nodes, ways = graphs.read_graph_json(spark, f"{tmp_path}/g")
+    assert sorted(r.id for r in nodes.collect()) == [0, 1, 2] and sorted(r.way_id for r in ways.collect()) == [0, 1]
+    assert len(list((tmp_path / "g").glob("k=*"))) == 3
+
+
+def test_shortcuts_of_a_cell_at_once(spark, monkeypatch):
+    """All pairs of a small cell at once and one search per gate of a large one agree."""
+    rows = [(s, d, w, k, s // 30, d // 30) for s, d, w, k in net(11)]
+    edges = spark.createDataFrame(rows, EDGES + ", cell_src long, cell_dst long")
+    got = lambda: sorted(map(tuple, graph.shortcuts(edges, graph.gates(edges)).collect()))
+    monkeypatch.setattr(graph, "dijkstra", lambda *_: pytest.fail("a search per gate"))
+    at_once = got()
+    monkeypatch.setattr(graph, "dijkstra", dijkstra)
+    monkeypatch.setattr(graph, "CLOSED_NODES", 0)
+    assert at_once == got() and len(at_once) > 100
+
+
+def test_paths_and_repairs_in_regions(spark, monkeypatch):
+    """Near routes and repairs don't ship the graph, and those that leave their region are found all the same."""
+    rows = net(13, n=240)
+    edges = spark.createDataFrame(rows, EDGES)
+    near = spark.createDataFrame([(k, k * 7 % 240, min(239, k * 7 % 240 + k % 15)) for k in range(60)], REQUESTS)
+    asked = near.unionByName(spark.createDataFrame([(100 + k, k * 11 % 240, k * 53 % 240) for k in range(30)], REQUESTS))
+    jobs = edges.select(F.col("edge_id").alias("job"), "src", "dst", F.lit(30).cast("long").alias("budget"))
+    plain = lambda df: sorted(tuple(-1 if v is None else v for v in r) for r in df.collect())
+    want, round_ = plain(routing.paths(asked, edges, alternatives=2)), plain(routing.repairs(jobs, edges, 6))
+    ship, sent = routing.shipped, []
+    monkeypatch.setattr(routing, "SEARCHED_EDGES", 0)
+    monkeypatch.setattr(routing, "REGION", 20)
+    monkeypatch.setattr(routing, "WIDER", 2)
+    monkeypatch.setattr(routing, "shipped", lambda *a: (sent.append(1), ship(*a))[1])
+    assert plain(routing.paths(asked, edges, alternatives=2)) == want and sent and len(round_) > 100
+    assert plain(routing.repairs(jobs, edges, 6)) == round_
+    monkeypatch.setattr(routing, "REGION", 60)
+    monkeypatch.setattr(routing, "shipped", lambda *_: pytest.fail("the graph was shipped"))
+    few = near.where("src BETWEEN 100 AND 140 AND dst < src + 4")
+    assert few.count() > 3 and plain(routing.paths(few, edges)) == [r for r in want if r[1] == 0 and r[0] in {x.request_id for x in few.collect()}]
