@@ -11,11 +11,16 @@ FORMAT, VERSION = "tarmac-graph", 1
 TABLES = ("nodes", "edges", "gates", "overlay")
 
 
+def write_graph_json(parts: DataFrame, folder: str) -> None:
+    """A JSON graph in documents, each a file of its own: ``k`` and the ``nodes`` and ``ways`` of part k (null: none)."""
+    parts.select("k", F.to_json(F.struct(*[F.coalesce(c, F.array()).alias(c) for c in ("nodes", "ways")])).alias("value")).write.partitionBy("k").text(folder)
+
+
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(raw nodes, ways) of a JSON graph.  Ways carry class, speed and direction as ``etl.build_edges`` takes them."""
     from tarmac.functions.tags import default_speed
 
-    doc = spark.read.schema(GRAPH_JSON).option("multiLine", True).json(path)
+    doc = spark.read.schema(GRAPH_JSON).option("multiLine", True).json(path)  # a document per file
     nodes = doc.select(F.explode("nodes").alias("n")).select("n.id", "n.lat", "n.lon")
     ways = doc.select(F.explode("ways").alias("w")).select("w.*").where(F.size("node_refs") >= 2)
     speed = F.when(F.col("max_speed") > 0, F.col("max_speed")).otherwise(default_speed(F.col("road_class")))
